@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from barwright.plans import oracle
 from barwright.sources.adapters import Market
 
+
+def _rounded(c, digits: int):
+    """Half away from zero on the binary value, as SQL engines round doubles."""
+    scale = float(10**digits)
+    x = c.cast("double")
+    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    return F.when(F.abs(x) < 1e12, near).otherwise(x) + 0.0
+
+
 # one-letter column types of a result: how each side is cast and rounded
 SPARK_CAST = {
     "s": lambda c: c.cast("string"),
@@ -18,8 +27,8 @@ SPARK_CAST = {
     "b": lambda c: c.cast("boolean"),
     "d": lambda c: c.cast("date"),
     "t": lambda c: c.cast("timestamp_ntz"),
-    "f": lambda c: F.round(c.cast("double"), 6),
-    "m": lambda c: F.round(c.cast("double"), 2),
+    "f": lambda c: _rounded(c, 6),
+    "m": lambda c: _rounded(c, 2),
 }
 SQL_CAST = {
     "s": "CAST({0} AS VARCHAR)",
