@@ -10,8 +10,8 @@ from barwright.functions.expr import clip, confidence_label, tick_price
 from barwright.functions.rolling import KEY, history
 
 
-def setup_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40) -> DataFrame:
-    """One row per past setup with its next 40 closes summarised."""
+def with_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40) -> DataFrame:
+    """Summary of the next 40 closes on rows that are past setups, null elsewhere."""
     w = history(recurrence.BLOCK, "date").rowsBetween(1, horizon)
     c = F.col
     crossed = (c("prev_macd") <= c("prev_macd_signal")) & (c("macd") > c("macd_signal"))
@@ -23,31 +23,46 @@ def setup_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40
         & (i < c("n_rows") - 40)
         & (c("close") > 0)
     )
-    df = with_prev.withColumn("path", F.collect_list("close").over(w)).filter(setup)
-    reached = F.array_position(F.transform("path", lambda x: x >= c("close") * (1.0 + target)), True)
-    best = F.array_max("path")
-    return df.select(
-        *KEY, "date",
-        F.when(reached > 0, reached).alias("maturity_days"),
-        F.array_position("path", best).alias("peak_days"),
-        ((best / c("close") - 1.0) * 100.0).alias("peak_ret"),
-        ((F.array_min("path") / c("close") - 1.0) * 100.0).alias("trough_ret"),
-    )
+    df = with_prev.withColumn("_path", F.collect_list("close").over(w)).withColumn("_path", F.when(setup, F.col("_path")))
+    df = df.withColumn("_best", F.array_max("_path"))
+    reached = F.array_position(F.transform("_path", lambda x: x >= c("close") * (1.0 + target)), True)
+    return df.withColumns(
+        {
+            "maturity_days": F.when(reached > 0, reached),
+            "peak_days": F.array_position("_path", c("_best")),
+            "peak_ret": (c("_best") / c("close") - 1.0) * 100.0,
+            "trough_ret": (F.array_min("_path") / c("close") - 1.0) * 100.0,
+        }
+    ).drop("_path", "_best")
 
 
-def setup_summary(episodes: DataFrame) -> DataFrame:
-    """Medians, hit rate and ranges per security (at most one episode per bar)."""
-    ranged = F.count(F.lit(1)) >= 10
-    return episodes.groupBy(*KEY).agg(
+def setup_episodes(with_prev: DataFrame) -> DataFrame:
+    """One row per past setup."""
+    df = with_episodes(with_prev).filter(F.col("peak_days").isNotNull())
+    return df.select(*KEY, "date", "maturity_days", "peak_days", "peak_ret", "trough_ret")
+
+
+def setup_statistics() -> list[Column]:
+    """Medians, hit rate and ranges over the episodes of a security.
+
+    A security has at most one episode per calendar day, so these exact
+    percentiles hold a bounded list.
+    """
+    n = F.count("peak_days")
+    return [
         F.bround(F.percentile("maturity_days", 0.5)).cast("long").alias("maturity_days"),
         F.bround(F.percentile("peak_days", 0.5)).cast("long").alias("peak_days"),
-        (F.count("maturity_days") / F.count(F.lit(1))).alias("hit_rate"),
+        F.try_divide(F.count("maturity_days"), n).alias("hit_rate"),
         F.avg("peak_ret").alias("avg_return"),
-        F.count(F.lit(1)).alias("samples"),
-        F.when(ranged, F.percentile("peak_ret", 0.25)).alias("return_p25"),
-        F.when(ranged, F.percentile("peak_ret", 0.75)).alias("return_p75"),
-        F.when(ranged, F.avg("trough_ret")).alias("downside_return"),
-    )
+        n.alias("samples"),
+        F.when(n >= 10, F.percentile("peak_ret", 0.25)).alias("return_p25"),
+        F.when(n >= 10, F.percentile("peak_ret", 0.75)).alias("return_p75"),
+        F.when(n >= 10, F.avg("trough_ret")).alias("downside_return"),
+    ]
+
+
+def setup_summary(episodes: DataFrame) -> DataFrame:
+    return episodes.groupBy(*KEY).agg(*setup_statistics())
 
 
 def sorted_percentile(sorted_values: Column, p: float) -> Column:

@@ -87,11 +87,12 @@ def score_parts(board: Column) -> list[tuple[Column, Column]]:
     up = (close > c("sma_20")) & (c("sma_20") > c("sma_50"))
     down = (close < c("sma_20")) & (c("sma_20") < c("sma_50"))
     volume_up = (c("volume_sma_20") > 0) & (ratio(c("volume"), c("volume_sma_20")) > 1.5) & (c("return_5d") > 0)
-    text = lambda fmt, v: F.format_string(fmt, v)
+    whole = lambda fmt, v: F.format_string(fmt, F.bround(v))
+    tenth = lambda fmt, v: F.format_string(fmt, F.bround(v, 1))
     return [
         (
             F.when(rsi < 35, 18).when(rsi > 65, -18).when(rsi.isNotNull(), 4).otherwise(0),
-            F.when(rsi < 35, text("RSI oversold (%.0f)", rsi)).when(rsi > 65, text("RSI elevated (%.0f)", rsi)),
+            F.when(rsi < 35, whole("RSI oversold (%.0f)", rsi)).when(rsi > 65, whole("RSI elevated (%.0f)", rsi)),
         ),
         (
             F.when(c("macd_hist") > 0, 10).when(c("macd_hist").isNotNull(), -8).otherwise(0),
@@ -103,7 +104,7 @@ def score_parts(board: Column) -> list[tuple[Column, Column]]:
         ),
         (
             F.when((r20 > 0) & (r20 < 12), 8).when(r20 > 25, -6).when(r20 < -15, 5).otherwise(0),
-            F.when((r20 > 0) & (r20 < 12), text("Healthy 20d momentum (%.1f%%)", r20))
+            F.when((r20 > 0) & (r20 < 12), tenth("Healthy 20d momentum (%.1f%%)", r20))
             .when(r20 > 25, "Extended 20d rally — chase risk")
             .when(r20 < -15, "Deep 20d pullback — mean-reversion watch"),
         ),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barwright.functions.expr import clip
 from barwright.functions.rolling import KEY
 from barwright.operators import analogue, patterns
-from barwright.operators.indicators import indicators, latest
+from barwright.operators.indicators import indicators
 
 
 def action_from(score: Column) -> Column:
@@ -44,15 +44,20 @@ def scored_history(bars: DataFrame, stocks: DataFrame) -> DataFrame:
 
 def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     """One analysis row per security at its latest bar."""
-    ind = patterns.with_previous(indicators(bars))
-    study = analogue.setup_summary(analogue.setup_episodes(ind))
+    ind = analogue.with_episodes(patterns.with_previous(indicators(bars)))
+    episode = {"maturity_days", "peak_days", "peak_ret", "trough_ret"}
+    row = F.struct(*[c for c in ind.columns if c not in episode and c not in KEY])
+    # the last bar and the episode statistics come out of one aggregation over
+    # rows that are already partitioned by security
+    last = ind.groupBy(*KEY).agg(F.max_by(row, "date").alias("_now"), *analogue.setup_statistics())
+    last = last.select(*KEY, "_now.*", *[c for c in last.columns if c not in KEY and c != "_now"])
     none = F.array().cast("array<struct<name:string,direction:string,strength:double>>")
     now = (
-        latest(ind)
+        last.filter(F.col("n_rows") >= 5)
         .withColumn("patterns", F.when(F.col("n_rows") >= 30, patterns.hits()).otherwise(none))
         .join(stocks.select(*KEY, "board", "pe_ratio", "sector"), KEY, "left")
     )
-    df = patterns.with_score(now).join(study, KEY, "left")
+    df = patterns.with_score(now)
     pe, hit, n = F.col("pe_ratio"), F.col("hit_rate"), F.coalesce("samples", F.lit(0))
     score = with_pe(F.col("rule_score"), pe)
     enough = F.col("n_rows") >= 30
@@ -76,8 +81,8 @@ def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
         & (F.col("_confidence") >= 0.4)
         & (hit.isNull() | (hit >= 0.35))
     )
-    pe_reason = F.when((pe > 0) & (pe < 12), F.format_string("Attractive P/E (%.1f)", pe)).when(
-        pe > 30, F.format_string("Elevated P/E (%.1f)", pe)
+    pe_reason = F.when((pe > 0) & (pe < 12), F.format_string("Attractive P/E (%.1f)", F.bround(pe, 1))).when(
+        pe > 30, F.format_string("Elevated P/E (%.1f)", F.bround(pe, 1))
     )
     reasons = F.slice(F.concat(F.col("reasons"), F.array_compact(F.array(pe_reason))), 1, 6)
     history_parts = F.array_compact(
@@ -86,7 +91,7 @@ def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
                 F.col("maturity_days") > 0,
                 F.format_string(
                     "Historically, similar setups matured (~+5%%) in ~%d days (hit rate %.0f%% over %d samples).",
-                    F.col("maturity_days"), hit * 100.0, n,
+                    F.col("maturity_days"), F.bround(hit * 100.0), n,
                 ),
             ),
             F.when(F.col("peak_days") > 0, F.format_string("Median days to local peak after setup: ~%d.", F.col("peak_days"))),
@@ -94,7 +99,7 @@ def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
                 F.col("return_p25").isNotNull(),
                 F.format_string(
                     "Peak-return range across those episodes: %.1f%% to %.1f%% (typical downside within the same window: %.1f%%).",
-                    "return_p25", "return_p75", "downside_return",
+                    F.bround("return_p25", 1), F.bround("return_p75", 1), F.bround("downside_return", 1),
                 ),
             ),
         )

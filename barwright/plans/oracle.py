@@ -48,7 +48,7 @@ GROUP BY k, date"""
 
 
 define("bars_raw", "", _bars("l_extendedprice / l_quantity"))
-define("bars_all", "", _bars("100.0 + 3.0 * ln(l_extendedprice / l_quantity)"))
+define("bars_all", "", _bars("100.0 + 2.0 * ln(l_extendedprice / l_quantity)"))
 define("bars", "bars_all", "SELECT * FROM bars_all WHERE NOT is_synthetic")
 define(
     "stocks",

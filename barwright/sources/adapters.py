@@ -85,7 +85,7 @@ class Market:
     @cached_property
     def bars_all(self) -> DataFrame:
         """Prices on a compressed scale with ordinary daily moves."""
-        return self._bars(lambda p: F.lit(100.0) + F.lit(3.0) * F.log(p))
+        return self._bars(lambda p: F.lit(100.0) + F.lit(2.0) * F.log(p))
 
     @cached_property
     def bars(self) -> DataFrame:
