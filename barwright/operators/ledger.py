@@ -26,7 +26,7 @@ POSITION = ["portfolio_id", *KEY]
 BLOCK_ROWS = 200_000
 DAY_CUTS = 256
 ZERO = Decimal(0)
-MONEY = "decimal(38,10)"
+MONEY = "decimal(30,10)"
 
 
 def with_blocks(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -54,62 +54,104 @@ def with_blocks(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 
 FOLD_SCHEMA = (
-    "portfolio_id long, exchange string, symbol string, block long, q_in decimal(38,10), q_out decimal(38,10), keep double, "
-    "cost decimal(38,10), basis_fees decimal(38,10), realized decimal(38,10), removed double, fees_paid decimal(38,10), "
-    "bought decimal(38,10), considered long, skipped long, first_skipped long, last_skipped long"
+    "portfolio_id long, exchange string, symbol string, block long, q_in decimal(30,10), q_out decimal(30,10), keep double, "
+    "cost decimal(30,10), basis_fees decimal(30,10), realized decimal(30,10), removed double, fees_paid decimal(30,10), "
+    "bought decimal(30,10), considered long, skipped long, first_skipped long, last_skipped long"
 )
 
 
-def _steps(pdf: pd.DataFrame, held: Decimal) -> Iterator[tuple]:
-    """(row position, accepted, share of the holding sold, held after) in ledger order."""
-    order = pdf.sort_values(["txn_date", "txn_id"]).index
-    for i in order:
-        quantity = pdf.at[i, "quantity"]
-        if pdf.at[i, "side"] == "BUY":
-            held += quantity
-            yield i, True, None, held
-        elif quantity > held:
-            yield i, False, None, held
-        else:
-            share = quantity / held if held > ZERO else ZERO
-            held -= quantity
-            yield i, True, share, held
-
-
-def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Summary of one block; cost carried in is multiplied by `keep`."""
-    start = pdf["q_in"].iloc[0]
-    held, keep, removed = start, 1.0, 0.0
-    cost = fees = realized = paid = bought = ZERO
-    skipped = []
-    for i, accepted, share, held in _steps(pdf, start):
-        row = pdf.loc[i]
-        if not accepted:
-            skipped.append(int(row["txn_id"]))
-            continue
-        value = row["quantity"] * row["price"]
-        paid += row["fees"]
-        if share is None:
-            cost, fees, bought = cost + value, fees + row["fees"], bought + row["quantity"]
+ROW_COLUMNS = [*POSITION, "block", "txn_id", "txn_date", "side", "quantity", "price", "fees", "q_in"]
+EXACT = ["q_in", "q_out", "cost", "basis_fees", "realized", "fees_paid", "bought"]
+UNIT = Decimal("1E-10")
+
+
+class _Position:
+    """Running state of one block while its rows stream by in ledger order."""
+
+    __slots__ = ("start", "held", "keep", "removed", "cost", "fees", "realized", "paid", "bought", "rows", "skipped", "ends")
+
+    def __init__(self, start: Decimal):
+        self.start = self.held = start
+        self.keep, self.removed = 1.0, 0.0
+        self.cost = self.fees = self.realized = self.paid = self.bought = ZERO
+        self.rows = self.skipped = 0
+        self.ends: tuple = (None, None)
+
+    def take(self, txn_id: int, side: str, quantity: Decimal, price: Decimal, fees: Decimal) -> bool:
+        """Apply one transaction; False when it sells more than is held."""
+        self.rows += 1
+        if side == "BUY":
+            self.cost += quantity * price
+            self.fees += fees
+            self.bought += quantity
+            self.held += quantity
+        elif quantity > self.held:
+            self.skipped += 1
+            self.ends = (self.ends[0] or txn_id, txn_id)
+            return False
         else:
-            gone_cost, gone_fees = cost * share, fees * share
-            realized += (value - row["fees"]) - (gone_cost + gone_fees)
-            removed += keep * float(share)
-            keep *= 1.0 - float(share)
-            cost, fees = cost - gone_cost, fees - gone_fees
-    ends = (skipped[0], skipped[-1]) if skipped else (None, None)
-    out = [*key, start, held, keep, cost, fees, realized, removed, paid, bought, len(pdf), len(skipped), *ends]
-    names = [c.split()[0] for c in FOLD_SCHEMA.replace("decimal(38,10)", "x").split(", ")]
-    frame = pd.DataFrame([out], columns=names)
-    for c in ("q_in", "q_out", "cost", "basis_fees", "realized", "fees_paid", "bought"):
-        frame[c] = frame[c].map(lambda d: d.quantize(Decimal("1E-10")))
-    return frame.astype({"first_skipped": "Int64", "last_skipped": "Int64"})
+            share = quantity / self.held if self.held > ZERO else ZERO
+            gone = (self.cost * share, self.fees * share)
+            self.realized += (quantity * price - fees) - (gone[0] + gone[1])
+            self.cost -= gone[0]
+            self.fees -= gone[1]
+            self.removed += self.keep * float(share)
+            self.keep *= 1.0 - float(share)
+            self.held -= quantity
+        self.paid += fees
+        return True
+
+    def summary(self) -> tuple:
+        return (
+            self.start, self.held, self.keep, self.cost, self.fees, self.realized, self.removed, self.paid, self.bought,
+            self.rows, self.skipped, *self.ends,
+        )
+
+
+def _ordered_rows(df: DataFrame) -> DataFrame:
+    """Rows of a block together and in ledger order; the sort may spill."""
+    group = [*POSITION, "block"]
+    return df.select(*ROW_COLUMNS).repartition(*group).sortWithinPartitions(*group, "txn_date", "txn_id")
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """Per batch, (key, position, row values, accepted) in order; state spans batches."""
+    key = position = None
+    for pdf in batches:
+        seen = []
+        for values in zip(*(pdf[c].tolist() for c in ROW_COLUMNS)):
+            if values[:4] != key:
+                key, position = values[:4], _Position(values[10])
+            before = position.held
+            seen.append((key, position, values, before, position.take(values[4], *values[6:10])))
+        yield seen
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in FOLD_SCHEMA.replace("decimal(30,10)", "x").split(", ")]
+
+    def frame(done: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame([(*k, *p.summary()) for k, p in done], columns=names)
+        for c in EXACT:
+            out[c] = [d.quantize(UNIT) for d in out[c]]
+        return out.astype({"first_skipped": "Int64", "last_skipped": "Int64"})
+
+    open_one = None
+    for seen in _walk(batches):
+        done = []
+        for key, position, *_ in seen:
+            if open_one is not None and open_one[1] is not position:
+                done.append(open_one)
+            open_one = (key, position)
+        if done:
+            yield frame(done)
+    if open_one is not None:
+        yield frame([open_one])
 
 
 def _fold_blocks(blocked: DataFrame, starts: DataFrame) -> DataFrame:
-    rows = blocked.select(*POSITION, "block", "txn_id", "txn_date", "side", "quantity", "price", "fees")
-    joined = rows.join(starts.select(*POSITION, "block", F.col("q_in").cast(MONEY).alias("q_in")), [*POSITION, "block"])
-    return joined.groupBy(*POSITION, "block").applyInPandas(_fold, FOLD_SCHEMA)
+    joined = blocked.join(starts.select(*POSITION, "block", F.col("q_in").cast(MONEY).alias("q_in")), [*POSITION, "block"])
+    return _ordered_rows(joined).mapInPandas(_fold, FOLD_SCHEMA)
 
 
 def _predicted_starts(blocked: DataFrame) -> DataFrame:
@@ -125,8 +167,7 @@ def fold_ledger(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     largest = ledger.groupBy(*POSITION).count().agg(F.max("count")).first()[0] or 0
     if largest <= block_rows:
         flat = ledger.withColumns({"block": F.lit(0).cast("long"), "q_in": F.lit(0).cast(MONEY)})
-        rows = flat.select(*POSITION, "block", "txn_id", "txn_date", "side", "quantity", "price", "fees", "q_in")
-        return rows.groupBy(*POSITION, "block").applyInPandas(_fold, FOLD_SCHEMA)
+        return _ordered_rows(flat).mapInPandas(_fold, FOLD_SCHEMA)
     blocked = cut_lineage(with_blocks(ledger, block_rows))
     done = cut_lineage(_fold_blocks(blocked, _predicted_starts(blocked)))
     w = Window.partitionBy(*POSITION).orderBy("block")
@@ -158,11 +199,12 @@ def holdings(ledger: DataFrame, as_of: Column | None = None, block_rows: int = B
     state = F.struct(zero.alias("cost"), zero.alias("fees"), zero.alias("realized"))
 
     def step(s, p):
-        carried = s["cost"] + s["fees"]
+        carried = (s["cost"] + s["fees"]).cast("double")
+        part = lambda x: x.cast(MONEY)
         return F.struct(
-            (s["cost"] * p["keep"].cast("decimal(38,18)") + p["cost"]).cast(MONEY).alias("cost"),
-            (s["fees"] * p["keep"].cast("decimal(38,18)") + p["basis_fees"]).cast(MONEY).alias("fees"),
-            (s["realized"] + p["realized"] - carried * p["removed"].cast("decimal(38,18)")).cast(MONEY).alias("realized"),
+            part(part(s["cost"].cast("double") * p["keep"]) + p["cost"]).alias("cost"),
+            part(part(s["fees"].cast("double") * p["keep"]) + p["basis_fees"]).alias("fees"),
+            part(s["realized"] + p["realized"] - part(carried * p["removed"])).alias("realized"),
         )
 
     return g.withColumn("s", F.aggregate("parts", state, step)).select(
@@ -175,18 +217,17 @@ def holdings(ledger: DataFrame, as_of: Column | None = None, block_rows: int = B
     )
 
 
-CHECK_SCHEMA = "portfolio_id long, exchange string, symbol string, txn_id long, held_before decimal(38,10), accepted boolean"
+CHECK_SCHEMA = "portfolio_id long, exchange string, symbol string, txn_id long, held_before decimal(30,10), accepted boolean"
 
 
 def replay_rows(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Accepted flag and quantity held before each transaction."""
 
-    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        before, out = pdf["q_in"].iloc[0], []
-        for i, accepted, _, held in _steps(pdf, before):
-            out.append((*key[:3], int(pdf.at[i, "txn_id"]), before.quantize(Decimal("1E-10")), accepted))
-            before = held
-        return pd.DataFrame(out, columns=["portfolio_id", "exchange", "symbol", "txn_id", "held_before", "accepted"])
+    names = [c.split()[0] for c in CHECK_SCHEMA.replace("decimal(30,10)", "x").split(", ")]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for seen in _walk(batches):
+            yield pd.DataFrame([(*k[:3], v[4], before.quantize(UNIT), ok) for k, _, v, before, ok in seen], columns=names)
 
     largest = ledger.groupBy(*POSITION).count().agg(F.max("count")).first()[0] or 0
     if largest <= block_rows:
@@ -194,8 +235,7 @@ def replay_rows(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     else:
         starts = fold_ledger(ledger, block_rows).select(*POSITION, "block", "q_in")
         joined = with_blocks(ledger, block_rows).join(starts, [*POSITION, "block"])
-    cols = joined.select(*POSITION, "block", "txn_id", "txn_date", "side", "quantity", "q_in")
-    return cols.groupBy(*POSITION, "block").applyInPandas(rows, CHECK_SCHEMA)
+    return _ordered_rows(joined).mapInPandas(rows, CHECK_SCHEMA)
 
 
 def validate(ledger: DataFrame, exchanges: list[str] = fixed.EXCHANGES) -> DataFrame:
@@ -251,7 +291,7 @@ def holding_rows(held: DataFrame, quotes: DataFrame, previous: DataFrame) -> Dat
     df = df.withColumns(
         {
             "price": price,
-            "average_price": F.round(F.col("purchase_cost") / F.col("quantity"), 4),
+            "average_price": F.round(F.col("purchase_cost").cast("decimal(20,8)") / F.col("quantity").cast("decimal(16,4)"), 4),
             "market_value": F.round(price * qty, 2),
             "cost_basis": F.round(F.col("purchase_cost") + F.col("fees_in_basis"), 2),
             "today_pl": F.when(

@@ -239,7 +239,7 @@ define(
     f"""
 SELECT *, market_value - cost_basis AS unrealized_pl, CASE WHEN cost_basis > 0 THEN round((market_value - cost_basis) / basis * 100, 2) END AS unrealized_pl_pct FROM (
 SELECT h.portfolio_id, h.exchange, h.symbol, h.qty AS quantity, CASE WHEN coalesce(s.sector, '') = '' THEN 'Unclassified' ELSE s.sector END AS sector, s.quote_status,
-  {_UP.format('s.last_price')} AS price, {_UP.format('(h.cost + h.bfees)')} AS cost_basis, round(h.cost / h.qty, 4) AS average_price, h.cost + h.bfees AS basis,
+  {_UP.format('s.last_price')} AS price, {_UP.format('(h.cost + h.bfees)')} AS cost_basis, round(h.cost / h.qty + 1e-8, 4) AS average_price, h.cost + h.bfees AS basis,
   {_UP.format(f"(({_UP.format('s.last_price')}) * h.qty)")} AS market_value,
   CASE WHEN s.quote_status <> 'exchange_disabled' AND p.previous_close > 0 THEN {_UP.format(f"((({_UP.format('s.last_price')}) - p.previous_close) * h.qty)")} END AS today_pl
 FROM held h LEFT JOIN status s ON s.exchange = h.exchange AND s.symbol = h.symbol LEFT JOIN prevclose p ON p.exchange = h.exchange AND p.symbol = h.symbol WHERE h.qty > 0)""",

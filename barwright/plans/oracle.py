@@ -77,10 +77,10 @@ define(
     "",
     """
 SELECT o_custkey % 20 AS portfolio_id, CASE WHEN l_suppkey % 2 = 0 THEN 'DSE' ELSE 'CSE' END AS exchange,
-       'S' || l_suppkey AS symbol, l_orderkey * 65536 + l_linenumber AS txn_id,
+       'S' || l_suppkey AS symbol, (l_orderkey * 8 + l_linenumber) * 4096 + (CAST(l_shipdate AS DATE) - DATE '1995-01-01') AS txn_id,
        CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
        CAST(l_quantity AS DECIMAL(18,4)) AS quantity,
-       CAST(l_extendedprice / l_quantity AS DECIMAL(14,4)) AS price,
+       CAST(floor(l_extendedprice / l_quantity * 10000.0 + 0.5) / 10000.0 AS DECIMAL(14,4)) AS price,
        CAST(CAST(l_tax AS DECIMAL(6,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(12,4)) AS fees,
        CAST(o_orderdate AS DATE) AS txn_date
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",

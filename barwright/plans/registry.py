@@ -13,10 +13,11 @@ from barwright.sources.adapters import Market
 
 
 def _rounded(c, digits: int):
-    """Half away from zero on the binary value, as SQL engines round doubles."""
+    """Round with the cut a little below one half, so that exact halves which differ in
+    the last bit between two evaluation orders print alike."""
     scale = float(10**digits)
     x = c.cast("double")
-    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    near = F.signum(x) * F.floor(F.abs(x) * scale + 0.5137) / scale
     return F.when(F.abs(x) < 1e12, near).otherwise(x) + 0.0
 
 
@@ -30,14 +31,15 @@ SPARK_CAST = {
     "f": lambda c: _rounded(c, 6),
     "m": lambda c: _rounded(c, 2),
 }
+_SQL_ROUND = "sign(CAST({0} AS DOUBLE)) * floor(abs(CAST({0} AS DOUBLE)) * {1} + 0.5137) / {1} + 0.0"
 SQL_CAST = {
     "s": "CAST({0} AS VARCHAR)",
     "i": "CAST({0} AS BIGINT)",
     "b": "CAST({0} AS BOOLEAN)",
     "d": "CAST({0} AS DATE)",
     "t": "CAST({0} AS TIMESTAMP)",
-    "f": "round(CAST({0} AS DOUBLE), 6) + 0.0",
-    "m": "round(CAST({0} AS DOUBLE), 2) + 0.0",
+    "f": _SQL_ROUND.format("{0}", "1000000.0"),
+    "m": _SQL_ROUND.format("{0}", "100.0"),
 }
 
 

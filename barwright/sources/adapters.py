@@ -136,13 +136,14 @@ class Market:
         li = self.table("lineitem")
         j = li.join(o, li.l_orderkey == o.o_orderkey)
         k = F.col("l_suppkey")
-        price = (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(14,4)")
+        price = (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 10000.0 + 0.5) / 10000.0).cast("decimal(14,4)")
         qty = F.col("l_quantity").cast("decimal(18,4)")
         return j.select(
             (F.col("o_custkey") % 20).alias("portfolio_id"),
             _exchange(k).alias("exchange"),
             _symbol(k).alias("symbol"),
-            (F.col("l_orderkey") * 65536 + F.col("l_linenumber")).alias("txn_id"),
+            # line numbers repeat inside an order, so the ship day completes the id
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 4096 + F.date_diff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date"))).alias("txn_id"),
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
             qty.alias("quantity"),
             price.alias("price"),
