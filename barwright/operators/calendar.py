@@ -46,7 +46,7 @@ def with_nth_session(df: DataFrame, cal: DataFrame, by: str, n: Column, name: st
     sessions = cal.filter("is_session").select(F.col("session_no").alias("_s"), F.col("date").alias(name))
     at = cal.select(F.col("date").alias(by), "session_no")
     return (
-        df.join(at, by).withColumn("_s", F.col("session_no") + n).join(sessions, "_s", "left").drop("_s", "session_no")
+        df.join(at, by, "left").withColumn("_s", F.col("session_no") + n).join(sessions, "_s", "left").drop("_s", "session_no")
     )
 
 

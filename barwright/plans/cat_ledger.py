@@ -21,13 +21,13 @@ define(
 SELECT *, count(*) FILTER (is_session) OVER (ORDER BY date) AS session_no FROM (
 SELECT date, closure, closure IS NULL AS is_session FROM (
 SELECT d.date, CASE WHEN dayofweek(d.date) IN (5, 6) THEN 'Weekend' ELSE h.name END AS closure
-FROM (SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) + 400 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM bars) d
+FROM (SELECT CAST(unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) + 400 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT date FROM bars UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders)) d
 LEFT JOIN holidays h ON h.date = d.date))""",
 )
 
 
 def market_calendar(m):
-    return cal.calendar(cal.span_of(m.bars.select("date")), m.holidays)
+    return cal.calendar(cal.span_of(m.bars.select("date"), m.table("orders").select(F.to_date("o_orderdate"))), m.holidays)
 
 
 @query("cal_01_closure_reason", "date d, closure s, is_session b", "SELECT * FROM cal", "cal")
