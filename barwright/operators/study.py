@@ -137,16 +137,21 @@ def trades(flagged: DataFrame, rules: Rules = Rules(), costs: Costs = Costs()) -
     total_costs = entry_fee + n * opened * costs.adverse + exit_fee + n * closed * adverse
     filled = F.col("fill_state") == "filled"
     only = lambda c: F.when(filled, c)
-    return df.select(
-        *KEY, F.col("date").alias("signal_date"), "fill_state", fill["date"].alias("entry_date"), "exit_date", "reason",
+    # one generated row per signal: later filters on trade fields stay above the
+    # generator instead of being expanded into copies of the array expressions
+    row = F.struct(
+        F.col("fill_state"), fill["date"].alias("entry_date"), F.col("exit_date"), F.col("reason"),
         only(opened).alias("entry_open"), only(entry).alias("entry_price"), only(exit_price).alias("exit_price"), only(n).alias("shares"),
         only(n * (closed - opened)).alias("gross_pnl"), only(net).alias("net_pnl"), only(total_costs).alias("costs"),
         only(F.when(paid > 0, net / paid * 100.0)).alias("return_pct"), only(paid).alias("cash_paid"),
         only(F.date_diff("exit_date", fill["date"])).alias("hold_calendar_days"), only(F.col("exit_rn") - fill["rn"]).alias("sessions_held"),
         only(F.col("corp_action")).alias("corp_action"),
         # the day from which the security is free again
-        F.when(filled, F.col("exit_date")).otherwise(F.coalesce(fill["date"], F.get("_path", F.least(F.size("_path"), F.lit(5)) - 1)["date"], F.col("date"))).alias("free_from"),
+        F.when(filled, F.col("exit_date"))
+        .otherwise(F.coalesce(fill["date"], F.get("_path", F.least(F.size("_path"), F.lit(5)) - 1)["date"], F.col("date")))
+        .alias("free_from"),
     )
+    return df.select(*KEY, F.col("date").alias("signal_date"), F.inline(F.array(row)))
 
 
 def non_overlapping(all_trades: DataFrame) -> DataFrame:
