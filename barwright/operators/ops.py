@@ -211,23 +211,32 @@ def health_states(runs: DataFrame) -> DataFrame:
     """
     done = runs.filter(F.col("status") != "started")
     bad = F.col("status") == "failure"
-    # runs of one task spread over hourly slices: count failures since the last
-    # healthy run inside a slice, then carry over the slice ends
+    # runs of one task spread over hourly slices: inside a slice count failures
+    # since each healthy run, then carry over at most two rows per slice
     df = done.withColumn("slice", F.date_trunc("HOUR", "started_at"))
     inside = Window.partitionBy("task_name", "slice").orderBy("started_at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_island", F.count_if(~bad).over(inside))
-    groups = df.groupBy("task_name", "slice", "_island").agg(
-        F.count_if(bad).alias("fails"), F.max(F.when(~bad, F.struct("started_at", "run_id"))).alias("healthy"), F.max("started_at").alias("last_at"), F.count(F.lit(1)).alias("n")
+    islands = df.groupBy("task_name", "slice", "_island").agg(F.count_if(bad).alias("fails"), F.count(F.lit(1)).alias("n"), F.max("started_at").alias("last_at"))
+    slices = islands.groupBy("task_name", "slice").agg(
+        F.max("_island").alias("islands"), F.sum(F.when(F.col("_island") == 0, F.col("fails")).otherwise(0)).alias("head"),
+        F.max_by("fails", "_island").alias("tail"), F.max(F.when(F.col("_island") > 0, F.col("fails"))).alias("most"),
+        F.sum("n").alias("n"), F.max("last_at").alias("last_at"),
     )
-    w = Window.partitionBy("task_name").orderBy("slice", "_island")
-    # island 0 continues the previous slice's run of failures
-    g = groups.withColumn("_new", F.when(F.col("_island") > 0, 1).otherwise(0))
-    g = g.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    chains = g.groupBy("task_name", "_chain").agg(F.sum("fails").alias("fails"), F.sum("n").alias("n"), F.max("last_at").alias("last_at"))
-    top = chains.groupBy("task_name").agg(
-        F.max_by(F.struct("fails", "_chain"), "_chain").alias("t"), F.max_by("fails", F.when(F.col("fails") >= 3, F.col("_chain"))).alias("_ever"),
-        F.sum("n").alias("runs"), F.max("last_at").alias("last_run"), F.max(F.when(F.col("fails") >= 3, F.col("_chain"))).alias("_last_bad"),
+    healed = F.col("islands") > 0
+    parts = F.array_compact(
+        F.array(
+            F.struct(F.lit(0).alias("part"), F.col("head").alias("fails"), F.lit(0).cast("long").alias("most"), F.lit(0).alias("fresh")),
+            F.when(healed, F.struct(F.lit(1).alias("part"), F.col("tail").alias("fails"), F.col("most").alias("most"), F.lit(1).alias("fresh"))),
+        )
     )
+    ends = slices.select("task_name", "slice", F.explode(parts).alias("p")).select("task_name", "slice", "p.*")
+    w = Window.partitionBy("task_name").orderBy("slice", "part").rowsBetween(Window.unboundedPreceding, 0)
+    chains = ends.withColumn("_chain", F.sum("fresh").over(w)).groupBy("task_name", "_chain").agg(F.sum("fails").alias("fails"), F.max("most").alias("most"))
+    total = slices.groupBy("task_name").agg(F.sum("n").alias("runs"), F.max("last_at").alias("last_run"))
+    top = chains.groupBy("task_name").agg(
+        F.max_by(F.struct("fails", "_chain"), "_chain").alias("t"),
+        F.max(F.when((F.col("fails") >= 3) | (F.col("most") >= 3), F.col("_chain"))).alias("_last_bad"),
+    ).join(total, "task_name")
     sick = F.col("t.fails") >= 3
     return top.select(
         "task_name", "runs", "last_run", F.col("t.fails").alias("consecutive_failures"),

@@ -55,7 +55,15 @@ def observations(rules: DataFrame, facts: DataFrame) -> DataFrame:
 
     facts: symbol, seq, ts, price, change_pct, action, confidence.
     """
-    return rules.filter("is_active").join(facts, "symbol").select(
+    c = F.col
+    # a fact that cannot fire a stateless rule is dropped before the exchange
+    relevant = (
+        F.when(c("rule_type") == "target_price", c("price") >= c("target_price"))
+        .when(c("rule_type") == "percent_move", F.abs("change_pct") >= c("threshold_pct"))
+        .when(c("rule_type") == "confidence", c("confidence") * 100 >= c("min_confidence"))
+        .otherwise(F.lit(True))
+    )
+    return rules.filter("is_active").join(facts, "symbol").filter(relevant).select(
         "rule_id", "symbol", "rule_type", "target_price", "threshold_pct", "min_confidence", "seq", F.col("ts").cast("timestamp").alias("ts"),
         "price", "change_pct", "action", "confidence",
     )
