@@ -116,7 +116,7 @@ def price_at_date(bars: DataFrame, requests: DataFrame) -> DataFrame:
     fwd = F.transform(
         F.filter(starts, lambda i: F.get("closes", i) > 0), lambda i: F.get("closes", i + F.col("horizon")) / F.get("closes", i) - 1.0
     )
-    df = df.withColumn("_fwd", F.when(F.col("mode") == "forecast", F.array_sort(fwd)))
+    df = df.withColumn("_fwd", F.when(F.col("mode") == "forecast", F.sort_array(fwd)))
     daily = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get("closes", i) / F.get("closes", i - 1) - 1.0)
     recent = F.slice(daily, F.greatest(F.size(daily) - 59, F.lit(1)), 60)
     df = df.withColumn("_recent", F.when((F.col("mode") == "forecast") & (F.size("_fwd") < 8), recent))

@@ -195,7 +195,7 @@ def replay(bars: DataFrame, lookback: int, end: Column) -> DataFrame:
     starts = F.filter(F.sequence(F.lit(fixed.MIN_HISTORY - 1), n - 2), lambda i: F.get("dates", i + 1) >= F.date_sub(end, lookback))
     steps = df.select(*KEY, "dates", "closes", "fwd", F.explode(starts).alias("i"))
     # history known at i: returns that ended at i or before
-    known = steps.withColumn("s", F.array_sort(F.slice("fwd", 1, F.col("i"))))
+    known = steps.withColumn("s", F.sort_array(F.slice("fwd", 1, F.col("i"))))
     med = analogue.sorted_percentile(F.col("s"), 0.5)
     spread = F.greatest(analogue.sorted_percentile(F.col("s"), 0.75) - analogue.sorted_percentile(F.col("s"), 0.25), F.lit(0.005))
     rows = known.select(

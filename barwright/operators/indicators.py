@@ -119,17 +119,22 @@ def refresh(bars: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def volatility_regime(df: DataFrame) -> DataFrame:
-    """0 / 1 / 2 by the security's own trailing year of volatility."""
+    """0 / 1 / 2 by the security's own trailing year of volatility.
+
+    The current value is itself in the frame, so it lies at or below the
+    linear-interpolation quantile p of n values exactly when no more than
+    floor((n - 1) * p) of them are smaller: counting replaces sorting.
+    """
     w = trailing(history(recurrence.BLOCK, "date"), 252)
-    df = df.withColumn(
-        "_q",
-        F.when(
-            F.count("volatility_20").over(w) >= 60,
-            F.percentile("volatility_20", F.array(F.lit(0.33), F.lit(0.67))).over(w),
-        ),
-    )
-    v, q = F.col("volatility_20"), F.col("_q")
+    df = df.withColumn("_seen", F.collect_list("volatility_20").over(w))
+    v, n = F.col("volatility_20"), F.size("_seen")
+    df = df.withColumn("_less", F.when(n >= 60, F.size(F.filter("_seen", lambda x: x < v)))).withColumn("_n", n).drop("_seen")
+    within = lambda p: F.col("_less") <= F.floor((F.col("_n") - 1) * F.lit(p))
     return df.withColumn(
         "vol_regime",
-        F.when(q.isNull(), F.lit(None).cast("double")).when(v <= q[0], 0.0).when(v <= q[1], 1.0).otherwise(2.0),
-    ).drop("_q")
+        F.when(F.col("_n") < 60, F.lit(None).cast("double"))
+        .when(v.isNull(), 2.0)
+        .when(within(0.33), 0.0)
+        .when(within(0.67), 1.0)
+        .otherwise(2.0),
+    ).drop("_less", "_n")

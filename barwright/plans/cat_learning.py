@@ -114,7 +114,7 @@ def _(m):
 @query(
     "ml_06_fold_medians", "fold i, rsi_14 f, volume_ratio f",
     """
-SELECT fold, quantile_cont(greatest(-50, least(50, rsi_14)), 0.5) AS rsi_14, quantile_cont(greatest(-50, least(50, volume_ratio)), 0.5) AS volume_ratio
+SELECT fold, quantile_cont(greatest(-50, least(50, rsi_14)), 0.5) FILTER (rsi_14 IS NOT NULL) AS rsi_14, quantile_cont(greatest(-50, least(50, volume_ratio)), 0.5) FILTER (volume_ratio IS NOT NULL) AS volume_ratio
 FROM tech JOIN folds ON date <= train_end GROUP BY fold""",
     "tech folds",
 )
