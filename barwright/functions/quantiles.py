@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 20000
 MARGIN = 0.001
+SMALL = 5000
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], discrete: bool = False) -> DataFrame:
@@ -17,6 +18,8 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     (about 0.2 % of a group, already collapsed to value and count) are ranked.
     Continuous quantiles interpolate linearly between neighbouring ranks.
     """
+    if not groups:
+        raise ValueError("name at least one group column")
     data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
     lows = F.array(*[F.lit(max(p - MARGIN, 0.0)) for p in probs])
     highs = F.array(*[F.lit(min(p + MARGIN, 1.0)) for p in probs])
@@ -29,8 +32,10 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     )
     ends = []
     for j, p in enumerate(probs):
-        lo = F.col("_min") if p <= MARGIN else F.get("_lo", F.lit(j))
-        hi = F.col("_max") if p >= 1 - MARGIN else F.get("_hi", F.lit(j))
+        # below SMALL rows the margin is under a few ranks: take the whole group
+        whole = F.col("n") < SMALL
+        lo = F.col("_min") if p <= MARGIN else F.when(whole, F.col("_min")).otherwise(F.get("_lo", F.lit(j)))
+        hi = F.col("_max") if p >= 1 - MARGIN else F.when(whole, F.col("_max")).otherwise(F.get("_hi", F.lit(j)))
         pos = (F.col("n") - 1) * F.lit(p)
         first = F.ceil(F.col("n") * F.lit(p) - 1e-9) if discrete else F.floor(pos) + 1
         ends.append(
@@ -40,10 +45,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
             )
         )
     wanted = brackets.select(*groups, "n", F.explode(F.array(*ends)).alias("e")).select(*groups, "n", "e.*")
-    if groups:
-        j = data.join(wanted, groups)
-    else:
-        j = data.join(wanted, F.lit(True))
+    j = data.join(wanted, groups)
     below = j.groupBy(*groups, "j").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"))
     inside = j.filter(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*groups, "j", "_v").agg(F.count(F.lit(1)).alias("c"))
     # the neighbour above the bracket is needed when a rank ends it

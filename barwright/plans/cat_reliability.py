@@ -181,11 +181,14 @@ _HALF = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY data_cutoff, exc
 
 def _psi_sql(src, by):
     keys = ", ".join(by)
+    deciles = "[0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]"
+    edges = f"(SELECT {keys}, list_sort(list_distinct(quantile_cont(p, {deciles}))) AS edges FROM ({src}) WHERE NOT cur GROUP BY {keys})"
+    placed = f"""(SELECT h.*, edges, CASE WHEN p >= edges[1] AND p <= edges[-1] THEN least(len(list_filter(edges, lambda x: x <= h.p)), len(edges) - 1) END AS b
+      FROM ({src}) h JOIN {edges} USING ({keys}))"""
+    grid = f"(SELECT {keys}, nr, nc, unnest(range(1, n_edges)) AS k FROM (SELECT {keys}, count(*) FILTER (NOT cur) AS nr, count(*) FILTER (cur) AS nc, max(len(edges)) AS n_edges FROM {placed} GROUP BY {keys}))"
+    counts = f"(SELECT {keys}, b AS k, count(*) FILTER (NOT cur) AS cr, count(*) FILTER (cur) AS cc FROM {placed} WHERE b IS NOT NULL GROUP BY {keys}, b)"
     return f"""SELECT {keys}, round_even(sum((c - r) * ln(c / r)), 4) AS psi FROM (
-  SELECT {keys}, k, greatest(count(*) FILTER (NOT cur AND b = k) / any_value(nr), 1e-4) AS r, greatest(count(*) FILTER (cur AND b = k) / any_value(nc), 1e-4) AS c FROM (
-    SELECT *, count(*) FILTER (NOT cur) OVER (PARTITION BY {keys}) AS nr, count(*) FILTER (cur) OVER (PARTITION BY {keys}) AS nc, unnest(range(1, len(edges))) AS k FROM (
-      SELECT h.*, edges, CASE WHEN p >= edges[1] AND p <= edges[-1] THEN least(len(list_filter(edges, lambda x: x <= p)), len(edges) - 1) END AS b
-      FROM ({src}) h JOIN (SELECT {keys}, list_sort(list_distinct(quantile_cont(p, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM ({src}) WHERE NOT cur GROUP BY {keys}) USING ({keys}))) GROUP BY {keys}, k) GROUP BY {keys}"""
+  SELECT {keys}, greatest(coalesce(cr, 0) / nr, 1e-4) AS r, greatest(coalesce(cc, 0) / nc, 1e-4) AS c FROM {grid} LEFT JOIN {counts} USING ({keys}, k)) GROUP BY {keys}"""
 
 
 def _ks_sql(src, by):
