@@ -43,17 +43,25 @@ def technical(bars: DataFrame) -> DataFrame:
     return volatility_regime(df)
 
 
-def with_market(df: DataFrame, returns: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Left-join exchange and sector context, with neutral defaults."""
-    ex = ctx.exchange_context(returns)
-    sec = ctx.sector_context(returns).join(ctx.usable_sectors(stocks).filter("sector_usable").select("exchange"), "exchange")
+def with_context(df: DataFrame, returns: DataFrame, stocks: DataFrame) -> DataFrame:
+    """Left-join sector label, exchange and sector context, with neutral defaults.
+
+    The exchange context is broadcast: two exchanges times the days of the
+    calendar bound it whatever the number of bars.
+    """
+    ex = F.broadcast(ctx.exchange_context(returns))
+    usable = F.broadcast(ctx.usable_sectors(stocks).filter("sector_usable").select("exchange"))
+    sec = ctx.sector_context(returns).join(usable, "exchange")
     df = (
         df.join(stocks.select(*KEY, "sector"), KEY, "left")
         .join(ex, ["exchange", "date"], "left")
         .join(sec, ["exchange", "sector", "date"], "left")
     )
     defaults = {"index_ret_1d": 0.0, "index_ret_5d": 0.0, "index_ret_20d": 0.0, "sector_ret_1d": 0.0, "breadth": 0.5}
-    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items()})
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(d)) for c, d in defaults.items()})
+
+
+def relative_strength(df: DataFrame) -> DataFrame:
     r1, r5, r20 = (F.coalesce(F.col(f"return_{n}d"), F.lit(0.0)) for n in (1, 5, 20))
     return df.withColumns(
         {
@@ -67,6 +75,10 @@ def with_market(df: DataFrame, returns: DataFrame, stocks: DataFrame) -> DataFra
     )
 
 
+def with_market(df: DataFrame, returns: DataFrame, stocks: DataFrame) -> DataFrame:
+    return relative_strength(with_context(df, returns, stocks))
+
+
 def with_labels(df: DataFrame) -> DataFrame:
     """Forward labels; null where the outcome is not known yet."""
     w = history(recurrence.BLOCK, "date")
@@ -89,11 +101,11 @@ def with_labels(df: DataFrame) -> DataFrame:
 def feature_frame(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     """Features and labels of every bar.
 
-    Labels are taken before the context joins so that all windows share the
-    one exchange by security.
+    Context joins the narrow bars, before the windows widen them, so the wide
+    frame is never moved again after its one exchange by security.
     """
-    returns = ctx.daily_returns(bars, stocks)
-    return with_market(with_labels(technical(bars)), returns, stocks)
+    placed = with_context(bars, ctx.daily_returns(bars, stocks), stocks)
+    return relative_strength(with_labels(technical(placed)))
 
 
 def latest_vector(bars: DataFrame, stocks: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from barwright.functions.ranking import area_under_curve, ks_distance, ranked_by
 from barwright.functions.rolling import KEY
 from barwright.operators.joins import append_new
 from barwright.operators.panel import classification_metrics, regression_metrics
+from barwright.session import cut_lineage
 
 UNIQUE = ["family", "version", *KEY, "data_cutoff", "horizon"]
 
@@ -221,7 +222,9 @@ def halves(rows: DataFrame, groups: list[str]) -> DataFrame:
 
 def drift(rows: DataFrame, groups: list[str]) -> DataFrame:
     """Split-half drift of predictions, outcomes, calibration and hit rate with flags."""
-    h = halves(rows, groups)
+    # five statistics read the split rows: store them once
+    used = ["data_cutoff", "predicted_return", "outcome_return", "outcome_class", "probability"]
+    h = cut_lineage(halves(rows.select(*dict.fromkeys([*groups, *KEY, *used])), groups))
     psi = stability_index(h, groups, "predicted_return", "is_current")
     ks = ks_distance(h.withColumn("is_reference", ~F.col("is_current")), groups, "predicted_return", "is_reference")
     hit = F.when((F.col("predicted_return") >= 0) == (F.col("outcome_return") >= 0), 1.0).otherwise(0.0)

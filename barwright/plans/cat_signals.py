@@ -9,6 +9,7 @@ from barwright.operators import quality as dq
 from barwright.operators.indicators import indicators, latest, refresh, snapshot
 from barwright.plans.oracle import W, define
 from barwright.plans.registry import query
+from barwright.session import cut_lineage
 
 K = "exchange s, symbol s, date d"
 
@@ -320,7 +321,8 @@ define("newest", "screened", "SELECT * FROM screened WHERE as_of = (SELECT max(a
 
 
 def screened(m):
-    return scoring.analysis(m.bars, m.stocks).withColumn("as_of", F.last_day("as_of"))
+    """The analysis table as a screen reads it: computed once, then stored."""
+    return cut_lineage(scoring.analysis(m.bars, m.stocks).withColumn("as_of", F.last_day("as_of")).drop("patterns"))
 
 
 TOP = "exchange s, symbol s, as_of d, score f, confidence f"
