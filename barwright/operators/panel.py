@@ -125,22 +125,32 @@ def baselines(parts: DataFrame) -> DataFrame:
     return df.select("fold", *KEY, "date", "label", F.explode(preds).alias("b")).select("fold", *KEY, "date", "label", "b.*")
 
 
-def classification_metrics(rows: DataFrame, groups: list[str], truth: str = "label", predicted: str = "predicted", probability: str | None = "probability") -> DataFrame:
-    """Accuracy, balanced accuracy, precision, recall, Brier score and rates per group."""
-    y, p = F.col(truth) == 1, F.col(predicted) == 1
+def balanced_accuracy(y: Column, p: Column, ok: Column | None = None) -> Column:
+    """Mean of the hit rates of both classes over rows where ok holds."""
+    ok = F.lit(True) if ok is None else ok
+    pos, neg = F.count_if(ok & y), F.count_if(ok & ~y)
+    return F.when((pos > 0) & (neg > 0), F.bround((ratio(F.count_if(ok & y & p), pos) + ratio(F.count_if(ok & ~y & ~p), neg)) / 2.0, 4))
+
+
+def classification_columns(y: Column, p: Column, probability: Column | None) -> list[Column]:
+    """Aggregates from boolean truth and prediction."""
     n = F.count(F.lit(1))
-    tp, tn, pos, neg, said = F.count_if(y & p), F.count_if(~y & ~p), F.count_if(y), F.count_if(~y), F.count_if(p)
-    acc = F.bround((tp + tn) / n, 4)
+    tp, tn, pos, said = F.count_if(y & p), F.count_if(~y & ~p), F.count_if(y), F.count_if(p)
     cols = [
-        n.alias("n"), acc.alias("accuracy"),
-        F.when((pos > 0) & (neg > 0), F.bround((ratio(tp, pos) + ratio(tn, neg)) / 2.0, 4)).alias("balanced_accuracy"),
+        n.alias("n"), F.bround((tp + tn) / n, 4).alias("accuracy"), balanced_accuracy(y, p).alias("balanced_accuracy"),
         F.bround(F.coalesce(ratio(tp, said), F.lit(0.0)), 4).alias("precision"), F.bround(F.coalesce(ratio(tp, pos), F.lit(0.0)), 4).alias("recall"),
         F.bround(pos / n, 4).alias("positive_rate_true"), F.bround(said / n, 4).alias("positive_rate_pred"),
     ]
-    if probability:
-        d = F.col(probability) - F.when(y, 1.0).otherwise(0.0)
+    if probability is not None:
+        d = probability - F.when(y, 1.0).otherwise(0.0)
         cols.append(F.bround(F.avg(d * d), 4).alias("brier"))
-    return rows.groupBy(*groups).agg(*cols)
+    return cols
+
+
+def classification_metrics(rows: DataFrame, groups: list[str], truth: str = "label", predicted: str = "predicted", probability: str | None = "probability") -> DataFrame:
+    """Accuracy, balanced accuracy, precision, recall, Brier score and rates per group."""
+    q = F.col(probability) if probability else None
+    return rows.groupBy(*groups).agg(*classification_columns(F.col(truth) == 1, F.col(predicted) == 1, q))
 
 
 def regression_metrics(rows: DataFrame, groups: list[str], truth: str, predicted: str) -> DataFrame:

@@ -11,7 +11,7 @@ from barwright.functions.quantiles import exact_quantiles
 from barwright.functions.ranking import area_under_curve, ks_distance, ranked_by_day
 from barwright.functions.rolling import KEY
 from barwright.operators.joins import append_new
-from barwright.operators.panel import classification_metrics, regression_metrics
+from barwright.operators.panel import balanced_accuracy, classification_columns, regression_metrics
 from barwright.session import cut_lineage
 
 UNIQUE = ["family", "version", *KEY, "data_cutoff", "horizon"]
@@ -76,21 +76,22 @@ def classifier_metrics(rows: DataFrame, groups: list[str]) -> DataFrame:
 
     rows: outcome_class, predicted_class, probability, rule_class, naive_class.
     """
-    y = F.when(F.col("outcome_class"), 1).otherwise(0)
-    flat = rows.withColumns({"_y": y, "_p": F.when(F.col("predicted_class"), 1).otherwise(0), "_q": F.coalesce("probability", F.lit(0.5))})
-    m = classification_metrics(flat, groups, "_y", "_p", "_q")
-    q = clip(F.col("_q"), 1e-6, 1 - 1e-6)
-    loss = flat.groupBy(*groups).agg(F.bround(-F.avg(F.when(F.col("_y") == 1, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))), 4).alias("log_loss"))
-    auc = area_under_curve(rows.withColumn("_q", F.coalesce("probability", F.lit(0.5))), groups, "outcome_class", "_q")
+    y, said = F.coalesce("outcome_class", F.lit(False)), F.coalesce("predicted_class", F.lit(False))
+    raw = F.coalesce("probability", F.lit(0.5))
+    q = clip(raw, 1e-6, 1 - 1e-6)
+    baseline = {name: F.col(f"{name}_class") for name in ("rule", "naive")}
+    # model, loss and both baselines come out of one pass over the rows
+    m = rows.groupBy(*groups).agg(
+        *classification_columns(y, said, raw),
+        F.bround(-F.avg(F.when(y, F.ln(q)).otherwise(F.ln(F.lit(1.0) - q))), 4).alias("log_loss"),
+        *[balanced_accuracy(y, F.coalesce(c, F.lit(False)), c.isNotNull()).alias(f"_{name}") for name, c in baseline.items()],
+    )
+    auc = area_under_curve(rows.withColumn("_q", raw), groups, "outcome_class", "_q")
     p, r = F.col("precision"), F.col("recall")
     f1 = F.when((p > 0) & (r > 0), F.bround(p * r * 2.0 / (p + r), 4)).otherwise(0.0)
-    out = m.withColumn("f1", f1).join(loss, groups).join(auc.withColumn("roc_auc", F.bround("roc_auc", 4)), groups)
+    out = m.withColumn("f1", f1).join(auc.withColumn("roc_auc", F.bround("roc_auc", 4)), groups)
     out = out.join(calibration(rows, groups).groupBy(*groups).agg(F.bround(F.sum("gap"), 4).alias("calibration_error")), groups, "left")
-    for name in ("rule", "naive"):
-        base = flat.filter(F.col(f"{name}_class").isNotNull()).withColumn("_b", F.when(F.col(f"{name}_class"), 1).otherwise(0))
-        b = classification_metrics(base, groups, "_y", "_b", None).select(*groups, F.col("balanced_accuracy").alias("_ba"))
-        out = out.join(b, groups, "left").withColumn(f"skill_vs_{name}", F.bround(F.col("balanced_accuracy") - F.col("_ba"), 4)).drop("_ba")
-    return out
+    return out.withColumns({f"skill_vs_{n}": F.bround(F.col("balanced_accuracy") - F.col(f"_{n}"), 4) for n in baseline}).drop("_rule", "_naive")
 
 
 def calibration(rows: DataFrame, groups: list[str], bins: int = 10) -> DataFrame:

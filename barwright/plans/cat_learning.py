@@ -253,17 +253,17 @@ def _(m):
 _EVAL = "fold i, kind s, n i, accuracy f, balanced_accuracy f, brier f, balanced_skill f"
 
 
-def _trained(m):
+def _trained(m, n_folds):
     panel = cut_lineage(pn.forward_panel(m.bars, m.stocks))
-    return panel, pn.folds(panel, 2, 14)
+    return panel, pn.folds(panel, n_folds, 14)
 
 
 @query("ml_08_candidate_kinds", _EVAL)
 def _(m):
-    panel, folds = _trained(m)
+    panel, folds = _trained(m, 1)
     out = None
     for kind in models.KINDS:
-        e = models.evaluate(panel, folds.filter("fold = 1"), kind, 730, trees=5)
+        e = models.evaluate(panel, folds, kind, 730, trees=5)
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -279,16 +279,16 @@ def _(m):
 
 @query("ml_15_walk_forward_evaluation", _EVAL)
 def _(m):
-    panel, folds = _trained(m)
+    panel, folds = _trained(m, 2)
     return models.evaluate(panel, folds, "logistic")
 
 
 @query("ml_16_candidate_selection", "kind s, rolling_days i, skill_vs_naive f, folds i, is_best b, status s")
 def _(m):
-    panel, folds = _trained(m)
+    panel, folds = _trained(m, 1)
     out = None
     for days in (365, 1095):
-        e = models.evaluate(panel, folds.filter("fold = 2"), "logistic", days)
+        e = models.evaluate(panel, folds, "logistic", days)
         out = e if out is None else out.unionByName(e)
     return models.gate(models.select_candidate(out))
 

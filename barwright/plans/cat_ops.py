@@ -1,7 +1,5 @@
 """Operations and streaming queries (survey 2.4 parts, 2.12)."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from barwright.functions.rolling import KEY
@@ -9,6 +7,7 @@ from barwright.operators import calendar as cal
 from barwright.operators import ops
 from barwright.plans.oracle import define
 from barwright.plans.registry import query
+from barwright.session import work_folder
 from barwright.streaming import alerts, dedupe, health, quotes
 
 NOW = "2024-01-30 23:59:00"
@@ -228,23 +227,11 @@ def _quote_stream(m):
 
 @query("str_01_streamed_daily_bars", "symbol s, date d, open f, high f, low f, close f, volume i", "SELECT symbol, CAST(ts AS DATE) AS date, arg_min(coalesce(nullif(open, 0), ltp), (ts, event_id)) AS open, max(greatest(coalesce(high, ltp), ltp)) AS high, min(least(coalesce(low, ltp), ltp)) AS low, arg_max(ltp, (ts, event_id)) AS close, arg_max(volume, (ts, event_id)) AS volume FROM quotes WHERE ltp > 0 GROUP BY ALL", "quotes")
 def _(m):
-    folder = tempfile.mkdtemp(prefix="run-stream-", dir=_work_dir(m.spark))
+    folder = work_folder(m.spark, "stream")
     quotes.run_available(_quote_stream(m).quotes, f"{folder}/bars", f"{folder}/checkpoint")
     return quotes.read_upserted(m.spark, f"{folder}/bars")
 
 
-def _work_dir(spark):
-    """Stream output goes beside the cluster's checkpoint folder when it is local."""
-    from barwright.session import checkpoint_dir
-
-    folder = checkpoint_dir(spark)
-    local = folder.removeprefix("file:")
-    import os
-
-    os.makedirs(local, exist_ok=True)
-    return local
-
-
 define(
     "health_walk", "task_runs",
     """
@@ -267,7 +254,7 @@ def _(m):
 
 @query("str_02_task_health_stream", HEALTH, "SELECT * FROM health_state", "health_state")
 def _(m):
-    folder = tempfile.mkdtemp(prefix="run-stream-", dir=_work_dir(m.spark))
+    folder = work_folder(m.spark, "stream")
     runs = _quote_stream(m).task_runs.withColumn("started_at", F.col("started_at").cast("timestamp"))
     states = health.task_health(runs)
 

@@ -161,11 +161,11 @@ SELECT exchange, mult AS multiplier, count(*) AS n, count(*) FILTER (p > 0) AS t
   round_even((exp(sum(ln(1 + a))) - 1) * 100, 4) AS benchmark_return_pct, round_even(count(*) FILTER (p > 0) * 0.011 * mult * 100, 4) AS cost_pct
 FROM (SELECT *, max(lv) OVER (PARTITION BY exchange, mult ORDER BY target_date, symbol) AS pk FROM (
   SELECT *, sum(g) OVER (PARTITION BY exchange, mult ORDER BY target_date, symbol) AS lv FROM (
-    SELECT *, ln(1 + CASE WHEN p > 0 THEN a - 0.011 * mult ELSE 0 END) AS g FROM rl, (SELECT unnest([1.0, 1.5, 2.0]) AS mult) WHERE target_date >= DATE '2001-06-01'))) GROUP BY exchange, mult""",
+    SELECT *, ln(1 + CASE WHEN p > 0 THEN a - 0.011 * mult ELSE 0 END) AS g FROM rl, (SELECT unnest([1.0, 1.5, 2.0]) AS mult)))) GROUP BY exchange, mult""",
     "rl",
 )
 def _(m):
-    rows = predictions(m).filter(F.col("target_date") >= F.lit("2001-06-01").cast("date"))
+    rows = predictions(m)
     parts = [rel.economic(rows, ["exchange"], k).withColumn("multiplier", F.lit(k)) for k in (1.0, 1.5, 2.0)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -371,3 +371,77 @@ def _(m):
 )
 def _(m):
     return m.stocks.select("exchange").distinct().select("exchange", schema_hash(F.array(*map(F.lit, fixed.NEXT_CLOSE_FEATURES))).alias("hash"))
+
+
+@query(
+    "set_03_flag_intersection", "exchange s, symbol s, date d, common s",
+    "SELECT *, array_to_string(list_sort(list_intersect(quality_flags, ['abnormal_jump', 'gap_before'])), ',') AS common FROM scanned WHERE list_has_any(quality_flags, ['abnormal_jump', 'gap_before'])",
+    "scanned",
+)
+def _(m):
+    from barwright.functions.expr import flags_overlap
+    from barwright.operators.quality import full_scan
+    from barwright.plans.cat_windows import disturbed
+
+    wanted = ["abnormal_jump", "gap_before"]
+    df = full_scan(disturbed(m)).filter(flags_overlap(F.col("quality_flags"), wanted))
+    return df.withColumn("common", F.array_join(F.array_sort(F.array_intersect("quality_flags", F.array(*map(F.lit, wanted)))), ","))
+
+
+@query(
+    "fn_02_dates", "event_id i, local_day d, in_ten d, weekday i, weekend b, days_to_month_end i",
+    "SELECT event_id, CAST(ts + INTERVAL 6 HOUR AS DATE) AS local_day, CAST(ts AS DATE) + 10 AS in_ten, (dayofweek(ts) + 6) % 7 AS weekday, dayofweek(ts) IN (5, 6) AS weekend, last_day(CAST(ts AS DATE)) - CAST(ts AS DATE) AS days_to_month_end FROM events",
+)
+def _(m):
+    from barwright.operators.calendar import is_weekend
+
+    day = F.to_date("ts")
+    return m.table("events").select(
+        "event_id", F.to_date(F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(6))).alias("local_day"), F.date_add(day, 10).alias("in_ten"),
+        F.weekday(day).alias("weekday"), is_weekend(day).alias("weekend"), F.date_diff(F.last_day(day), day).alias("days_to_month_end"),
+    )
+
+
+@query(
+    "fn_03_math", "event_id i, clipped f, decay f, powered f, sign i, logged f, root f",
+    "SELECT event_id, greatest(5, least(60, value)) AS clipped, exp(-value / 55) AS decay, pow(0.5, value / 180) AS powered, sign(value - 20) AS sign, ln(1 + value) AS logged, sqrt(value) AS root FROM events",
+)
+def _(m):
+    from barwright.functions.expr import clip
+
+    v = F.col("value")
+    return m.table("events").select(
+        "event_id", clip(v, 5, 60).alias("clipped"), F.exp(-v / 55.0).alias("decay"), F.pow(F.lit(0.5), v / 180.0).alias("powered"), F.signum(v - 20.0).alias("sign"),
+        F.log1p(v).alias("logged"), F.sqrt(v).alias("root"),
+    )
+
+
+@query(
+    "fn_04_rounding", "portfolio_id i, txn_id i, half_up f, half_even f",
+    "SELECT portfolio_id, txn_id, floor(price * 100 + 0.5) / 100 AS half_up, round_even(CAST(l_tail AS DOUBLE) / 2, 0) AS half_even FROM (SELECT *, txn_id % 1000 AS l_tail FROM ledger)", "ledger",
+)
+def _(m):
+    return m.ledger.select("portfolio_id", "txn_id", F.round("price", 2).alias("half_up"), F.bround((F.col("txn_id") % 1000) / 2.0).alias("half_even"))
+
+
+@query(
+    "fn_05_json", "run_id i, k i, error s, merged i",
+    "SELECT event_id AS run_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 9 = 0 THEN 'e' || event_id END AS error, 2 AS merged FROM events",
+)
+def _(m):
+    from barwright.functions.expr import nested_get
+
+    e = m.table("events").select(F.col("event_id").alias("run_id"), nested_get(F.col("props"), "k").alias("k"), F.from_json("props", "map<string,long>").alias("p"))
+    d = m.task_runs.select("run_id", nested_get(F.col("detail"), "live.error").alias("error"))
+    return e.join(d, "run_id").withColumn("merged", F.size(F.map_concat("p", F.create_map(F.lit("extra"), F.lit(1).cast("long")))))
+
+
+@query(
+    "fn_07_buckets", "event_id i, tenth i, band s",
+    "SELECT event_id, least(floor(u * 10), 9) AS tenth, CASE WHEN u >= 0.8 THEN 'Very high' WHEN u >= 0.6 THEN 'High' WHEN u >= 0.4 THEN 'Moderate' WHEN u >= 0.2 THEN 'Low' ELSE 'Very low' END AS band FROM (SELECT *, (event_id % 1001) / 1000.0::DOUBLE AS u FROM events)",
+)
+def _(m):
+    from barwright.functions.expr import confidence_label
+
+    u = (F.col("event_id") % 1001) / 1000.0
+    return m.table("events").select("event_id", F.least(F.floor(u * 10), F.lit(9)).alias("tenth"), confidence_label(u).alias("band"))

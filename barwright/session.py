@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -34,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     The cluster names a shared folder in ``spark.checkpoint.dir``; only where
     that setting is absent (tests, a laptop) a temporary folder is used.
     """
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -45,6 +46,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return fallback
 
 
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder name under the shared checkpoint folder; Spark creates it on write."""
+    return f"{checkpoint_dir(spark)}/run-{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df):
     """Reliable checkpoint: the result survives the loss of any executor."""
     spark = df.sparkSession
