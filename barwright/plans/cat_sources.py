@@ -181,6 +181,16 @@ def _(m):
     return html.links(m.table("pages"))
 
 
+@query(
+    "src_07_page_link_targets", "page_id i, link_no i, href s",
+    """
+SELECT page_id, generate_subscripts(h, 1) - 1 AS link_no, replace(unnest(h), '&amp;', '&') AS href
+FROM (SELECT page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages)""",
+)
+def _(m):
+    return html.links(m.table("pages"))
+
+
 @query(
     "src_08_archive_pages", "symbol s, date d, open f, high f, low f, close f, volume i",
     f"""

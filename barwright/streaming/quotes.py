@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def day_start(spark: SparkSession) -> str:
+    """Offset of local midnight from a UTC day, for day windows in the session's zone."""
+    offset = datetime.now(ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))).utcoffset()
+    return f"{int(-offset.total_seconds()) % 86400} seconds"
+
+
 def daily_bars(quotes: DataFrame, delay: str = "1 day") -> DataFrame:
     """Streaming aggregate of quotes to (symbol, day) bars.
 
@@ -16,7 +25,7 @@ def daily_bars(quotes: DataFrame, delay: str = "1 day") -> DataFrame:
     at = F.struct("ts", "event_id")
     df = quotes.filter(ltp > 0).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     return (
-        df.groupBy("symbol", F.window("ts", "1 day").alias("w"))
+        df.groupBy("symbol", F.window("ts", "1 day", startTime=day_start(quotes.sparkSession)).alias("w"))
         .agg(
             F.min_by(F.coalesce(F.nullif("open", F.lit(0.0)), ltp), at).alias("open"),
             F.max(F.greatest(F.coalesce("high", ltp), ltp)).alias("high"),
