@@ -174,12 +174,10 @@ def skill(settled: DataFrame, newest: int | None = 8000, since: Column | None =
 
 def live_gates(served: DataFrame, candidate: DataFrame, least: int = 50) -> DataFrame:
     """Whether to take the model out of service and to serve the naive close."""
-    s = served.select(((F.col("n") >= least) & (F.col("skill_vs_naive") <= 0)).alias("downgrade_model"))
-    c = candidate.select(
-        F.when((F.col("n") >= least) & F.col("skill_vs_naive").isNotNull(), F.col("skill_vs_naive") <= 0).alias("serve_naive")
-    )
-    # two one-row tables
-    return s.withColumn("_k", F.lit(1)).join(c.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    naive = candidate.select(
+        F.when((F.col("n") >= least) & F.col("skill_vs_naive").isNotNull(), F.col("skill_vs_naive") <= 0)
+    ).scalar()
+    return served.select(((F.col("n") >= least) & (F.col("skill_vs_naive") <= 0)).alias("downgrade_model"), naive.alias("serve_naive"))
 
 
 def replay(bars: DataFrame, lookback: int, end: Column) -> DataFrame:

@@ -75,7 +75,8 @@ SELECT i, d.date AS test_start, lead(d.date) OVER (ORDER BY i) AS test_end FROM
 
 
 def _folds(m, panel):
-    return pn.folds(panel, 5, 14)
+    """A handful of rows that several branches read: stored once."""
+    return cut_lineage(pn.folds(panel, 5, 14))
 
 
 @query("ml_03_walk_forward_folds", "fold i, train_end d, test_start d, test_end d", "SELECT * FROM folds", "folds")
@@ -123,7 +124,7 @@ def _(m):
 
     p = light(m)
     rows = pn.split(feat.technical(m.bars).select(*KEY, "date", "rsi_14", "volume_ratio"), _folds(m, p)).filter(F.col("part") == "train")
-    rows = pn.clipped(rows, ["rsi_14", "volume_ratio"])
+    rows = cut_lineage(pn.clipped(rows, ["rsi_14", "volume_ratio"]))
     one = lambda c: exact_quantiles(rows, ["fold"], c, [0.5]).select("fold", F.get("q", F.lit(0)).alias(c))
     return one("rsi_14").join(one("volume_ratio"), "fold")
 
