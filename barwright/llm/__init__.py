@@ -3,6 +3,12 @@
 import importlib
 
 _QUERIES = {
+    "tokens": "op1_token_files",
+    "html_diff": "op2_html_text",
+    "pieces": "op3_sentencepiece",
+    "phrases": "op5_fingerprints",
+    "licenses": "op9_license_scan",
+    "topk": "op10_exact_top_k",
     "langid": "op8_language_id",
     "simhash": "op6_simhash_near_dedup",
     "secret_scan": "op7_secret_scan",

@@ -18,20 +18,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import text_chunks
+from barwright.llm.shared import text_chunks, worker_store
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
 SAMPLE_PER_LANGUAGE = 2000
 UNKNOWN = "und"
-_LETTER: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
     """For each code point whether it is a letter; built once in a Python worker."""
-    if not _LETTER:
-        _LETTER.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
-    return _LETTER[0]
+    store = worker_store("letters")
+    if "table" not in store:
+        store["table"] = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return store["table"]
 
 
 def ngram_buckets(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

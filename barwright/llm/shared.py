@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -43,18 +44,23 @@ def text_chunks(texts: pd.Series, chars: int = 1_000_000) -> Iterator[list[str]]
         yield part
 
 
-def range_firsts(keys: DataFrame, n: int) -> list[tuple]:
-    """First key of each of about `n` ranges that hold equal shares of the rows, ascending.
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker, for models and caches that tasks share."""
+    return vars(sys).setdefault("_barwright_store", {}).setdefault(name, {})
+
+
+def range_edges(keys: DataFrame, n: int) -> list[tuple[tuple, tuple]]:
+    """First and last key of each of about `n` ranges that hold equal shares of the rows, ascending.
 
     Only key columns are read and shuffled; the driver gets one row for each range.
     """
-    firsts = (
+    edges = (
         keys.repartitionByRange(n, *keys.columns)
         .select(F.spark_partition_id().alias("part"), F.struct(*keys.columns).alias("key"))
         .groupBy("part")
-        .agg(F.min("key").alias("first"))
+        .agg(F.min("key").alias("first"), F.max("key").alias("last"))
     )
-    return sorted(tuple(r["first"]) for r in firsts.collect())
+    return sorted((tuple(r["first"]), tuple(r["last"])) for r in edges.collect())
 
 
 def range_of(firsts: list[tuple], key: tuple) -> int:
