@@ -1,12 +1,9 @@
 """Weighted-average-cost ledger: replay, holdings, summary and validation.
 
-One (portfolio, security) key may hold a large share of all transactions, so
-a key's ordered history is cut into blocks of bounded size.  Inside a block
-the fold over accepted rows is affine in the cost carried in, hence blocks are
-folded independently and their summaries composed.  Only the held quantity is
-not affine (a sell above it is skipped): blocks start from the quantity that
-plain sums predict, and those whose start proves wrong are folded again until
-every start equals the previous end.
+A position's rows are walked in ledger order (date, time of entry, id), whatever their number, in exact integers:
+quantities in units of 0.0001, money in units of 1e-10, the cost a sale removes rounded half up to such a unit.
+Whether a sale is covered depends on every row before it, so a position is walked by one task; it streams through
+in sorted order with a state of a few numbers, and the sort may spill.
 """
 
 from __future__ import annotations
@@ -15,126 +12,94 @@ from collections.abc import Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwright import fixed
 from barwright.functions.rolling import KEY
-from barwright.session import cut_lineage
 
 POSITION = ["portfolio_id", *KEY]
-BLOCK_ROWS = 200_000
-DAY_CUTS = 256
-ZERO = Decimal(0)
+ORDER = ["txn_date", "created_at", "txn_id"]
 MONEY = "decimal(30,10)"
-
-
-def with_blocks(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Number consecutive runs of rows per position, about block_rows each.
-
-    Block edges come from per-day counts (calendar-bounded per position); a
-    day with more rows than a block is cut at transaction-id quantiles.
-    """
-    per_day = ledger.groupBy(*POSITION, "txn_date").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("txn_id", [i / DAY_CUTS for i in range(1, DAY_CUTS)], 10000).alias("_cuts"),
-    )
-    w = Window.partitionBy(*POSITION).orderBy("txn_date").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = per_day.select(
-        *POSITION, "txn_date",
-        F.floor(F.coalesce(F.sum("_n").over(w), F.lit(0)) / block_rows).alias("_base"),
-        F.when(F.col("_n") > block_rows, F.col("_cuts")).otherwise(F.array().cast("array<bigint>")).alias("_cuts"),
-    )
-    inside = F.size(F.filter("_cuts", lambda c: c < F.col("txn_id")))
-    return (
-        ledger.join(per_day, [*POSITION, "txn_date"])
-        .withColumn("block", F.col("_base") * (DAY_CUTS * 4) + F.when(F.size("_cuts") > 0, inside + F.lit(DAY_CUTS)).otherwise(F.lit(0)))
-        .drop("_base", "_cuts")
-    )
-
-
-FOLD_SCHEMA = (
-    "portfolio_id long, exchange string, symbol string, block long, q_in decimal(30,10), q_out decimal(30,10), keep double, "
-    "cost decimal(30,10), basis_fees decimal(30,10), realized decimal(30,10), removed double, fees_paid decimal(30,10), "
-    "bought decimal(30,10), considered long, skipped long, first_skipped long, last_skipped long"
+QUANTITY_UNITS = 10_000
+FEE_TO_MONEY = 1_000_000  # a fee has four digits, money ten
+VALUE_TO_MONEY = 100  # quantity times price has eight
+WALKED = [*POSITION, "txn_id", "side", "_q", "_p", "_f"]
+
+HELD_SCHEMA = (
+    f"portfolio_id long, exchange string, symbol string, quantity {MONEY}, purchase_cost {MONEY}, fees_in_basis {MONEY}, realized_pl {MONEY}, "
+    f"total_fees_paid {MONEY}, lifetime_buy_quantity {MONEY}, transactions_considered long, skipped_sells long, last_skipped_txn long"
 )
-
-
-ROW_COLUMNS = [*POSITION, "block", "txn_id", "txn_date", "side", "quantity", "price", "fees", "q_in"]
-EXACT = ["q_in", "q_out", "cost", "basis_fees", "realized", "fees_paid", "bought"]
-UNIT = Decimal("1E-10")
+HELD_COLUMNS = [c.split()[0] for c in HELD_SCHEMA.replace(MONEY, "money").split(", ")]
 
 
 class _Position:
-    """Running state of one block while its rows stream by in ledger order."""
+    """Running state of a position while its rows stream by in ledger order."""
 
-    __slots__ = ("start", "held", "keep", "removed", "cost", "fees", "realized", "paid", "bought", "rows", "skipped", "ends")
+    __slots__ = ("held", "cost", "fees", "realized", "paid", "bought", "rows", "skipped", "last_skipped")
 
-    def __init__(self, start: Decimal):
-        self.start = self.held = start
-        self.keep, self.removed = 1.0, 0.0
-        self.cost = self.fees = self.realized = self.paid = self.bought = ZERO
-        self.rows = self.skipped = 0
-        self.ends: tuple = (None, None)
+    def __init__(self):
+        self.held = self.cost = self.fees = self.realized = self.paid = self.bought = self.rows = self.skipped = 0
+        self.last_skipped: int | None = None
 
-    def take(self, txn_id: int, side: str, quantity: Decimal, price: Decimal, fees: Decimal) -> bool:
+    def take(self, txn_id: int, side: str, quantity: int, price: int, fees: int) -> bool:
         """Apply one transaction; False when it sells more than is held."""
         self.rows += 1
+        value, fee = quantity * price * VALUE_TO_MONEY, fees * FEE_TO_MONEY
         if side == "BUY":
-            self.cost += quantity * price
-            self.fees += fees
+            self.cost += value
+            self.fees += fee
             self.bought += quantity
             self.held += quantity
         elif quantity > self.held:
             self.skipped += 1
-            self.ends = (self.ends[0] or txn_id, txn_id)
+            self.last_skipped = txn_id
             return False
         else:
-            share = quantity / self.held if self.held > ZERO else ZERO
-            gone = (self.cost * share, self.fees * share)
-            self.realized += (quantity * price - fees) - (gone[0] + gone[1])
-            self.cost -= gone[0]
-            self.fees -= gone[1]
-            self.removed += self.keep * float(share)
-            self.keep *= 1.0 - float(share)
+            held = self.held
+            cost = (2 * self.cost * quantity + held) // (2 * held) if held else 0
+            basis = (2 * self.fees * quantity + held) // (2 * held) if held else 0
+            self.realized += value - fee - cost - basis
+            self.cost -= cost
+            self.fees -= basis
             self.held -= quantity
-        self.paid += fees
+        self.paid += fee
         return True
 
     def summary(self) -> tuple:
+        quantity = lambda n: Decimal(n).scaleb(-4)
+        money = lambda n: Decimal(n).scaleb(-10)
         return (
-            self.start, self.held, self.keep, self.cost, self.fees, self.realized, self.removed, self.paid, self.bought,
-            self.rows, self.skipped, *self.ends,
-        )
+            quantity(self.held), money(self.cost), money(self.fees), money(self.realized), money(self.paid), quantity(self.bought),
+            self.rows, self.skipped, self.last_skipped,
+        )
 
 
-def _ordered_rows(df: DataFrame) -> DataFrame:
-    """Rows of a block together and in ledger order; the sort may spill."""
-    group = [*POSITION, "block"]
-    return df.select(*ROW_COLUMNS).repartition(*group).sortWithinPartitions(*group, "txn_date", "txn_id")
+def _ordered_rows(ledger: DataFrame) -> DataFrame:
+    """Rows of a position together and in ledger order, amounts in whole units."""
+    units = lambda c: F.coalesce((F.col(c) * QUANTITY_UNITS).cast("long"), F.lit(0).cast("long"))
+    rows = ledger.select(*POSITION, *ORDER, "side", units("quantity").alias("_q"), units("price").alias("_p"), units("fees").alias("_f"))
+    return rows.repartition(*POSITION).sortWithinPartitions(*POSITION, *ORDER).select(*WALKED)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Per batch, (key, position, row values, accepted) in order; state spans batches."""
+    """Per batch (key, position, id, quantity before, accepted) in order; state spans batches."""
     key = position = None
     for pdf in batches:
         seen = []
-        for values in zip(*(pdf[c].tolist() for c in ROW_COLUMNS)):
-            if values[:4] != key:
-                key, position = values[:4], _Position(values[10])
+        for portfolio, exchange, symbol, txn_id, *row in zip(*(pdf[c].tolist() for c in WALKED)):
+            here = (portfolio, exchange, symbol)
+            if here != key:
+                key, position = here, _Position()
             before = position.held
-            seen.append((key, position, values, before, position.take(values[4], *values[6:10])))
+            seen.append((key, position, txn_id, before, position.take(txn_id, *row)))
         yield seen
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in FOLD_SCHEMA.replace("decimal(30,10)", "x").split(", ")]
-
     def frame(done: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame([(*k, *p.summary()) for k, p in done], columns=names)
-        for c in EXACT:
-            out[c] = [d.quantize(UNIT) for d in out[c]]
-        return out.astype({"first_skipped": "Int64", "last_skipped": "Int64"})
+        out = pd.DataFrame([(*k, *p.summary()) for k, p in done], columns=HELD_COLUMNS)
+        return out.astype({"last_skipped_txn": "Int64"})
 
     open_one = None
     for seen in _walk(batches):
@@ -149,93 +114,22 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame([open_one])
 
 
-def _fold_blocks(blocked: DataFrame, starts: DataFrame) -> DataFrame:
-    joined = blocked.join(starts.select(*POSITION, "block", F.col("q_in").cast(MONEY).alias("q_in")), [*POSITION, "block"])
-    return _ordered_rows(joined).mapInPandas(_fold, FOLD_SCHEMA)
-
-
-def _predicted_starts(blocked: DataFrame) -> DataFrame:
-    net = F.sum(F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast(MONEY))
-    per_block = blocked.groupBy(*POSITION, "block").agg(net.alias("_net"))
-    w = Window.partitionBy(*POSITION).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.greatest(F.coalesce(F.sum("_net").over(w), F.lit(0)), F.lit(0)).cast(MONEY)
-    return per_block.select(*POSITION, "block", before.alias("q_in"))
-
-
-def fold_ledger(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Block summaries of every position with consistent start quantities."""
-    largest = ledger.groupBy(*POSITION).count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:
-        flat = ledger.withColumns({"block": F.lit(0).cast("long"), "q_in": F.lit(0).cast(MONEY)})
-        return _ordered_rows(flat).mapInPandas(_fold, FOLD_SCHEMA)
-    blocked = cut_lineage(with_blocks(ledger, block_rows))
-    done = cut_lineage(_fold_blocks(blocked, _predicted_starts(blocked)))
-    w = Window.partitionBy(*POSITION).orderBy("block")
-    while True:
-        due = F.coalesce(F.lag("q_out").over(w), F.lit(0).cast(MONEY))
-        wrong = done.withColumn("_due", due).filter(F.col("_due") != F.col("q_in"))
-        starts = wrong.select(*POSITION, "block", F.col("_due").alias("q_in"))
-        if starts.isEmpty():
-            return done
-        again = _fold_blocks(blocked, starts)
-        done = cut_lineage(done.join(starts, [*POSITION, "block"], "left_anti").unionByName(again))
-
-
-def holdings(ledger: DataFrame, as_of: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """End state of every position as of a date (closed positions included)."""
-    if as_of is not None:
-        ledger = ledger.filter(F.col("txn_date") <= as_of)
-    blocks = fold_ledger(ledger, block_rows)
-    part = F.struct("block", "q_out", "keep", "cost", "basis_fees", "realized", "removed")
-    g = blocks.groupBy(*POSITION).agg(
-        F.array_sort(F.collect_list(part)).alias("parts"),
-        F.sum("fees_paid").alias("total_fees_paid"),
-        F.sum("bought").alias("lifetime_buy_quantity"),
-        F.sum("considered").alias("transactions_considered"),
-        F.sum("skipped").alias("skipped_sells"),
-        F.max_by("last_skipped", F.when(F.col("last_skipped").isNotNull(), F.col("block"))).alias("last_skipped_txn"),
-    )
-    zero = F.lit(0).cast(MONEY)
-    state = F.struct(zero.alias("cost"), zero.alias("fees"), zero.alias("realized"))
-
-    def step(s, p):
-        carried = (s["cost"] + s["fees"]).cast("double")
-        part = lambda x: x.cast(MONEY)
-        return F.struct(
-            part(part(s["cost"].cast("double") * p["keep"]) + p["cost"]).alias("cost"),
-            part(part(s["fees"].cast("double") * p["keep"]) + p["basis_fees"]).alias("fees"),
-            part(s["realized"] + p["realized"] - part(carried * p["removed"])).alias("realized"),
-        )
-
-    return g.withColumn("s", F.aggregate("parts", state, step)).select(
-        *POSITION,
-        F.element_at("parts", -1)["q_out"].alias("quantity"),
-        F.col("s.cost").alias("purchase_cost"),
-        F.col("s.fees").alias("fees_in_basis"),
-        F.col("s.realized").alias("realized_pl"),
-        "total_fees_paid", "lifetime_buy_quantity", "transactions_considered", "skipped_sells", "last_skipped_txn",
-    )
-
-
-CHECK_SCHEMA = "portfolio_id long, exchange string, symbol string, txn_id long, held_before decimal(30,10), accepted boolean"
+def holdings(ledger: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """End state of every position as of a date, today by default (closed positions included)."""
+    until = F.current_date() if as_of is None else as_of
+    return _ordered_rows(ledger.filter(F.col("txn_date") <= until)).mapInPandas(_fold, HELD_SCHEMA)
 
 
-def replay_rows(ledger: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def replay_rows(ledger: DataFrame) -> DataFrame:
     """Accepted flag and quantity held before each transaction."""
 
-    names = [c.split()[0] for c in CHECK_SCHEMA.replace("decimal(30,10)", "x").split(", ")]
-
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for seen in _walk(batches):
-            yield pd.DataFrame([(*k[:3], v[4], before.quantize(UNIT), ok) for k, _, v, before, ok in seen], columns=names)
+            yield pd.DataFrame([(*k, txn_id, before, ok) for k, _, txn_id, before, ok in seen], columns=[*POSITION, "txn_id", "before", "accepted"])
 
-    largest = ledger.groupBy(*POSITION).count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:
-        joined = ledger.withColumns({"block": F.lit(0).cast("long"), "q_in": F.lit(0).cast(MONEY)})
-    else:
-        starts = fold_ledger(ledger, block_rows).select(*POSITION, "block", "q_in")
-        joined = with_blocks(ledger, block_rows).join(starts, [*POSITION, "block"])
-    return _ordered_rows(joined).mapInPandas(rows, CHECK_SCHEMA)
+    found = _ordered_rows(ledger).mapInPandas(rows, "portfolio_id long, exchange string, symbol string, txn_id long, before long, accepted boolean")
+    held = (F.col("before").cast("decimal(20,0)") * F.lit(Decimal("0.0001"))).cast(MONEY)
+    return found.select(*POSITION, "txn_id", held.alias("held_before"), "accepted")
 
 
 def validate(ledger: DataFrame, exchanges: list[str] = fixed.EXCHANGES) -> DataFrame:
@@ -279,19 +173,21 @@ def quote_status(quoted: DataFrame, now: Column, sessions: DataFrame, exchanges:
     return df.withColumn("quote_status", status)
 
 
-def holding_rows(held: DataFrame, quotes: DataFrame, previous: DataFrame) -> DataFrame:
-    """Valuation of open positions; money is rounded half up to cents.
+def valued(held: DataFrame, quotes: DataFrame, previous: DataFrame) -> DataFrame:
+    """Valuation of all positions, closed ones included; money is rounded half up to cents.
 
     quotes: KEY, sector, last_price, quote_status; previous: KEY, previous_close.
     """
-    df = held.filter(F.col("quantity") > 0).join(quotes, KEY, "left").join(previous, KEY, "left")
+    df = held.join(quotes, KEY, "left").join(previous, KEY, "left")
     price = F.round(F.col("last_price").cast("decimal(20,10)"), 2)
     prev = F.col("previous_close").cast("decimal(20,10)")
     qty = F.col("quantity").cast("decimal(20,4)")
     df = df.withColumns(
         {
             "price": price,
-            "average_price": F.round(F.col("purchase_cost").cast("decimal(20,8)") / F.col("quantity").cast("decimal(16,4)"), 4),
+            "average_price": F.when(
+                F.col("quantity") > 0, F.round(F.col("purchase_cost").cast("decimal(20,8)") / F.col("quantity").cast("decimal(16,4)"), 4)
+            ),
             "market_value": F.round(price * qty, 2),
             "cost_basis": F.round(F.col("purchase_cost") + F.col("fees_in_basis"), 2),
             "today_pl": F.when(
@@ -312,21 +208,28 @@ def holding_rows(held: DataFrame, quotes: DataFrame, previous: DataFrame) -> Dat
     )
 
 
-def summary(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """Totals, best and worst holding per portfolio."""
-    realized = held.groupBy("portfolio_id").agg(F.round(F.sum("realized_pl"), 2).alias("total_realized_pl"))
+def holding_rows(held: DataFrame, quotes: DataFrame, previous: DataFrame) -> DataFrame:
+    """Valuation of the open positions."""
+    return valued(held.filter(F.col("quantity") > 0), quotes, previous)
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """Totals, best and worst holding per portfolio over valued positions; realised gains of closed ones count."""
     name = F.concat_ws(":", "exchange", "symbol")
+    is_open = F.col("quantity") > 0
     rank = lambda sign: F.struct((F.col("unrealized_pl_pct") * sign).alias("v"), name.alias("n"))
-    open_rows = rows.groupBy("portfolio_id").agg(
-        F.count(F.lit(1)).alias("open_holdings"),
-        F.sum("cost_basis").alias("total_cost_basis"),
-        F.sum("market_value").alias("total_market_value"),
-        F.sum(F.when(F.col("market_value").isNotNull(), F.col("market_value") - F.col("cost_basis"))).alias("total_unrealized_pl"),
-        F.sum("today_pl").alias("today_total_pl"),
-        F.max(F.when(F.col("unrealized_pl_pct").isNotNull(), rank(1.0)))["n"].alias("best_holding"),
-        F.max(F.when(F.col("unrealized_pl_pct").isNotNull(), rank(-1.0)))["n"].alias("worst_holding"),
+    best = lambda sign: F.max(F.when(is_open & F.col("unrealized_pl_pct").isNotNull(), rank(sign)))["n"]
+    total = lambda c: F.sum(F.when(is_open, c))
+    return rows.groupBy("portfolio_id").agg(
+        F.round(F.sum("realized_pl"), 2).alias("total_realized_pl"),
+        F.nullif(F.count(F.when(is_open, 1)), F.lit(0)).alias("open_holdings"),
+        total(F.col("cost_basis")).alias("total_cost_basis"),
+        total(F.col("market_value")).alias("total_market_value"),
+        total(F.when(F.col("market_value").isNotNull(), F.col("market_value") - F.col("cost_basis"))).alias("total_unrealized_pl"),
+        total(F.col("today_pl")).alias("today_total_pl"),
+        best(1.0).alias("best_holding"),
+        best(-1.0).alias("worst_holding"),
     )
-    return realized.join(open_rows, "portfolio_id", "left")
 
 
 def allocation(rows: DataFrame) -> DataFrame:

@@ -167,42 +167,51 @@ def _(m):
 
 
 # ------------------------------------------------------------------ portfolio
+# whole units throughout: quantities of 0.0001, money of 1e-10
 define(
     "led_n", "ledger",
-    "SELECT *, row_number() OVER (PARTITION BY portfolio_id, exchange, symbol ORDER BY txn_date, txn_id) AS rn FROM ledger",
+    """
+SELECT *, CAST(quantity * 10000 AS HUGEINT) AS q, CAST(price * 10000 AS HUGEINT) AS p, CAST(fees * 10000 AS HUGEINT) * 1000000 AS f,
+       row_number() OVER (PARTITION BY portfolio_id, exchange, symbol ORDER BY txn_date, created_at, txn_id) AS rn FROM ledger""",
 )
 define(
     "led_walk",
     "led_n",
     """
-SELECT portfolio_id, exchange, symbol, 0::BIGINT AS rn, 0::BIGINT AS txn_id, true AS accepted, 0::DOUBLE AS before, 0::DOUBLE AS qty, 0::DOUBLE AS cost, 0::DOUBLE AS bfees,
-       0::DOUBLE AS realized, 0::DOUBLE AS paid, 0::DOUBLE AS bought, 0::BIGINT AS skipped, NULL::BIGINT AS last_skipped
+SELECT portfolio_id, exchange, symbol, 0::BIGINT AS rn, 0::BIGINT AS txn_id, true AS accepted, 0::HUGEINT AS before, 0::HUGEINT AS qty, 0::HUGEINT AS cost, 0::HUGEINT AS bfees,
+       0::HUGEINT AS realized, 0::HUGEINT AS paid, 0::HUGEINT AS bought, 0::BIGINT AS skipped, NULL::BIGINT AS last_skipped
 FROM led_n WHERE rn = 1
 UNION ALL
 SELECT portfolio_id, exchange, symbol, rn, txn_id, ok, qty, CASE WHEN NOT ok THEN qty WHEN buy THEN qty + q ELSE qty - q END,
-       CASE WHEN NOT ok THEN cost WHEN buy THEN cost + q * p ELSE cost - cost * share END,
-       CASE WHEN NOT ok THEN bfees WHEN buy THEN bfees + f ELSE bfees - bfees * share END,
-       CASE WHEN ok AND NOT buy THEN realized + (q * p - f) - (cost + bfees) * share ELSE realized END,
+       CASE WHEN NOT ok THEN cost WHEN buy THEN cost + q * p * 100 ELSE cost - gone END,
+       CASE WHEN NOT ok THEN bfees WHEN buy THEN bfees + f ELSE bfees - fgone END,
+       CASE WHEN ok AND NOT buy THEN realized + (q * p * 100 - f) - gone - fgone ELSE realized END,
        CASE WHEN ok THEN paid + f ELSE paid END, CASE WHEN buy THEN bought + q ELSE bought END,
        CASE WHEN ok THEN skipped ELSE skipped + 1 END, CASE WHEN ok THEN last_skipped ELSE txn_id END
-FROM (SELECT w.* EXCLUDE (rn, txn_id, accepted, before), n.rn, n.txn_id, n.side = 'BUY' AS buy, n.side = 'BUY' OR n.quantity::DOUBLE <= w.qty AS ok,
-             n.quantity::DOUBLE AS q, n.price::DOUBLE AS p, n.fees::DOUBLE AS f, CASE WHEN w.qty > 0 THEN n.quantity::DOUBLE / w.qty ELSE 0 END AS share
+FROM (SELECT w.* EXCLUDE (rn, txn_id, accepted, before), n.rn, n.txn_id, n.side = 'BUY' AS buy, n.side = 'BUY' OR n.q <= w.qty AS ok, n.q, n.p, n.f,
+             CASE WHEN w.qty > 0 THEN (2 * w.cost * n.q + w.qty) // (2 * w.qty) ELSE 0 END AS gone,
+             CASE WHEN w.qty > 0 THEN (2 * w.bfees * n.q + w.qty) // (2 * w.qty) ELSE 0 END AS fgone
       FROM led_walk w JOIN led_n n ON n.portfolio_id = w.portfolio_id AND n.exchange = w.exchange AND n.symbol = w.symbol AND n.rn = w.rn + 1)""",
 )
 define(
     "held", "led_walk",
-    "SELECT * FROM led_walk QUALIFY row_number() OVER (PARTITION BY portfolio_id, exchange, symbol ORDER BY rn DESC) = 1",
+    """
+SELECT portfolio_id, exchange, symbol, rn, skipped, last_skipped, qty::DOUBLE / 1e4 AS qty, bought::DOUBLE / 1e4 AS bought, cost::DOUBLE / 1e10 AS cost, bfees::DOUBLE / 1e10 AS bfees,
+       realized::DOUBLE / 1e10 AS realized, paid::DOUBLE / 1e10 AS paid, CAST(cost AS VARCHAR) AS cost_units, CAST(bfees AS VARCHAR) AS fee_units, CAST(realized AS VARCHAR) AS realized_units
+FROM led_walk QUALIFY row_number() OVER (PARTITION BY portfolio_id, exchange, symbol ORDER BY rn DESC) = 1""",
 )
 
 
 @query(
     "pf_01_average_cost_replay",
-    f"{P}, quantity f, purchase_cost f, fees_in_basis f, realized_pl f, total_fees_paid f, lifetime_buy_quantity f, transactions_considered i, skipped_sells i, last_skipped_txn i",
+    f"{P}, quantity f, purchase_cost f, fees_in_basis f, realized_pl f, total_fees_paid f, lifetime_buy_quantity f, transactions_considered i, skipped_sells i, last_skipped_txn i, "
+    "cost_units s, fee_units s, realized_units s",
     "SELECT *, qty AS quantity, cost AS purchase_cost, bfees AS fees_in_basis, realized AS realized_pl, paid AS total_fees_paid, bought AS lifetime_buy_quantity, rn AS transactions_considered, skipped AS skipped_sells, last_skipped AS last_skipped_txn FROM held",
     "held",
 )
 def _(m):
-    return ledger.holdings(m.ledger)
+    units = lambda c: (F.col(c) * 10_000_000_000).cast("decimal(38,0)").cast("string")  # noqa: E731  exact to the last digit
+    return ledger.holdings(m.ledger).withColumns({"cost_units": units("purchase_cost"), "fee_units": units("fees_in_basis"), "realized_units": units("realized_pl")})
 
 
 # quotes as of the end of the data, one minute after each security's last update
@@ -246,13 +255,17 @@ FROM held h LEFT JOIN status s ON s.exchange = h.exchange AND s.symbol = h.symbo
 )
 
 
-def _rows(m):
+def _valued(m):
     held = ledger.holdings(m.ledger)
     quotes = _quotes(m).select(*KEY, "sector", "last_price", "quote_status")
     day = F.lit("2001-11-04").cast("date")
     recent = m.bars_all.filter(~F.col("is_synthetic") & (F.col("date") >= F.date_sub(day, 15)) & (F.col("date") < day))
     prev = recent.groupBy(*KEY).agg(F.max_by("close", "date").alias("previous_close"))
-    return held, ledger.holding_rows(held, quotes, prev)
+    return ledger.valued(held, quotes, prev)
+
+
+def _rows(m):
+    return _valued(m).filter(F.col("quantity") > 0)
 
 
 @query(
@@ -261,7 +274,7 @@ def _rows(m):
     "SELECT * FROM holding", "holding",
 )
 def _(m):
-    return _rows(m)[1]
+    return _rows(m)
 
 
 @query(
@@ -276,8 +289,7 @@ LEFT JOIN (SELECT portfolio_id, count(*) AS open_holdings, sum(cost_basis) AS to
     "held holding",
 )
 def _(m):
-    held, rows = _rows(m)
-    return ledger.summary(rows, held)
+    return ledger.summary(_valued(m))
 
 
 @query(
@@ -290,7 +302,7 @@ SELECT portfolio_id, kind, label, sum(market_value) AS v FROM (
     "holding",
 )
 def _(m):
-    return ledger.allocation(_rows(m)[1])
+    return ledger.allocation(_rows(m))
 
 
 @query(
@@ -303,13 +315,13 @@ FROM (SELECT portfolio_id, 1.0 + portfolio_id % 4 AS limit_pct, 100000.0 * (1 +
 def _(m):
     k = F.col("portfolio_id")
     goals = m.ledger.select(k).distinct().select(k, (F.lit(1.0) + k % 4).alias("limit_pct"), ((k + 1) * 100000.0).alias("target_value"))
-    return ledger.concentration(_rows(m)[1], goals)
+    return ledger.concentration(_rows(m), goals)
 
 
 @query(
     "pf_06_ledger_validation", f"{P}, txn_id i, held_before f, error s",
     """
-SELECT w.portfolio_id, w.exchange, w.symbol, w.txn_id, w.before AS held_before,
+SELECT w.portfolio_id, w.exchange, w.symbol, w.txn_id, w.before::DOUBLE / 1e4 AS held_before,
   CASE WHEN l.side = 'BUY' AND w.exchange <> 'DSE' THEN 'Exchange is disabled for purchases.' WHEN NOT w.accepted THEN 'Sell exceeds the quantity held.' END AS error
 FROM led_walk w JOIN ledger l USING (portfolio_id, exchange, symbol, txn_id) WHERE w.rn > 0""",
     "led_walk ledger",

@@ -367,7 +367,7 @@ SELECT portfolio_id, symbol AS code, exchange, quantity, average_price AS averag
     "holding",
 )
 def _(m):
-    rows = holding_rows(m)[1]
+    rows = holding_rows(m)
     return export.holdings_export(rows, ledger.allocation(rows))
 
 

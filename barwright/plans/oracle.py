@@ -82,7 +82,8 @@ SELECT o_custkey % 20 AS portfolio_id, CASE WHEN l_suppkey % 2 = 0 THEN 'DSE' EL
        CAST(l_quantity AS DECIMAL(18,4)) AS quantity,
        CAST(floor(l_extendedprice / l_quantity * 10000.0 + 0.5) / 10000.0 AS DECIMAL(14,4)) AS price,
        CAST(CAST(l_tax AS DECIMAL(6,2)) * CAST(l_extendedprice AS DECIMAL(18,2)) AS DECIMAL(12,4)) AS fees,
-       CAST(o_orderdate AS DATE) AS txn_date
+       CAST(o_orderdate AS DATE) AS txn_date,
+       CAST(o_orderdate AS DATE) + to_minutes(CAST((l_orderkey * 7 + l_linenumber * 613) % 1440 AS INTEGER)) AS created_at
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 define(

@@ -151,6 +151,8 @@ class Market:
             .cast("decimal(12,4)")
             .alias("fees"),
             F.to_date("o_orderdate").alias("txn_date"),
+            # a minute of the day by rule: the order of entry is not the order of ids
+            F.timestamp_add("MINUTE", ((F.col("l_orderkey") * 7 + F.col("l_linenumber") * 613) % 1440).cast("int"), F.to_date("o_orderdate").cast("timestamp_ntz")).alias("created_at"),
         )
 
     @cached_property
