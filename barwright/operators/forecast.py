@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright import fixed
@@ -96,14 +96,15 @@ def _compose(maps: Column) -> Column:
     return F.aggregate(maps, identity, _after)
 
 
-def global_bias(settled: DataFrame, start: float = 0.0, prefix: int = 3) -> DataFrame:
+def global_bias(settled: DataFrame, start: float = 0.0, run: int = 1000) -> DataFrame:
     """Capped EMA of return errors over all settlements in (target_date, symbol) order.
 
-    Updates are composed per (day, leading characters of the symbol), then per
+    Updates are composed over runs of `run` neighbours of a day's order, then per
     day, then over days, so the ordered fold is an ordinary tree of groupings.
     """
     key = F.concat_ws(":", "symbol", "exchange")
-    rows = settled.select("target_date", F.substring(key, 1, prefix).alias("_p"), key.alias("_k"), _maps(fixed.BIAS_ALPHA_GLOBAL, F.col("return_error")).alias("m"))
+    place = F.row_number().over(Window.partitionBy("target_date").orderBy(key))
+    rows = settled.select("target_date", F.floor(place / run).alias("_p"), key.alias("_k"), _maps(fixed.BIAS_ALPHA_GLOBAL, F.col("return_error")).alias("m"))
     fold = lambda df, by, order: df.groupBy(*by).agg(
         _compose(F.transform(F.array_sort(F.collect_list(F.struct(order, "m"))), lambda s: s["m"])).alias("m")
     )
@@ -151,8 +152,8 @@ def merge_running(batch: DataFrame, prior: DataFrame) -> DataFrame:
     return j.select("exchange", (n0 + F.col("b_n")).alias("settled_count"), mix("mae").alias("mae"), mix("mape").alias("mape"), mix("hit").alias("direction_hit_rate"))
 
 
-def skill(settled: DataFrame, newest: int | None = 8000, since: Column | None = None, prediction: str = "predicted_return") -> DataFrame:
-    """Served (or candidate) skill against the unchanged close, over the newest rows."""
+def skill(settled: DataFrame, newest: int | None = None, since: Column | None = None, prediction: str = "predicted_return") -> DataFrame:
+    """Served (or candidate) skill against the unchanged close, over all rows, those since a day, or the newest."""
     df = settled.filter((F.col("last_close") != 0) & (F.col("actual_close") != 0))
     if since is not None:
         df = df.filter(F.col("target_date") >= since)

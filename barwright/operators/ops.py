@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from barwright import fixed
 from barwright.operators.listing import latest_by, top_per_group
 
-# Hard limit in seconds by task
-HARD_LIMITS = {
-    "sync_live_market": 90, "run_intraday_analysis": 120, "fetch_all_market_data": 600, "run_full_analysis": 900,
-    "append_daily_bars": 600, "train_ml_model": 600, "close_learn_settlement": 600, "assess_ml_reliability": 600,
-    "run_end_of_day": 1800,
-}
-
-
 def seconds_between(a: Column, b: Column) -> Column:
     return F.unix_micros(b.cast("timestamp")) / 1e6 - F.unix_micros(a.cast("timestamp")) / 1e6
 
@@ -184,7 +176,7 @@ def all_alerts(parts: list[DataFrame]) -> DataFrame:
     return df.withColumn("severity_rank", rank)
 
 
-def reconcile_orphans(runs: DataFrame, now: Column, limits: dict[str, int] = HARD_LIMITS) -> DataFrame:
+def reconcile_orphans(runs: DataFrame, now: Column, limits: dict[str, int]) -> DataFrame:
     """Runs still started past their hard limit plus grace become failures."""
     limit = F.lit(fixed.DEFAULT_HARD_LIMIT_SECONDS)
     for task, seconds in limits.items():

@@ -35,10 +35,13 @@ def next_close_panel(bars: DataFrame, stocks: DataFrame, members: DataFrame) ->
 
 
 def universe_or_fallback(liquid: DataFrame, quoted: DataFrame, least: int = 15, n: int = 80) -> DataFrame:
-    """Liquid members, or the most traded securities when too few are liquid."""
-    size = liquid.select(F.count(F.lit(1))).scalar()
-    fallback = quoted.filter("is_active").orderBy(F.desc("last_volume"), *KEY).limit(n).select(*KEY)
-    return liquid.select(*KEY).filter(size >= least).unionByName(fallback.filter(size < least))
+    """Active liquid members of each exchange, or its most traded securities where fewer than `least` are liquid."""
+    active = quoted.filter("is_active").select(*KEY, "last_volume")
+    marked = active.join(liquid.select(*KEY, F.lit(True).alias("_liquid")), KEY, "left")
+    enough = marked.groupBy("exchange").agg((F.count("_liquid") >= least).alias("_enough"))
+    place = F.row_number().over(Window.partitionBy("exchange").orderBy(F.desc_nulls_last("last_volume"), "symbol"))
+    ranked = marked.withColumn("_place", place).join(enough, "exchange")
+    return ranked.filter(F.when(F.col("_enough"), F.col("_liquid").isNotNull()).otherwise(F.col("_place") <= n)).select(*KEY)
 
 
 def folds(panel: DataFrame, n_folds: int, embargo_days: int, least_train: float = 0.4) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from barwright.operators.joins import append_new
 from barwright.operators.panel import balanced_accuracy, classification_columns, regression_metrics
 from barwright.session import cut_lineage
 
+RUIN = -1e4  # logarithm of what is left after a loss of everything: zero for every purpose
 UNIQUE = ["family", "version", *KEY, "data_cutoff", "horizon"]
 
 
@@ -135,7 +141,8 @@ def economic(rows: DataFrame, groups: list[str], multiplier: float = 1.0, cost:
     """
     long = F.col("predicted_return") > 0
     net = F.when(long, F.col("outcome_return") - cost * multiplier).otherwise(0.0)
-    df = rows.select(*groups, *[k for k in KEY if k not in groups], "target_date", F.log1p(net).alias("g"), F.log1p("outcome_return").alias("b"), long.alias("long"))
+    growth = lambda r: F.when(r.isNotNull(), F.when(r > -1, F.log1p(r)).otherwise(RUIN))  # noqa: E731  nothing is left after a loss of everything
+    df = rows.select(*groups, *[k for k in KEY if k not in groups], "target_date", growth(net).alias("g"), growth(F.col("outcome_return")).alias("b"), long.alias("long"))
     ties = [F.asc(k) for k in KEY]
     inside = Window.partitionBy(*groups, "target_date").orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_in", F.sum("g").over(inside))
@@ -158,18 +165,38 @@ def economic(rows: DataFrame, groups: list[str], multiplier: float = 1.0, cost:
 def bootstrap_interval(rows: DataFrame, groups: list[str], value: str, key: list[str], rounds: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling.
 
-    Each row draws a count for each round from a hash of its own key, so the
-    result does not depend on partitioning; each partition reduces its rows to
-    one sum and count per round before the exchange.
+    Each row draws a count for each round from a hash of its own key, so the result does not depend on
+    partitioning. A task adds its rows up to two numbers for each group and round; only those are shuffled.
     """
-    p = [0.3678794411714423, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    b = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    drawn = rows.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"), F.xxhash64(*key).alias("_h"), b.alias("b"))
-    u = (F.pmod(F.xxhash64("_h", "b"), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    weight = sum((F.when(u >= x, 1).otherwise(0) for x in p[1:]), F.when(u >= p[0], 1).otherwise(0))
-    means = drawn.groupBy(*groups, "b").agg((F.try_divide(F.sum(F.col("_v") * weight), F.sum(weight))).alias("m"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    names = [f"_g{i}" for i in range(len(groups))]
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.iloc[at : at + 500]
+                h = part["_h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ salt
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(steps, (h >> np.uint64(11)).astype(float) / 2.0**53, side="right")
+                for group, rows_ in part.reset_index(drop=True).groupby(names, dropna=False).indices.items():
+                    group = group if isinstance(group, tuple) else (group,)
+                    w = weight[rows_]
+                    sums = np.stack([(part["_v"].to_numpy(float)[rows_, None] * w).sum(0), w.sum(0)])
+                    total[group] = total[group] + sums if group in total else sums
+        for group, (v, w) in total.items():
+            labels = {n: np.full(rounds, g if isinstance(g, str) else None, object) for n, g in zip(names, group)}
+            yield pd.DataFrame({**labels, "b": np.arange(rounds), "v": v, "w": w})
+
+    picked = rows.filter(F.col(value).isNotNull()).select(*[F.col(g).cast("string").alias(n) for g, n in zip(groups, names)], F.col(value).cast("double").alias("_v"), F.xxhash64(*key).alias("_h"))
+    sums = picked.mapInPandas(reduce, ", ".join(f"{n} string" for n in names) + ", b int, v double, w double")
+    means = sums.groupBy(*names, "b").agg(F.try_divide(F.sum("v"), F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return means.groupBy(*groups).agg(q[0].alias("low"), q[1].alias("high"), F.count(F.lit(1)).alias("rounds"))
+    out = means.groupBy(*names).agg(q[0].alias("low"), q[1].alias("high"), F.count(F.lit(1)).alias("rounds"))
+    types = dict(rows.select(*groups).dtypes)
+    return out.select(*[F.col(n).cast(types[g]).alias(g) for n, g in zip(names, groups)], "low", "high", "rounds")
 
 
 def status_from(n: Column, skill: Column, calibration_error: Column, flags: Column) -> tuple[Column, Column]:
@@ -185,13 +212,13 @@ def status_from(n: Column, skill: Column, calibration_error: Column, flags: Colu
     )
     reasons = F.array_compact(
         F.array(
-            F.when(n < 30, F.lit("too few settled predictions")),
-            F.when((n >= 30) & skill.isNull(), F.lit("skill could not be computed")),
-            F.when((n >= 30) & (skill <= 0), F.lit("skill is not positive")),
-            F.when((n >= 30) & (skill > 0) & (n < 60), F.lit("positive skill is provisional")),
-            F.when((n >= 30) & skill.isNotNull() & bad_cal, F.lit("calibration error is high")),
-            F.when((n >= 30) & skill.isNotNull() & drifting, F.lit("drift detected")),
-            F.when((n >= 60) & (skill > 0) & ~bad_cal & ~drifting, F.lit("positive skill, no concerns")),
+            F.when(n < 30, F.format_string("too few settled predictions: %d of 30", n)),
+            F.when((n >= 30) & skill.isNull(), F.format_string("skill could not be computed from %d predictions", n)),
+            F.when((n >= 30) & (skill <= 0), F.format_string("skill %.4f is not positive over %d predictions", skill, n)),
+            F.when((n >= 30) & (skill > 0) & (n < 60), F.format_string("skill %.4f is provisional with %d of 60 predictions", skill, n)),
+            F.when((n >= 30) & skill.isNotNull() & bad_cal, F.format_string("calibration error %.4f is high", calibration_error)),
+            F.when((n >= 30) & skill.isNotNull() & drifting, F.concat(F.lit("drift: "), F.array_join(flags, ", "))),
+            F.when((n >= 60) & (skill > 0) & ~bad_cal & ~drifting, F.format_string("skill %.4f over %d predictions, no concerns", skill, n)),
         )
     )
     return status, reasons

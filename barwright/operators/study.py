@@ -183,16 +183,34 @@ def rejections(marked: DataFrame) -> DataFrame:
     return marked.groupBy("exchange", kind.alias("outcome")).agg(F.count(F.lit(1)).alias("signals"))
 
 
-def equity_curve(closed: DataFrame, initial: float) -> DataFrame:
-    """Equity per exchange and exit day (one row per calendar day)."""
-    daily = closed.groupBy("exchange", F.col("exit_date").alias("date")).agg(F.sum("net_pnl").alias("pnl"))
-    w = Window.partitionBy("exchange").orderBy("date")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    df = daily.withColumn("equity", F.sum("pnl").over(upto) + initial)
+def equity_curve(closed: DataFrame, bars: DataFrame, initial: float) -> DataFrame:
+    """Equity per exchange on every session from the first entry to the last exit, open positions at their last close.
+
+    A security's taken trades do not overlap, so each of its bars belongs to the newest trade entered so far until
+    that one's exit. Changes of value add up over a day's securities and then over days, which carries a close
+    over sessions without a bar.
+    """
+    w = Window.partitionBy(*KEY).orderBy("date")
+    entered = closed.select(*KEY, F.col("entry_date").alias("date"), F.struct("shares", "exit_date").alias("_trade"))
+    trade = F.last("_trade", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = bars.select(*KEY, "date", "close").join(entered, [*KEY, "date"], "left").withColumn("_in", trade)
+    value = F.coalesce(F.when(F.col("date") < F.col("_in.exit_date"), F.col("_in.shares") * F.col("close")), F.lit(0.0))
+    marked = marked.withColumn("_v", value).withColumn("_d", F.col("_v") - F.lag("_v", 1, 0.0).over(w))
+    daily = marked.groupBy("exchange", "date").agg(F.sum("_d").alias("_d"))
+    flow = lambda d, x: F.struct(F.col(d).alias("date"), x.alias("x"))
+    both = F.array(flow("entry_date", -F.col("cash_paid")), flow("exit_date", F.col("cash_paid") + F.col("net_pnl")))
+    cash = closed.select("exchange", F.inline(both)).groupBy("exchange", "date").agg(F.sum("x").alias("_x"))
+    span = closed.groupBy("exchange").agg(F.min("entry_date").alias("_a"), F.max("exit_date").alias("_b"))
+    days = daily.join(span, "exchange").filter(F.col("date").between(F.col("_a"), F.col("_b"))).join(cash, ["exchange", "date"], "left")
+    by_day = Window.partitionBy("exchange").orderBy("date")  # one row for each calendar day at most
+    upto = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    df = days.withColumns({"positions_value": F.sum("_d").over(upto), "_cash": F.coalesce(F.sum("_x").over(upto), F.lit(0.0))})
+    df = df.select("exchange", "date", "positions_value", (F.col("_cash") + F.col("positions_value") + initial).alias("equity"))
     return df.withColumns(
         {
-            "ret": F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1.0,
+            "ret": F.try_divide(F.col("equity"), F.lag("equity").over(by_day)) - 1.0,
             "drawdown_pct": (F.col("equity") / F.max("equity").over(upto) - 1.0) * 100.0,
+            "exposure_pct": F.coalesce(F.try_divide(F.col("positions_value") * 100.0, F.col("equity")), F.lit(0.0)),
         }
     )
 
@@ -214,14 +232,11 @@ def equity_metrics(curve: DataFrame, initial: float) -> DataFrame:
     )
 
 
-def exposure(closed: DataFrame, initial: float) -> DataFrame:
-    """Mean capital at work and turnover as percent of the initial capital."""
-    days = F.greatest(F.date_diff(F.max("exit_date"), F.min("entry_date")), F.lit(1))
+def exposure(closed: DataFrame, curve: DataFrame, initial: float) -> DataFrame:
+    """Mean share of equity that is invested, over sessions, and turnover as percent of the initial capital."""
     traded = F.sum(F.col("shares") * (F.col("entry_price") + F.col("exit_price")))
-    return closed.groupBy("exchange").agg(
-        F.bround(F.sum(F.col("cash_paid") * F.col("hold_calendar_days")) / days / initial * 100.0, 3).alias("avg_exposure_pct"),
-        F.bround(traded / initial * 100.0, 3).alias("turnover_pct"),
-    )
+    turned = closed.groupBy("exchange").agg(F.bround(traded / initial * 100.0, 3).alias("turnover_pct"))
+    return curve.groupBy("exchange").agg(F.bround(F.avg("exposure_pct"), 3).alias("avg_exposure_pct")).join(turned, "exchange")
 
 
 def trade_metrics(closed: DataFrame, *groups: str) -> DataFrame:

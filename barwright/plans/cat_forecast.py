@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from barwright.functions.rolling import KEY, change, history
-from barwright.operators import analogue, forecast
+from barwright.operators import analogue, forecast, screen
 from barwright.plans.oracle import W, define
 from barwright.plans.registry import query
 
@@ -135,6 +135,21 @@ def _(m):
     return forecast.stock_bias(settled(m))
 
 
+@query(
+    "fc_05_combined_bias", "exchange s, symbol s, return_bias f",
+    """
+SELECT s.exchange, s.symbol, CASE WHEN s.n >= 8 THEN s.b ELSE 0 END + g.b AS return_bias FROM (
+  SELECT exchange, symbol, count(*) AS n, list_reduce(list_prepend(0.0::DOUBLE, list(return_error ORDER BY target_date)), lambda x, e: greatest(-0.01, least(0.01, 0.88 * x + 0.12 * e))) AS b FROM settledf GROUP BY exchange, symbol) s
+SEMI JOIN liquid ON liquid.exchange = s.exchange AND liquid.symbol = s.symbol,
+(SELECT list_reduce(list_prepend(0.0::DOUBLE, list(return_error ORDER BY target_date, symbol || ':' || exchange)), lambda x, e: greatest(-0.01, least(0.01, 0.92 * x + 0.08 * e))) AS b FROM settledf) g""",
+    "settledf liquid",
+)
+def _(m):
+    s = settled(m)
+    state = forecast.global_bias(s).select("return_bias").scalar()
+    return forecast.combined_bias(state, forecast.stock_bias(s), screen.liquid_universe(m.bars, F.lit("2001-06-30").cast("date")))
+
+
 def _running(where):
     return f"""SELECT exchange, count(*) AS n, avg(abs(predicted_close - actual_close)) AS mae, avg(abs(predicted_close - actual_close) / actual_close * 100) AS mape,
   avg(CASE WHEN abs(actual_close / last_close - 1) > 1e-9 OR abs(predicted_return) > 1e-9 THEN CASE WHEN (predicted_return >= 0) = (actual_close / last_close - 1 >= 0) THEN 1.0 ELSE 0.0 END END) AS hit
@@ -166,19 +181,19 @@ FROM (SELECT *, abs(p - a) AS me, abs(a) AS be FROM (SELECT *, actual_close / la
 SKILL = "n i, model_mae_return f, baseline_mae_return f, model_mape f, baseline_mape f, skill_vs_naive f, beats_naive_pct f, direction_hit_rate f"
 
 
-@query("fc_07_skill_vs_naive", SKILL, _skill_sql("predicted_return", 8000), "settledf")
+@query("fc_07_skill_vs_naive", SKILL, _skill_sql("predicted_return", None), "settledf")
 def _(m):
     return forecast.skill(settled(m))
 
 
 @query("fc_07_candidate_skill", SKILL, _skill_sql("candidate_return", None), "settledf")
 def _(m):
-    return forecast.skill(settled(m), None, prediction="candidate_return")
+    return forecast.skill(settled(m), prediction="candidate_return")
 
 
 @query(
     "fc_08_live_gates", "downgrade_model b, serve_naive b",
-    f"SELECT (SELECT skill_vs_naive <= 0 AND n >= 50 FROM ({_skill_sql('predicted_return', 8000)})) AS downgrade_model, (SELECT CASE WHEN n >= 50 THEN skill_vs_naive <= 0 END FROM ({_skill_sql('candidate_return', 8000)})) AS serve_naive",
+    f"SELECT (SELECT skill_vs_naive <= 0 AND n >= 50 FROM ({_skill_sql('predicted_return', None)})) AS downgrade_model, (SELECT CASE WHEN n >= 50 THEN skill_vs_naive <= 0 END FROM ({_skill_sql('candidate_return', None)})) AS serve_naive",
     "settledf",
 )
 def _(m):

@@ -24,13 +24,19 @@ def _(m):
     return pn.forward_panel(m.bars, m.stocks)
 
 
+# the fallback is an exchange's own: with few liquid securities it takes the most traded active ones
 define(
-    "liquid", "bars",
-    "SELECT exchange, symbol, avg(volume) AS v FROM bars WHERE date BETWEEN DATE '2001-06-30' - 45 AND DATE '2001-06-30' GROUP BY ALL ORDER BY v DESC, exchange, symbol LIMIT 80",
+    "members", "liquid quoted",
+    """
+SELECT exchange, symbol FROM (
+  SELECT q.exchange, q.symbol, l.symbol IS NOT NULL AS liq, count(l.symbol) OVER (PARTITION BY q.exchange) >= 15 AS enough,
+         row_number() OVER (PARTITION BY q.exchange ORDER BY q.last_volume DESC NULLS LAST, q.symbol) AS place
+  FROM (SELECT * FROM quoted WHERE is_active) q LEFT JOIN liquid l ON l.exchange = q.exchange AND l.symbol = q.symbol)
+WHERE CASE WHEN enough THEN liq ELSE place <= 80 END""",
 )
 define(
-    "panel3", "feat liquid",
-    f"SELECT * FROM feat SEMI JOIN liquid USING (exchange, symbol) WHERE n_rows >= 80 AND {_known([*fixed.NEXT_CLOSE_FEATURES, 'fwd_ret_1', 'direction_label', 'next_volume'])} AND volume_acceleration > 0 AND next_volume > 0",
+    "panel3", "feat members",
+    f"SELECT * FROM feat SEMI JOIN members USING (exchange, symbol) WHERE n_rows >= 80 AND {_known([*fixed.NEXT_CLOSE_FEATURES, 'fwd_ret_1', 'direction_label', 'next_volume'])} AND volume_acceleration > 0 AND next_volume > 0",
 )
 
 

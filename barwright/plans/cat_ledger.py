@@ -145,15 +145,20 @@ def _(m):
     return m.stocks.select(*KEY).join(traded, KEY, "left_anti")
 
 
+define(
+    "liquid", "bars",
+    "SELECT exchange, symbol, avg(volume) AS v FROM bars WHERE date BETWEEN DATE '2001-06-30' - 45 AND DATE '2001-06-30' GROUP BY ALL ORDER BY v DESC, exchange, symbol LIMIT 80",
+)
+
+
 @query(
     "jn_09_liquid_members", f"{K}, close f",
     """
-SELECT * FROM bars SEMI JOIN (SELECT exchange, symbol, avg(volume) AS v FROM bars WHERE date BETWEEN DATE '2001-06-30' - 45 AND DATE '2001-06-30'
-  GROUP BY ALL ORDER BY v DESC, exchange, symbol LIMIT 20) USING (exchange, symbol)""",
-    "bars",
+SELECT * FROM bars SEMI JOIN liquid USING (exchange, symbol)""",
+    "bars liquid",
 )
 def _(m):
-    liquid = screen.liquid_universe(m.bars, F.lit("2001-06-30").cast("date"), 20)
+    liquid = screen.liquid_universe(m.bars, F.lit("2001-06-30").cast("date"))
     return m.bars.join(liquid.select(*KEY), KEY, "left_semi")
 
 

@@ -173,7 +173,7 @@ def _(m):
 @query("rl_07_bootstrap_interval", "exchange s, low f, high f, rounds i")
 def _(m):
     rows = predictions(m).withColumn("correct", F.when(F.col("predicted_class") == F.col("outcome_class"), 1.0).otherwise(0.0))
-    return rel.bootstrap_interval(rows, ["exchange"], "correct", [*KEY, "data_cutoff"], 200)
+    return rel.bootstrap_interval(rows, ["exchange"], "correct", [*KEY, "data_cutoff"])
 
 
 _HALF = "SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY data_cutoff, exchange, symbol) > floor(count(*) OVER (PARTITION BY {0}) / 2) AS cur FROM {1}"

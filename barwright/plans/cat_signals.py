@@ -629,11 +629,11 @@ def _(m):
 
 @query(
     "prj_11_ticker", "exchange s, place i, symbol s, last_price f, last_change_pct f",
-    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange ORDER BY last_volume DESC, symbol) AS place FROM quoted WHERE is_active AND last_price IS NOT NULL) WHERE place <= 30",
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY exchange ORDER BY last_volume DESC, symbol) AS place FROM quoted WHERE is_active AND last_price IS NOT NULL) WHERE place <= 70",
     "quoted",
 )
 def _(m):
-    return listing.ticker(m.quoted, 30)
+    return listing.ticker(m.quoted, 70)
 
 
 @query("prj_12_enabled_exchange_gate", "exchange s, symbol s, sector s", "SELECT * FROM stocks WHERE exchange IN ('DSE')", "stocks")

@@ -160,14 +160,31 @@ def _(m):
     return study.rejections(study.non_overlapping(_trades(m)))
 
 
+# equity on every session: cash flows up to the day, and each open trade at its security's last close by an as-of join
 define(
-    "curve", "closed",
+    "curve", "closed bars",
     """
-SELECT *, equity / lag(equity) OVER (PARTITION BY exchange ORDER BY date) - 1 AS ret, (equity / max(equity) OVER (PARTITION BY exchange ORDER BY date) - 1) * 100 AS dd
-FROM (SELECT exchange, exit_date AS date, 1000000 + sum(sum(net_pnl)) OVER (PARTITION BY exchange ORDER BY exit_date) AS equity FROM closed GROUP BY exchange, exit_date)""",
+SELECT *, equity / lag(equity) OVER (PARTITION BY exchange ORDER BY date) - 1 AS ret, (equity / max(equity) OVER (PARTITION BY exchange ORDER BY date) - 1) * 100 AS dd,
+  held_value / equity * 100 AS exposure_pct
+FROM (
+SELECT s.exchange, s.date, coalesce(v.held_value, 0) AS held_value,
+  1000000 + coalesce(sum(f.x) OVER (PARTITION BY s.exchange ORDER BY s.date), 0) + coalesce(v.held_value, 0) AS equity
+FROM (SELECT DISTINCT b.exchange, b.date FROM bars b JOIN (SELECT exchange, min(entry_date) AS a, max(exit_date) AS z FROM closed GROUP BY exchange) r
+      ON r.exchange = b.exchange AND b.date BETWEEN r.a AND r.z) s
+LEFT JOIN (SELECT exchange, date, sum(x) AS x FROM (SELECT exchange, entry_date AS date, -cash_paid AS x FROM closed UNION ALL SELECT exchange, exit_date, cash_paid + net_pnl FROM closed) GROUP BY ALL) f
+  ON f.exchange = s.exchange AND f.date = s.date
+LEFT JOIN (SELECT o.exchange, o.day, sum(o.n_shares * b.close) AS held_value
+  FROM (SELECT c.exchange, c.day, k.symbol, k.n_shares FROM (SELECT DISTINCT exchange, date AS day FROM bars) c
+        JOIN closed k ON k.exchange = c.exchange AND c.day >= k.entry_date AND c.day < k.exit_date) o
+  ASOF JOIN bars b ON b.exchange = o.exchange AND b.symbol = o.symbol AND o.day >= b.date GROUP BY ALL) v
+  ON v.exchange = s.exchange AND v.day = s.date)""",
 )
 
 
+def _curve(m):
+    return study.equity_curve(_closed(m), m.bars, INITIAL)
+
+
 @query(
     "bt_07_equity_metrics", "exchange s, days i, total_return_pct f, annualized_return_pct f, max_drawdown_pct f, sharpe f, sortino f",
     """
@@ -178,18 +195,18 @@ SELECT exchange, count(*) AS days, round_even((arg_max(equity, date) / 1000000 -
     "curve",
 )
 def _(m):
-    return study.equity_metrics(study.equity_curve(_closed(m), INITIAL), INITIAL)
+    return study.equity_metrics(_curve(m), INITIAL)
 
 
 @query(
     "bt_07_exposure_and_turnover", "exchange s, avg_exposure_pct f, turnover_pct f",
     """
-SELECT exchange, round_even(sum(cash_paid * hold_calendar_days) / greatest(max(exit_date) - min(entry_date), 1) / 1000000 * 100, 3) AS avg_exposure_pct,
-       round_even(sum(n_shares * (entry_price + exitp)) / 1000000 * 100, 3) AS turnover_pct FROM closed GROUP BY exchange""",
-    "closed",
+SELECT c.exchange, c.avg_exposure_pct, t.turnover_pct FROM (SELECT exchange, round_even(avg(exposure_pct), 3) AS avg_exposure_pct FROM curve GROUP BY exchange) c
+JOIN (SELECT exchange, round_even(sum(n_shares * (entry_price + exitp)) / 1000000 * 100, 3) AS turnover_pct FROM closed GROUP BY exchange) t ON t.exchange = c.exchange""",
+    "closed curve",
 )
 def _(m):
-    return study.exposure(_closed(m), INITIAL)
+    return study.exposure(_closed(m), _curve(m), INITIAL)
 
 
 @query(
@@ -407,7 +424,7 @@ JOIN (SELECT exchange, round_even(min(dd), 2) AS max_drawdown_pct, count(*) AS s
     "fb curve",
 )
 def _(m):
-    return paper.evidence(_feedback(m), study.equity_curve(_closed(m), INITIAL))
+    return paper.evidence(_feedback(m), _curve(m))
 
 
 @query(

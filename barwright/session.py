@@ -32,8 +32,8 @@ def local_session(app: str = "barwright", cores: str | None = None) -> SparkSess
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for cut lineage.
 
-    The cluster names a shared folder in ``spark.checkpoint.dir``; only where
-    that setting is absent (tests, a laptop) a temporary folder is used.
+    The cluster names a shared folder in ``spark.checkpoint.dir``. Only a session that runs in one process (tests, a
+    laptop) may go without; elsewhere a temporary folder would be a different one on each machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
@@ -41,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     fallback = tempfile.mkdtemp(prefix="run-barwright-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback

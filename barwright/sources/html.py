@@ -138,7 +138,7 @@ def positional_quote_rows(rows: DataFrame) -> DataFrame:
     code = F.upper(F.trim(F.when(F.coalesce(_at(1), F.lit("")) != "", _at(1)).otherwise(_at(0))))
     df = rows.filter((F.col("table_no") == 0) & (F.col("row_no") > 0) & (F.size("cells") >= 5)).withColumn("symbol", code)
     df = df.filter((F.col("symbol") != "") & (F.length("symbol") <= 20) & ~F.col("symbol").isin("SL.", "STOCK CODE"))
-    nums = F.array_compact(F.transform(F.slice("cells", 3, 1000), lambda c: parse_number(c)))
+    nums = F.array_compact(F.transform(F.slice("cells", 3, F.size("cells")), lambda c: parse_number(c)))
     df = df.withColumn("n", nums).filter(F.size("n") > 0)
     n = lambda i, other: F.coalesce(F.get("n", F.lit(i)), other)
     ltp, last = F.get("n", F.lit(0)), F.element_at("n", -1)

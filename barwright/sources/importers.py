@@ -117,10 +117,12 @@ def classify_broker(raw: DataFrame, stocks: DataFrame, today: Column) -> DataFra
     return df.withColumn("error", error).drop("_q", "_p", "_f", "_t", "_d", "_listed")
 
 
-def committed(classified: DataFrame) -> DataFrame:
-    """All rows when none has an error, otherwise none (all or nothing)."""
-    errors = classified.select(F.count("error")).scalar()
-    return classified.filter(errors == 0)
+def committed(classified: DataFrame, file: list[str] | None = None) -> DataFrame:
+    """All rows of a file when none has an error, otherwise none; without `file` columns all rows are one file."""
+    if not file:
+        return classified.filter(classified.select(F.count("error")).scalar() == 0)
+    faulty = classified.filter(F.col("error").isNotNull()).select(*file).distinct()
+    return classified.join(faulty, file, "left_anti")
 
 
 def safe_number(df: DataFrame, column: str) -> DataFrame:

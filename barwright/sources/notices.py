@@ -21,8 +21,8 @@ def _day(year: Column, day: Column, month: Column) -> Column:
     return F.try_to_timestamp(text, F.lit("d MMMM yyyy")).cast("date")
 
 
-def holiday_days(notices: DataFrame) -> DataFrame:
-    """(year, ord, name, date_cell) rows to one row per weekday and its first name."""
+def _spans(notices: DataFrame) -> DataFrame:
+    """ord, year, date_cell, cleaned name and the first and last day of each notice (null where unreadable)."""
     cell = collapse_spaces(F.col("date_cell"))
     part = lambda pattern, i: F.regexp_extract(cell, pattern, i)
     y = F.col("year")
@@ -36,7 +36,17 @@ def holiday_days(notices: DataFrame) -> DataFrame:
         first = F.when(cell.rlike(pattern), a).otherwise(first)
         last = F.when(cell.rlike(pattern), b).otherwise(last)
     name = F.trim(F.regexp_replace(F.regexp_replace("name", r"\s*\(\*\)\s*$", ""), r"\*\s*$", ""))
-    df = notices.select("ord", name.alias("name"), first.alias("a"), last.alias("b")).filter(F.col("b") >= F.col("a"))
+    return notices.select("ord", "year", "date_cell", name.alias("name"), first.alias("a"), last.alias("b"))
+
+
+def unreadable(notices: DataFrame) -> DataFrame:
+    """Notices whose date cell gives no span of days; an import stops or reports on them."""
+    return _spans(notices).filter(~F.coalesce(F.col("b") >= F.col("a"), F.lit(False))).select("ord", "year", "name", "date_cell")
+
+
+def holiday_days(notices: DataFrame) -> DataFrame:
+    """(year, ord, name, date_cell) rows to one row per weekday and its first name; see `unreadable` for the rest."""
+    df = _spans(notices).filter(F.col("b") >= F.col("a"))
     days = df.select("ord", "name", F.explode(F.sequence("a", "b")).alias("date")).filter(~is_weekend(F.col("date")))
     return days.groupBy("date").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
 

@@ -108,6 +108,15 @@ def upsert_live(existing: DataFrame, day_bars: DataFrame) -> DataFrame:
     return j.select(*BAR, *[F.when(keep, o[c]).when(o.isNull(), n[c]).otherwise(v).alias(c) for c, v in out.items()])
 
 
+def refreshed_quotes(stocks: DataFrame, day_bars: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """stocks with last_price, last_volume and last_date of their newest live bar; others keep what they had."""
+    newest = day_bars.groupBy(*key).agg(F.max(F.struct(F.col("date").alias("last_date"), F.col("close").alias("last_price"), F.col("volume").alias("last_volume"))).alias("_n"))
+    fields = ["last_price", "last_volume", "last_date"]
+    now = {c: F.coalesce(F.col(f"_n.{c}"), F.col(c)) if c in stocks.columns else F.col(f"_n.{c}") for c in fields}
+    rest = [c for c in stocks.columns if c not in fields]
+    return stocks.join(newest, key, "left").select(*rest, *[v.alias(c) for c, v in now.items()])
+
+
 def batch_accounting(written: DataFrame) -> DataFrame:
     """Row and security counts per import batch (distinct securities first, so
     that no batch is counted distinct in one task)."""
