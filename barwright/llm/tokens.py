@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,7 +45,7 @@ SECTION_IDS = 1 << 18
 FILE_CHARS = 64_000_000
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-KEPT = 400_000
+KEPT_UNITS, KEPT_WORDS = 900_000, 700_000
 BLOCK_HEAD = 6
 
 
@@ -140,28 +142,36 @@ class Encoder:
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as unsigned 32-bit integers in the machine's byte order."""
         common = [not self.uncommon(t) for t in texts]
         whole = iter(self._plain([t for t, c in zip(texts, common) if not c]))
         # a text's first unit has no space before it; units are kept with theirs
-        cut = [t.split(" ") if c else None for t, c in zip(texts, common)]
-        first = ["" if c is None else c.pop(0) for c in cut]
-        if len(self.units) > KEPT:
-            self.units.clear()
-        if len(self.kept_words) > KEPT:
-            self.kept_words.clear()
-        new = [*(set().union(*(c for c in cut if c is not None)) - self.units.keys())]
+        cut = [t.split(" ") for t, c in zip(texts, common) if c]
+        heads = [self.words(c.pop(0)) for c in cut]
+        kept = self.units.get
+        found = [list(map(kept, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
+        new = list({c[i] for c, g in zip(cut, gaps) for i in g})
         split = [self.words(" " + u) for u in new]
-        heads = [self.words(f) for f in first]
-        unknown = [*(set().union(*split, *heads) - self.kept_words.keys())]
+        unknown = list({w for s in (*split, *heads) for w in s if w not in self.kept_words})
         self.kept_words.update(zip(unknown, self._plain(unknown)))
         word = self.kept_words.__getitem__
-        self.units.update(zip(new, (b"".join(map(word, s)) for s in split)))
-        unit = self.units.__getitem__
-        return [next(whole) if c is None else b"".join([*map(word, h), *map(unit, c)]) for c, h in zip(cut, heads)]
+        self.units.update(zip(new, [b"".join(map(word, s)) for s in split]))
+        out = []
+        for c, f, g, h in zip(cut, found, gaps, heads):
+            for i in g:
+                f[i] = self.units[c[i]]
+            out.append(b"".join([*map(word, h), *f]))
+        # what came first is what comes often: the later part goes
+        if len(self.units) > KEPT_UNITS:
+            self.units = dict(islice(self.units.items(), KEPT_UNITS // 2))
+        if len(self.kept_words) > KEPT_WORDS:
+            self.kept_words = dict(islice(self.kept_words.items(), KEPT_WORDS // 2))
+        found_of = iter(out)
+        return [next(found_of) if c else next(whole) for c in common]
 
 
 def encoder(path: str) -> Encoder:
@@ -189,7 +199,7 @@ def sections(path: str, end_id: int = END_ID, most: int = SECTION_IDS):
         docs: list[tuple[int, int, int]] = []
         held: list[np.ndarray] = []
         room = most
-        end = np.array([end_id], "<u4").tobytes()
+        end = array("I", [end_id]).tobytes()
         for batch in batches:
             ids_of = iter(batch["doc_id"])
             for chunk in text_chunks(batch["text"], 500_000):
@@ -197,7 +207,7 @@ def sections(path: str, end_id: int = END_ID, most: int = SECTION_IDS):
                 for data in enc.encode(chunk):
                     doc_id = next(ids_of)
                     none = doc_id is None or doc_id is pd.NA
-                    ids, flag = np.frombuffer(data + end, "<u4"), int(none)
+                    ids, flag = np.frombuffer(data + end, np.uint32), int(none)
                     while len(ids):
                         part = ids[:room]
                         docs.append((0 if none else int(doc_id), flag, len(part)))
