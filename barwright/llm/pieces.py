@@ -19,6 +19,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
 NBEST = 4
-KEPT_UNITS = 300_000
+KEPT_UNITS = 500_000
 NONE = float("-inf")
 LETTER = r"[^\W\d_²³¹]"
 # ways to cut a text into units, finest first; a vocabulary takes the first that none of its pieces runs across
@@ -52,8 +53,9 @@ class Vocabulary:
         special = [i for i in ids if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)]
         normal = sorted(set(ids) - set(special))
         self.pieces = {model.id_to_piece(i): (model.get_score(i), i) for i in normal}
-        self.text = ["" if model.is_control(i) else model.id_to_piece(i) for i in ids]
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.raw = [b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids]
+        for b, i in self.bytes.items():
+            self.raw[i] = bytes([b])
         self.trie: dict = {}
         for piece, entry in self.pieces.items():
             node = self.trie
@@ -147,15 +149,15 @@ class Vocabulary:
         """Units of a text and their solutions."""
         units = self.units(MARK + text.replace(" ", MARK)) if text else []
         kept = self.kept
-        if len(kept) > KEPT_UNITS:
-            kept.clear()
-        try:
-            return units, [kept[u] for u in units]
-        except KeyError:
-            for u in units:
-                if u not in kept:
-                    kept[u] = self.solve(u)
-            return units, [kept[u] for u in units]
+        if len(kept) > KEPT_UNITS:  # what came first is what comes often: the later half goes
+            kept = self.kept = dict(islice(kept.items(), KEPT_UNITS // 2))
+        found = list(map(kept.get, units))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    u = units[i]
+                    found[i] = kept[u] = kept.get(u) or self.solve(u)
+        return units, found
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         _, parts = self.parts(text)
@@ -191,23 +193,9 @@ class Vocabulary:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        if not len(ids):
-            return ""
-        if np.isin(ids, self._byte_ids()).any():
-            out, text = bytearray(), self.text
-            for i in ids.tolist():
-                if i in self.byte_of:
-                    out.append(self.byte_of[i])
-                else:
-                    out += text[i].encode("utf-8", "surrogatepass")
-            joined = out.decode("utf-8", "surrogatepass" if b"\xed" in out else "replace")
-        else:
-            joined = "".join(map(self.text.__getitem__, ids.tolist()))
-        joined = joined.replace(MARK, " ")
-        return joined[1:] if joined.startswith(" ") else joined
-
-    def _byte_ids(self) -> np.ndarray:
-        return np.fromiter(self.byte_of, np.uint32, len(self.byte_of))
+        joined = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        text = joined.decode("utf-8", "surrogatepass" if b"\xed" in joined else "replace")
+        return text[1:] if text.startswith(" ") else text
 
 
 def vocabulary(path: str) -> Vocabulary:
