@@ -135,7 +135,8 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.uncommon = re.compile("[^\n\t\x20-\x7e\xa1-ɏ]|\\s | \\s" + "".join("|" + re.escape(t) for t in added)).search
+        self.other = re.compile("[^\n\x20-\x7e\xa1-ɏ]").search
+        self.pairs = ["  ", " \n", "\n ", *added]  # two white spaces side by side are cut by other rules
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.units: dict[str, bytes] = {}
         self.kept_words: dict[str, bytes] = {}
@@ -146,7 +147,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers in the machine's byte order."""
-        common = [not self.uncommon(t) for t in texts]
+        common = [not any(p in t for p in self.pairs) and not self.other(t) for t in texts]
         whole = iter(self._plain([t for t, c in zip(texts, common) if not c]))
         # a text's first unit has no space before it; units are kept with theirs
         cut = [t.split(" ") for t, c in zip(texts, common) if c]
