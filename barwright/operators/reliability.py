@@ -132,15 +132,17 @@ def regressor_metrics(rows: DataFrame, groups: list[str]) -> DataFrame:
     return out
 
 
-def economic(rows: DataFrame, groups: list[str], multiplier: float = 1.0, cost: float = 0.011) -> DataFrame:
-    """Long-or-flat compounding after costs, with the drawdown, against always long.
+def economic(rows: DataFrame, groups: list[str], multipliers: tuple[float, ...] = (1.0, 1.5, 2.0), cost: float = 0.011) -> DataFrame:
+    """Long-or-flat compounding after each multiple of the costs, with the drawdown, against always long.
 
     Growth is summed as logarithms inside each day in (symbol) order and
     carried over days, so a group is never walked in one task; the running
     maximum works the same way.
     """
+    rows = rows.withColumn("multiplier", F.explode(F.array(*map(F.lit, multipliers))))  # one pass over the input for all
+    groups, multiplier = [*groups, "multiplier"], F.col("multiplier")
     long = F.col("predicted_return") > 0
-    net = F.when(long, F.col("outcome_return") - cost * multiplier).otherwise(0.0)
+    net = F.when(long, F.col("outcome_return") - multiplier * cost).otherwise(0.0)
     growth = lambda r: F.when(r.isNotNull(), F.when(r > -1, F.log1p(r)).otherwise(RUIN))  # noqa: E731  nothing is left after a loss of everything
     df = rows.select(*groups, *[k for k in KEY if k not in groups], "target_date", growth(net).alias("g"), growth(F.col("outcome_return")).alias("b"), long.alias("long"))
     ties = [F.asc(k) for k in KEY]
@@ -158,7 +160,7 @@ def economic(rows: DataFrame, groups: list[str], multiplier: float = 1.0, cost:
     return j.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("long").alias("trades"), F.bround((F.exp(F.sum("g")) - 1.0) * 100.0, 4).alias("net_total_return_pct"),
         F.bround(F.min(F.exp(level - peak) - 1.0) * 100.0, 4).alias("max_drawdown_pct"),
-        F.bround((F.exp(F.sum("b")) - 1.0) * 100.0, 4).alias("benchmark_return_pct"), F.bround(F.count_if("long") * cost * multiplier * 100.0, 4).alias("cost_pct"),
+        F.bround((F.exp(F.sum("b")) - 1.0) * 100.0, 4).alias("benchmark_return_pct"), F.bround(F.count_if("long") * cost * F.first("multiplier") * 100.0, 4).alias("cost_pct"),
     )
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright import fixed
-from barwright.functions import recurrence
-from barwright.functions.rolling import KEY, history
+from barwright.functions.rolling import KEY
 
 
 @dataclass(frozen=True)
@@ -65,21 +64,19 @@ def signals(with_prev: DataFrame, breadth: DataFrame, rules: Rules = Rules()) ->
 def trades(flagged: DataFrame, rules: Rules = Rules(), costs: Costs = Costs()) -> DataFrame:
     """One row per signal with its fill, exit and profit after costs.
 
-    Everything a signal needs lies in a bounded frame of following rows plus
-    the next tradable session, so no self-join is made.
+    A security's bars are one array in date order, bounded by the calendar. Only
+    at a signal are the following bars, as many as an entry and its holding can
+    take, cut from it.
     """
-    w = history(recurrence.BLOCK, "date")
     back = Window.partitionBy(*KEY).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tradable = F.struct("date", "open", "return_1d", "rn")
     df = flagged.withColumn("_next", F.last(F.when(F.col("volume") > 0, tradable), ignorenulls=True).over(back))
-    step = F.struct("rn", "date", "open", "high", "low", "close", "volume", "return_1d", "_next")
-    df = df.withColumns(
-        {
-            "_path": F.collect_list(step).over(w.rowsBetween(1, fixed.ENTRY_RETRY_SESSIONS + rules.hold)),
-            "_end": F.last(F.struct("date", "close", "rn")).over(whole),
-        }
-    ).filter("signal")
+    step = F.struct("date", "rn", "open", "high", "low", "close", "volume", "return_1d", "_next", "signal")
+    bars = df.groupBy(*KEY).agg(F.array_sort(F.collect_list(step)).alias("_bars"))
+    at = F.filter(F.sequence(F.lit(1), F.size("_bars")), lambda i: F.element_at("_bars", i)["signal"])
+    path = lambda i: F.slice("_bars", i + 1, fixed.ENTRY_RETRY_SESSIONS + rules.hold)
+    seen = F.transform(at, lambda i: F.struct(F.element_at("_bars", i)["date"].alias("date"), path(i).alias("_path"), F.element_at("_bars", -1).alias("_end")))
+    df = bars.select(*KEY, F.inline(seen))
     first5 = F.slice("_path", 1, fixed.ENTRY_RETRY_SESSIONS)
     df = df.withColumn("_fill", F.get(F.filter(first5, lambda x: x["volume"] > 0), F.lit(0)))
     fill = F.col("_fill")

@@ -165,9 +165,7 @@ FROM (SELECT *, max(lv) OVER (PARTITION BY exchange, mult ORDER BY target_date,
     "rl",
 )
 def _(m):
-    rows = predictions(m)
-    parts = [rel.economic(rows, ["exchange"], k).withColumn("multiplier", F.lit(k)) for k in (1.0, 1.5, 2.0)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return rel.economic(predictions(m), ["exchange"])
 
 
 @query("rl_07_bootstrap_interval", "exchange s, low f, high f, rounds i")
