@@ -94,6 +94,18 @@ def repeated_failures(runs: DataFrame, streak: int = 3) -> DataFrame:
     )
 
 
+def report_failures(reports: DataFrame, streak: int = 3) -> DataFrame:
+    """One alert when the newest reports of `streak` days all failed. reports: report_date, status (one a day)."""
+    last = reports.orderBy(F.desc("report_date")).limit(streak)
+    bad = last.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(F.col("status") == "failure").alias("all_failed"), F.min("report_date").alias("a"), F.max("report_date").alias("b")
+    ).filter((F.col("n") == streak) & F.col("all_failed"))
+    return _alert(
+        bad, F.lit("report_repeated_failure"), F.lit("critical"),
+        F.format_string("The daily report failed on its last %d dates in a row (%s to %s).", F.lit(streak), F.col("a").cast("string"), F.col("b").cast("string")),
+    )
+
+
 def embedded_error(detail: Column) -> Column:
     """First error a successful run's own result carries, at any known depth."""
     found = []
@@ -168,12 +180,12 @@ def model_alerts(models: DataFrame) -> DataFrame:
 
 
 def all_alerts(parts: list[DataFrame]) -> DataFrame:
-    """Union of alerts with a rank for the most severe first."""
+    """Union of alerts, the most severe first."""
     df = parts[0]
     for other in parts[1:]:
         df = df.unionByName(other)
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return df.withColumn("severity_rank", rank)
+    return df.withColumn("severity_rank", rank).orderBy("severity_rank", "key")
 
 
 def reconcile_orphans(runs: DataFrame, now: Column, limits: dict[str, int]) -> DataFrame:

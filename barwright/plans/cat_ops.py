@@ -92,28 +92,27 @@ def _(m):
 define(
     "fail_alerts", "task_runs",
     """
-SELECT 'repeated_failure_' || task_name AS key, 'critical' AS severity, task_name || ': last 2 runs all failed.' AS message
-FROM (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY started_at DESC, run_id DESC) AS r FROM task_runs) WHERE r <= 2 GROUP BY task_name HAVING count(*) = 2 AND bool_and(status = 'failure')""",
+SELECT 'repeated_failure_' || task_name AS key, 'critical' AS severity, task_name || ': last 3 runs all failed.' AS message
+FROM (SELECT *, row_number() OVER (PARTITION BY task_name ORDER BY started_at DESC, run_id DESC) AS r FROM task_runs) WHERE r <= 3 GROUP BY task_name HAVING count(*) = 3 AND bool_and(status = 'failure')""",
 )
 
 
 @query("ops_02_repeated_failures", ALERT, "SELECT * FROM fail_alerts", "fail_alerts")
 def _(m):
-    return ops.repeated_failures(m.task_runs, 2)
+    return ops.repeated_failures(m.task_runs)
 
 
 define(
     "silent_alerts", "task_runs",
     f"""
 SELECT 'silent_sync_failure_' || task_name AS key, 'critical' AS severity, task_name || ': a recent run reported ''success'' but its own result recorded an error: ' || e AS message
-FROM (SELECT task_name, arg_max(status, (started_at, run_id)) AS s, arg_max({{'e': embedded_error}}, (started_at, run_id)).e AS e FROM task_runs WHERE started_at >= {_SQLNOW} - INTERVAL 720 HOUR
-      AND status <> 'failure' GROUP BY task_name) WHERE s = 'success' AND e IS NOT NULL""",
+FROM (SELECT task_name, arg_max(status, (started_at, run_id)) AS s, arg_max({{'e': embedded_error}}, (started_at, run_id)).e AS e FROM task_runs WHERE started_at >= {_SQLNOW} - INTERVAL 720 HOUR GROUP BY task_name) WHERE s = 'success' AND e IS NOT NULL""",
 )
 
 
 @query("ops_03_silent_failures", ALERT, "SELECT * FROM silent_alerts", "silent_alerts")
 def _(m):
-    return ops.silent_failures(m.task_runs.filter(F.col("status") != "failure"), _now(), 720)
+    return ops.silent_failures(m.task_runs, _now(), 720)
 
 
 define(
@@ -178,17 +177,32 @@ def _models(m):
     )
 
 
+# the daily report of a day is the last run of task_7 on it
+define(
+    "report_alerts", "task_runs",
+    """
+SELECT 'report_repeated_failure' AS key, 'critical' AS severity, format('The daily report failed on its last 3 dates in a row ({} to {}).', min(d), max(d)) AS message
+FROM (SELECT CAST(started_at AS DATE) AS d, arg_max(status, (started_at, run_id)) AS s FROM task_runs WHERE task_name = 'task_7' GROUP BY d ORDER BY d DESC LIMIT 3)
+HAVING count(*) = 3 AND bool_and(s = 'failure')""",
+)
+
+
+def _reports(m):
+    runs = m.task_runs.filter(F.col("task_name") == "task_7")
+    return runs.groupBy(F.to_date("started_at").alias("report_date")).agg(F.max_by("status", F.struct("started_at", "run_id")).alias("status"))
+
+
 @query(
     "ops_06_all_alerts", f"{ALERT}, severity_rank i",
-    "SELECT *, CASE severity WHEN 'critical' THEN 0 ELSE 1 END AS severity_rank FROM (SELECT * FROM stale_alerts UNION ALL SELECT * FROM fail_alerts UNION ALL SELECT * FROM silent_alerts UNION ALL SELECT * FROM flight_alerts UNION ALL SELECT * FROM model_alerts)",
-    "stale_alerts fail_alerts silent_alerts flight_alerts model_alerts",
+    "SELECT *, CASE severity WHEN 'critical' THEN 0 ELSE 1 END AS severity_rank FROM (SELECT * FROM stale_alerts UNION ALL SELECT * FROM fail_alerts UNION ALL SELECT * FROM silent_alerts UNION ALL SELECT * FROM flight_alerts UNION ALL SELECT * FROM model_alerts UNION ALL SELECT * FROM report_alerts)",
+    "stale_alerts fail_alerts silent_alerts flight_alerts model_alerts report_alerts",
 )
 def _(m):
     runs = m.task_runs
     return ops.all_alerts(
         [
-            _stale(m), ops.repeated_failures(runs, 2), ops.silent_failures(runs.filter(F.col("status") != "failure"), _now(), 720),
-            ops.overlap_alerts(runs), ops.stuck_alerts(runs, _now()), ops.model_alerts(_models(m)),
+            _stale(m), ops.repeated_failures(runs), ops.silent_failures(runs, _now(), 720),
+            ops.overlap_alerts(runs), ops.stuck_alerts(runs, _now()), ops.model_alerts(_models(m)), ops.report_failures(_reports(m)),
         ]
     )
 
@@ -270,7 +284,7 @@ def _(m):
     return out.groupBy("task_name").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("task_name", "r.*")
 
 
-def alert_observations(m):
+def alert_observations(m, quoted=None):
     """Twelve rules per symbol class, met with the quote events."""
     r = m.quotes.select("symbol").distinct().select(
         "symbol", F.explode(F.array(*[F.lit(x) for x in ("target_price", "percent_move", "signal_change", "confidence")])).alias("rule_type")
@@ -282,7 +296,7 @@ def alert_observations(m):
         F.lit(70.0).alias("min_confidence"), (no % 5 != 4).alias("is_active"),
     )
     action = F.when(F.col("ltp") > 80, "BUY").when(F.col("ltp") < 5, "SELL").otherwise("HOLD")
-    facts = m.quotes.select(
+    facts = (m.quotes if quoted is None else quoted).select(
         "symbol", F.col("event_id").alias("seq"), "ts", F.col("ltp").alias("price"), (F.col("ltp") - 40.0).alias("change_pct"), action.alias("action"),
         (F.col("volume") / 1000.0).alias("confidence"),
     )
@@ -313,6 +327,34 @@ def _(m):
     return alerts.evaluate_batch(alert_observations(m))
 
 
+def _streamed_alerts(m, frame):
+    """Rows of a streaming table, each micro-batch in a folder of its own, so that a repeated one replaces itself."""
+    folder = work_folder(m.spark, "stream")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id:012d}")
+
+    q = frame.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return m.spark.read.parquet(f"{folder}/out/batch=*")
+
+
+@query("str_03_alert_rules_stream", "rule_id i, ts t, kind s", "SELECT rule_id, ts, (['target_price', 'percent_move', 'signal_change', 'confidence'])[kind + 1] AS kind FROM alert_walk WHERE fires", "alert_walk")
+def _(m):
+    live = _quote_stream(m).quotes
+    return _streamed_alerts(m, alerts.evaluate_stream(alert_observations(m, live)))
+
+
+@query(
+    "str_04_once_per_day_stream", "title s, day d",
+    "SELECT DISTINCT 'Alert: ' || event_type || ' ' || (user_id % 10) AS title, CAST(ts AS DATE) AS day FROM events",
+)
+def _(m):
+    title = F.concat(F.lit("Alert: "), "event_type", F.lit(" "), (F.col("user_id") % 10).cast("string")).alias("title")
+    e = _streamed(m, m.table("events")).select(title, "ts", F.col("event_id").alias("alert_id"))
+    return _streamed_alerts(m, dedupe.once_per_day_stream(e)).select("title", "day")
+
+
 @query(
     "str_04_once_per_day", "title s, day d, alert_id i",
     """

@@ -100,10 +100,10 @@ define(
     """
 SELECT run_id, task_name, status, started_at,
        CASE WHEN status <> 'started' THEN started_at + to_seconds(CAST(trunc(value * 10) AS INTEGER)) END AS finished_at,
-       CASE WHEN run_id % 9 = 0 THEN 'e' || run_id END AS embedded_error,
+       CASE WHEN run_id % 3 = 0 THEN 'e' || run_id END AS embedded_error,
        CASE WHEN status = 'failure' THEN 'failed ' || run_id ELSE '' END AS error
 FROM (SELECT event_id AS run_id, 'task_' || (user_id % 12) AS task_name, value, ts AS started_at,
-             CASE WHEN event_type = 'error' THEN 'failure' WHEN event_type = 'click' THEN 'partial'
+             CASE WHEN event_type = 'error' OR user_id % 12 = 7 THEN 'failure' WHEN event_type = 'click' THEN 'partial'
                   WHEN event_type = 'signup' THEN 'skipped'
                   WHEN event_type = 'view' AND event_id % 50 = 0 THEN 'started' ELSE 'success' END AS status
       FROM events)""",

@@ -176,7 +176,7 @@ class Market:
         e = self.table("events")
         kind = F.col("event_type")
         status = (
-            F.when(kind == "error", "failure")
+            F.when((kind == "error") | (F.col("user_id") % 12 == 7), "failure")  # task_7 never succeeds
             .when(kind == "click", "partial")
             .when(kind == "signup", "skipped")
             .when((kind == "view") & (F.col("event_id") % 50 == 0), "started")
@@ -191,7 +191,7 @@ class Market:
             F.when(status != "started", F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))).alias(
                 "finished_at"
             ),
-            F.when(F.col("event_id") % 9 == 0, F.concat(F.lit('{"ok": false, "live": {"ok": false, "error": "e'), F.col("event_id").cast("string"), F.lit('"}}')))
+            F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"ok": false, "live": {"ok": false, "error": "e'), F.col("event_id").cast("string"), F.lit('"}}')))
             .otherwise(F.lit('{"ok": true}'))
             .alias("detail"),
             F.when(status == "failure", F.concat(F.lit("failed "), F.col("event_id").cast("string"))).otherwise("").alias("error"),
