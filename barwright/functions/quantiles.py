@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 ACCURACY = 20000
 MARGIN = 0.001
-SMALL = 5000
+# the margin is MARGIN * n ranks, the sketch errs by n / ACCURACY: with fewer rows than this the margin may not cover
+# the error and rounding to whole ranks, so the bracket is the whole group, which holds fewer rows than this
+BRACKETED_FROM = 5000
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], discrete: bool = False) -> DataFrame:
@@ -32,8 +34,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     )
     ends = []
     for j, p in enumerate(probs):
-        # below SMALL rows the margin is under a few ranks: take the whole group
-        whole = F.col("n") < SMALL
+        whole = F.col("n") < BRACKETED_FROM
         lo = F.col("_min") if p <= MARGIN else F.when(whole, F.col("_min")).otherwise(F.get("_lo", F.lit(j)))
         hi = F.col("_max") if p >= 1 - MARGIN else F.when(whole, F.col("_max")).otherwise(F.get("_hi", F.lit(j)))
         pos = (F.col("n") - 1) * F.lit(p)
@@ -55,8 +56,12 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     ranked = ranked.withColumn("upto", F.col("below") + F.sum("c").over(w))
     at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("_v")))
     picked = ranked.groupBy(*groups, "j").agg(
-        at(F.col("k")).alias("a"), at(F.least(F.col("k") + 1, F.col("n"))).alias("b"), F.first("part").alias("part"), F.first("n").alias("n")
+        at(F.col("k")).alias("a"), at(F.least(F.col("k") + 1, F.col("n"))).alias("b"), F.first("part").alias("part"), F.first("n").alias("n"),
+        F.max(F.col("below") - F.col("k")).alias("_over"),
     )
+    # a rank outside its bracket would give a wrong value silently: stop instead
+    missed = (F.col("_over") >= 0) | F.col("a").isNull() | F.col("b").isNull()
+    picked = picked.withColumn("a", F.when(missed, F.raise_error(F.lit("a quantile's bracket misses its rank")).cast("double")).otherwise(F.col("a")))
     val = F.col("a") if discrete else F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     return picked.groupBy(*groups).agg(
         F.first("n").alias("n"),

@@ -286,15 +286,15 @@ def _(m):
 
 @query("ml_15_walk_forward_evaluation", _EVAL)
 def _(m):
-    panel, folds = _trained(m, 2)
+    panel, folds = _trained(m, 5)
     return models.evaluate(panel, folds, "logistic")
 
 
 @query("ml_16_candidate_selection", "kind s, rolling_days i, skill_vs_naive f, folds i, is_best b, status s")
 def _(m):
-    panel, folds = _trained(m, 1)
+    panel, folds = _trained(m, 2)
     out = None
-    for days in (365, 1095):
+    for days in (365, 730, 1095):
         e = models.evaluate(panel, folds, "logistic", days)
         out = e if out is None else out.unionByName(e)
     return models.gate(models.select_candidate(out))
@@ -314,10 +314,21 @@ def _(m):
     return pn.pooling(s.join(model.select("exchange", "n"), "exchange"), 300, True)
 
 
-@query("ml_18_final_fit_class_returns", "direction_label i, class_return f, rows i")
+@query("ml_18_final_fit_class_returns", "direction_label i, class_return f, rows i, calibration s")
+def _(m):
+    return models.final_fit(cut_lineage(panel3(m)), "logistic", 730)[2]
+
+
+@query("ml_18_calibrated_scores", "exchange s, symbol s, date d, top_probability f, p_down f, p_flat f, p_up f, calibration s")
 def _(m):
+    """The final model, calibrated where it could be, on each member's newest complete row."""
     panel = cut_lineage(panel3(m))
-    return models.final_fit(panel, "logistic", 730)[2]
+    fitted, calibrator, classes = models.final_fit(panel, "logistic", 730)
+    newest = panel.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in panel.columns if c not in KEY]), "date").alias("r")).select(*KEY, "r.*")
+    scored = models.direction_probabilities(fitted, newest, fixed.NEXT_CLOSE_FEATURES)
+    out = models.calibrated(calibrator, scored) if calibrator is not None else scored.withColumn("top_probability", F.array_max("p3"))
+    p = [F.get("p3", F.lit(k)).alias(n) for k, n in enumerate(("p_down", "p_flat", "p_up"))]
+    return out.select(*KEY, "date", "top_probability", *p, classes.select(F.first("calibration")).scalar().alias("calibration"))
 
 
 @query("ml_18_holdout_report", f"exchange s, {CLS}")

@@ -424,7 +424,7 @@ def _(m):
 
 @query(
     "fn_05_json", "run_id i, k i, error s, merged i",
-    "SELECT event_id AS run_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 9 = 0 THEN 'e' || event_id END AS error, 2 AS merged FROM events",
+    "SELECT event_id AS run_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN 'e' || event_id END AS error, 2 AS merged FROM events",
 )
 def _(m):
     from barwright.functions.expr import nested_get
