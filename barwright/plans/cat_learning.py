@@ -363,8 +363,12 @@ _NEWEST_OK = "SELECT scope, arg_max(version, (data_cutoff, version)) FILTER (ski
 def _(m):
     runs = registry(m)
     best = runs.filter(F.col("skill") > 0).groupBy("model_name", "scope").agg(F.max_by("version", F.struct("data_cutoff", "version")).alias("version"))
-    new = runs.join(best, ["model_name", "scope", "version"], "left_semi").withColumn("is_active", F.lit(True))
-    old = runs.join(best, ["model_name", "scope", "version"], "left_anti")
+    # the candidate passes the gate by its overall and its newest fold's skill; each scope has an older active model
+    candidate = runs.join(best, ["model_name", "scope", "version"], "left_semi").drop("is_active")
+    new = models.gate(candidate.withColumns({"skill_vs_naive": F.col("skill"), "recent_fold_skill": F.col("skill")}))
+    first = runs.groupBy("model_name", "scope").agg(F.min_by("version", F.struct("data_cutoff", "version")).alias("_first"))
+    old = runs.join(best, ["model_name", "scope", "version"], "left_anti").join(first, ["model_name", "scope"])
+    old = old.withColumn("is_active", F.col("version") == F.col("_first"))
     cols = ["model_name", "scope", "version", "data_cutoff", "skill", "is_active"]
     return models.register(old.select(*cols), new.select(*cols))
 

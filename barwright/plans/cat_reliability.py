@@ -191,8 +191,10 @@ def _psi_sql(src, by):
 
 def _ks_sql(src, by):
     keys = ", ".join(by)
-    return f"""SELECT {keys}, max(abs(fa - fb)) AS ks FROM (SELECT {keys}, p, sum(a) OVER w / sum(a) OVER (PARTITION BY {keys}) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY {keys}) AS fb
-  FROM (SELECT {keys}, p, count(*) FILTER (NOT cur) AS a, count(*) FILTER (cur) AS b FROM ({src}) GROUP BY {keys}, p) WINDOW w AS (PARTITION BY {keys} ORDER BY p)) GROUP BY {keys}"""
+    return f"""SELECT {keys}, ks, CASE WHEN x < 0.2 THEN 1.0 ELSE least(greatest(list_sum([2.0 * CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * exp(-2.0 * k * k * x * x) FOR k IN range(1, 101)]), 0), 1) END AS ks_p
+FROM (SELECT {keys}, max(abs(fa - fb)) AS ks, sqrt(max(na) * max(nb) / (max(na) + max(nb))) * max(abs(fa - fb)) AS x
+FROM (SELECT {keys}, p, sum(a) OVER (PARTITION BY {keys})::DOUBLE AS na, sum(b) OVER (PARTITION BY {keys})::DOUBLE AS nb, sum(a) OVER w / sum(a) OVER (PARTITION BY {keys}) AS fa, sum(b) OVER w / sum(b) OVER (PARTITION BY {keys}) AS fb
+  FROM (SELECT {keys}, p, count(*) FILTER (NOT cur) AS a, count(*) FILTER (cur) AS b FROM ({src}) GROUP BY {keys}, p) WINDOW w AS (PARTITION BY {keys} ORDER BY p)) GROUP BY {keys})"""
 
 
 @query("rl_09_population_stability", "exchange s, psi f", _psi_sql(_HALF.format("exchange", "rl"), ["exchange"]), "rl")
@@ -201,7 +203,7 @@ def _(m):
     return rel.stability_index(h, ["exchange"], "predicted_return", "is_current")
 
 
-@query("rl_10_ks_distance", "exchange s, ks f", _ks_sql(_HALF.format("exchange", "rl"), ["exchange"]), "rl")
+@query("rl_10_ks_distance", "exchange s, ks f, ks_p f", _ks_sql(_HALF.format("exchange", "rl"), ["exchange"]), "rl")
 def _(m):
     from barwright.functions.ranking import ks_distance
 
@@ -213,18 +215,27 @@ def _drift_sql(src, by):
     keys = ", ".join(by)
     half = _HALF.format(keys, src)
     rate = lambda x, c: f"round_even(avg(CASE WHEN {x} THEN 1.0 ELSE 0.0 END) FILTER ({c}), 4)"
-    return f"""SELECT * FROM (SELECT {keys}, count(*) AS n, {rate('(p >= 0) = (a >= 0)', 'NOT cur')} AS reference_hit_rate, {rate('(p >= 0) = (a >= 0)', 'cur')} AS current_hit_rate,
+    flags = ", ".join(
+        f"CASE WHEN {test} THEN '{name}' {more} END"
+        for test, name, more in (
+            ("psi > 0.25", "prediction drift major", "WHEN psi > 0.1 THEN 'prediction drift moderate'"), ("ks_p < 0.05", "prediction distribution differs", ""),
+            ("abs(current_up_rate - reference_up_rate) > 0.15", "class balance shifted", ""), ("current_ece - reference_ece > 0.1", "calibration worsened", ""),
+            ("reference_hit_rate - current_hit_rate > 0.15", "hit rate degraded", ""),
+        )
+    )
+    return f"""SELECT *, CASE WHEN n >= 30 THEN [f FOR f IN [{flags}] IF f IS NOT NULL] ELSE [] END AS flags FROM (
+SELECT * FROM (SELECT {keys}, count(*) AS n, {rate('(p >= 0) = (a >= 0)', 'NOT cur')} AS reference_hit_rate, {rate('(p >= 0) = (a >= 0)', 'cur')} AS current_hit_rate,
   {rate('outcome_class', 'NOT cur')} AS reference_up_rate, {rate('outcome_class', 'cur')} AS current_up_rate FROM ({half}) GROUP BY {keys})
-LEFT JOIN ({_psi_sql(half, by)}) USING ({keys}) LEFT JOIN (SELECT {keys}, round_even(ks, 4) AS ks FROM ({_ks_sql(half, by)})) USING ({keys})
-LEFT JOIN (SELECT {keys}, round_even(sum(gap) FILTER (NOT cur), 4) AS reference_ece, round_even(sum(gap) FILTER (cur), 4) AS current_ece FROM ({_cal_sql(f"({half})", [*by, "cur"])}) GROUP BY {keys}) USING ({keys})"""
+LEFT JOIN ({_psi_sql(half, by)}) USING ({keys}) LEFT JOIN (SELECT {keys}, round_even(ks, 4) AS ks, round_even(ks_p, 4) AS ks_p FROM ({_ks_sql(half, by)})) USING ({keys})
+LEFT JOIN (SELECT {keys}, round_even(sum(gap) FILTER (NOT cur), 4) AS reference_ece, round_even(sum(gap) FILTER (cur), 4) AS current_ece FROM ({_cal_sql(f"({half})", [*by, "cur"])}) GROUP BY {keys}) USING ({keys}))"""
 
 
 @query(
-    "rl_11_split_half_drift", "exchange s, n i, psi f, ks f, reference_hit_rate f, current_hit_rate f, reference_up_rate f, current_up_rate f, reference_ece f, current_ece f",
-    _drift_sql("rl", ["exchange"]), "rl",
+    "rl_11_split_half_drift", "exchange s, n i, psi f, ks f, reference_hit_rate f, current_hit_rate f, reference_up_rate f, current_up_rate f, reference_ece f, current_ece f, ks_p f, flag_text s",
+    f"SELECT *, array_to_string(flags, ', ') AS flag_text FROM ({_drift_sql('rl', ['exchange'])})", "rl",
 )
 def _(m):
-    return rel.drift(predictions(m), ["exchange"])
+    return rel.drift(predictions(m), ["exchange"]).withColumn("flag_text", F.array_join("flags", ", "))
 
 
 define(
@@ -247,7 +258,33 @@ def _(m):
     return rel.assess(predictions(m), ["exchange"])
 
 
-@query("rl_08_assessment_status", "exchange s, window_size i, n i, status s, reasons s, recommendations s")
+def _assess_sql():
+    some = lambda *cases: "[r FOR r IN [" + ", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in cases) + "] IF r IS NOT NULL]"
+    reasons = some(
+        ("n < 30", "format('too few settled predictions: {:d} of 30', n)"),
+        ("n >= 30 AND s IS NULL", "format('skill could not be computed from {:d} predictions', n)"),
+        ("n >= 30 AND s <= 0", "printf('skill %.4f is not positive over %d predictions', s, n)"),
+        ("n >= 30 AND s > 0 AND n < 60", "printf('skill %.4f is provisional with %d of 60 predictions', s, n)"),
+        ("n >= 30 AND s IS NOT NULL AND bad_cal", "printf('calibration error %.4f is high', calibration_error)"),
+        ("n >= 30 AND s IS NOT NULL AND len(flags) > 0", "'drift: ' || array_to_string(flags, ', ')"),
+        ("n >= 60 AND s > 0 AND NOT bad_cal AND len(flags) = 0", "printf('skill %.4f over %d predictions, no concerns', s, n)"),
+    )
+    weak = "status IN ('degraded', 'critical')"
+    recs = some(
+        ("calibration_error > 0.15", "'recalibrate_probabilities'"), ("reference_hit_rate - current_hit_rate > 0.15", "'retrain_using_newer_data'"),
+        ("psi > 0.25", "'inspect_specific_feature'"), ("current_ece - reference_ece > 0.1", "'reduce_confidence_or_abstain'"),
+        (weak, "'downgrade_to_experimental'"), (weak, "'compare_against_simpler_baseline'"),
+    )
+    return f"""
+SELECT *, array_to_string({reasons}, '; ') AS reasons,
+  CASE WHEN status = 'insufficient_data' THEN 'collect_more_outcomes' WHEN status = 'healthy' AND len({recs}) = 0 THEN 'continue_serving' ELSE array_to_string({recs}, ',') END AS recommendations
+FROM (SELECT *, CASE WHEN n < 30 THEN 'insufficient_data' WHEN s IS NULL THEN 'watch' WHEN s <= 0 THEN CASE WHEN n >= 60 THEN 'critical' ELSE 'degraded' END
+    WHEN n < 60 OR bad_cal OR len(flags) > 0 THEN 'watch' ELSE 'healthy' END AS status
+  FROM (SELECT *, skill_vs_naive::DOUBLE AS s, coalesce(calibration_error > 0.15, false) AS bad_cal
+    FROM ({_metrics_sql('rlw', _BY)}) JOIN (SELECT * EXCLUDE (n) FROM ({_drift_sql('rlw', _BY)})) USING (exchange, window_size)))"""
+
+
+@query("rl_08_assessment_status", "exchange s, window_size i, n i, status s, reasons s, recommendations s", _assess_sql(), "rlw")
 def _(m):
     return rel.assess(predictions(m), ["exchange"])
 
@@ -280,23 +317,35 @@ def _(m):
 @query(
     "rl_15_signal_status", "exchange s, symbol s, action s, has_edge b, age_days i, is_stale b, liquidity s, invalidation s",
     """
-SELECT a.exchange, a.symbol, a.action, a.exchange = 'DSE' AS has_edge, DATE '2001-11-05' - a.as_of AS age_days, DATE '2001-11-05' - a.as_of > 4 AS is_stale, 'thin' AS liquidity,
-  CASE a.action WHEN 'BUY' THEN format('closes back below support (~{:.2f})', a.support) WHEN 'SELL' THEN format('reclaims resistance (~{:.2f})', a.resistance) ELSE 'neutral' END AS invalidation FROM analysis a""",
-    "analysis",
+SELECT a.exchange, a.symbol, a.action, (k.skill > 0 AND k.train_rows >= 200) OR (k.live_n >= 30 AND k.live_skill > 0) AS has_edge, DATE '2001-11-05' - a.as_of AS age_days, DATE '2001-11-05' - a.as_of > 4 AS is_stale, CASE WHEN coalesce(q.last_volume, 0) = 0 THEN 'unknown' WHEN q.last_volume < 10000 THEN 'thin' WHEN q.last_volume < 100000 THEN 'moderate' ELSE 'active' END AS liquidity,
+  CASE a.action WHEN 'BUY' THEN format('closes back below support (~{:.2f})', a.support) WHEN 'SELL' THEN format('reclaims resistance (~{:.2f})', a.resistance) ELSE 'neutral' END AS invalidation
+FROM analysis a JOIN quoted q ON q.exchange = a.exchange AND q.symbol = a.symbol JOIN (SELECT exchange, round_even(avg(CASE WHEN outcome_class THEN 1.0 ELSE 0.0 END) - 0.5, 4) AS skill, count(*) AS train_rows,
+  count(*) FILTER (data_cutoff >= DATE '2001-06-01') AS live_n, round_even(avg(CASE WHEN predicted_class = outcome_class THEN 1.0 ELSE 0.0 END) FILTER (data_cutoff >= DATE '2001-06-01') - 0.5, 4) AS live_skill
+  FROM rl GROUP BY exchange) k ON k.exchange = a.exchange""",
+    "analysis quoted rl",
 )
 def _(m):
-    ex = m.stocks.select("exchange").distinct()
-    facts = ex.select(
-        "exchange", F.lit(True).alias("deployed"), F.when(F.col("exchange") == "DSE", 0.05).otherwise(-0.01).alias("skill"), F.lit(5000).alias("train_rows"),
-        F.lit(10).alias("live_n"), F.lit(0.1).alias("live_skill"),
+    live = F.col("data_cutoff") >= F.lit("2001-06-01").cast("date")
+    share = lambda test: F.when(test, 1.0).otherwise(0.0)
+    right = share(F.col("predicted_class") == F.col("outcome_class"))
+    facts = predictions(m).groupBy("exchange").agg(
+        F.lit(True).alias("deployed"), F.bround(F.avg(share(F.col("outcome_class"))) - 0.5, 4).alias("skill"), F.count(F.lit(1)).alias("train_rows"),
+        F.count_if(live).alias("live_n"), F.bround(F.avg(F.when(live, right)) - 0.5, 4).alias("live_skill"),
     )
     levels = snapshot(m.bars).select(*KEY, "support", "resistance")
     return rel.signal_status(scoring.analysis(m.bars, m.stocks), m.quoted, levels, facts, F.lit("2001-11-05").cast("date"))
 
 
 @query(
-    "rl_16_daily_report_facts", "exchange s, window_size i, evidence s, n i",
-    "SELECT exchange, window_size, count(*) AS n, CASE WHEN count(*) >= 300 THEN 'Stronger evidence' WHEN count(*) >= 100 THEN 'Moderate' WHEN count(*) >= 30 THEN 'Limited' ELSE 'Very limited' END AS evidence FROM rlw GROUP BY ALL", "rlw",
+    "rl_16_daily_report_facts", "exchange s, window_size i, evidence s, n i, verdict s, advice s",
+    f"""
+SELECT *, CASE WHEN n = 0 THEN 'Experimental' WHEN status = 'insufficient_data' THEN 'Promising' WHEN status = 'healthy' THEN CASE WHEN n >= 100 THEN 'Stable' ELSE 'Promising' END
+    WHEN status = 'watch' THEN 'Weak' ELSE 'Declining' END AS verdict,
+  CASE WHEN len(found) > 0 THEN array_to_string(found[1:3], ',') ELSE 'no_concerns' END AS advice
+FROM (SELECT *, CASE WHEN n >= 300 THEN 'Stronger evidence' WHEN n >= 100 THEN 'Moderate' WHEN n >= 30 THEN 'Limited' ELSE 'Very limited' END AS evidence,
+  [r FOR r IN [CASE WHEN status IN ('degraded', 'critical') THEN 'pause_promotion' END, CASE WHEN calibration_error > 0.15 THEN 'adjust_confidence' END, CASE WHEN n < 60 THEN 'collect_more' END] IF r IS NOT NULL] AS found
+  FROM ({_assess_sql()}))""",
+    "rlw",
 )
 def _(m):
     return rel.daily_report(rel.assess(predictions(m), ["exchange"]), F.lit(False), F.lit(False))
