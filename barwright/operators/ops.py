@@ -68,6 +68,7 @@ def stale_price_alerts(bars: DataFrame, exchanges: list[str], today: Column) ->
     last = bars.groupBy("exchange").agg(F.max("date").alias("latest"))
     df = wanted.join(last, "exchange", "left").withColumn("age", F.date_diff(today, F.col("latest")))
     df = df.filter(F.col("age").isNull() | (F.col("age") > fixed.STALE_DATA_DAYS))
+    # fixed values: texts a user sees
     text = F.when(F.col("age").isNull(), F.concat("exchange", F.lit(": no price data on record at all."))).otherwise(
         F.format_string("%s: latest price data is %d days old (threshold %d).", "exchange", "age", F.lit(fixed.STALE_DATA_DAYS))
     )
@@ -77,6 +78,7 @@ def stale_price_alerts(bars: DataFrame, exchanges: list[str], today: Column) ->
 def stale_analysis_alerts(analysis: DataFrame, today: Column) -> DataFrame:
     df = analysis.agg(F.max("as_of").alias("latest")).withColumn("age", F.date_diff(today, F.col("latest")))
     df = df.filter(F.col("age").isNull() | (F.col("age") > fixed.STALE_DATA_DAYS))
+    # fixed values: texts a user sees
     text = F.when(F.col("age").isNull(), "No analysis rows exist at all.").otherwise(
         F.format_string("Latest analysis is %d days old (threshold %d).", "age", F.lit(fixed.STALE_DATA_DAYS))
     )
@@ -195,6 +197,7 @@ def reconcile_orphans(runs: DataFrame, now: Column, limits: dict[str, int]) -> D
         limit = F.when(F.col("task_name") == task, seconds).otherwise(limit)
     df = runs.withColumn("hard_limit", limit)
     orphan = (F.col("status") == "started") & (seconds_between(F.col("started_at"), now) >= F.col("hard_limit") + fixed.ORPHAN_GRACE_SECONDS)
+    # fixed values: texts a user sees
     text = F.format_string("Orphaned task record: no completion was written after the %d-second hard limit plus grace period.", "hard_limit")
     return df.withColumns(
         {

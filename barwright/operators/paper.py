@@ -157,6 +157,7 @@ def feedback_stats(rows: DataFrame) -> DataFrame:
 
 def confidence_bucket(c: Column) -> Column:
     return (
+        # fixed values: texts a user sees
         F.when(c.isNull(), "No confidence saved").when(c >= 0.80, "80% and above").when(c >= 0.70, "70%–79%").otherwise("Below 70%")
     )
 
@@ -189,5 +190,6 @@ def evidence(rows: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("completed_trades"), F.bround(F.sum("fees"), 2).alias("total_fees"),
         F.bround(F.sum("gross_return_pct"), 2).alias("gross_return_sum_pct"), F.bround(F.sum("net_return_pct"), 2).alias("net_return_sum_pct"),
     )
+    # fixed values: texts a user sees
     status = F.when(F.col("completed_trades") < 30, "Insufficient completed trades for review").otherwise("Reviewable paper sample only — not proof of an edge")
     return sums.join(dd, "exchange", "left").withColumn("evidence_status", status)

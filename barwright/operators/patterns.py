@@ -100,6 +100,7 @@ def score_parts(board: Column) -> list[tuple[Column, Column]]:
         ),
         (
             F.when(up, 15).when(down, -15).otherwise(0),
+            # fixed values: texts a user sees
             F.when(up, "Short-term uptrend stack").when(down, "Short-term downtrend stack"),
         ),
         (

@@ -208,6 +208,7 @@ def stock_quality(stocks: DataFrame, bars: DataFrame) -> DataFrame:
     ).otherwise(
         F.array_compact(
             F.array(
+                # fixed values: texts a user sees
                 F.when(F.coalesce("history_days", F.lit(0)) < 80, F.lit("Too little price history")),
                 F.when(
                     F.coalesce("recent_sessions", F.lit(0)) < F.ceil(F.col("expected") * 0.8),

@@ -339,6 +339,7 @@ def exchange_divergence(assessed: DataFrame) -> DataFrame:
 def confidence_bucket(c: Column) -> Column:
     v = F.coalesce(c, F.lit(0.0))
     return (
+        # fixed values: texts a user sees
         F.when(v < 0.55, "Below 55%").when(v < 0.60, "55–59%").when(v < 0.65, "60–64%").when(v < 0.70, "65–69%").when(v < 0.80, "70–79%").otherwise("80%+")
     )
 

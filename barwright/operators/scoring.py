@@ -105,6 +105,7 @@ def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
         )
     )
     parts = F.concat(reasons, history_parts)
+    # fixed values: texts a user sees
     rationale = F.when(~enough, "Insufficient history (need ~30+ sessions).").otherwise(
         F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise("Neutral posture.")
     )

@@ -105,6 +105,7 @@ def classify_broker(raw: DataFrame, stocks: DataFrame, today: Column) -> DataFra
     )
     q, p, f, target = (F.col(c) for c in ("quantity", "price", "fees", "target_price"))
     error = (
+        # fixed values: texts a user sees
         F.when(F.coalesce("symbol", F.lit("")) == "", "code is required.")
         .when(~F.col("exchange").isin(fixed.EXCHANGES), "exchange must be DSE or CSE.")
         .when(F.col("_listed").isNull(), "not an available stock.")
