@@ -337,8 +337,8 @@ def _(m):
 
 
 def registry(m):
-    """Model registry rows: orders of one priority stand in for training runs."""
-    o = m.table("orders").filter(F.substring("o_orderpriority", 1, 1) == "1")
+    """Model registry rows: orders stand in for training runs."""
+    o = m.table("orders")
     k = F.col("o_custkey")
     skill = (F.col("o_totalprice") % 100) / 1000.0 - 0.05
     return o.select(
@@ -351,7 +351,7 @@ define(
     "registry", "",
     """
 SELECT 'forward_return' AS model_name, CASE WHEN o_custkey % 2 = 0 THEN 'DSE' ELSE 'CSE' END AS scope, o_orderkey AS version, CAST(o_orderdate AS DATE) AS data_cutoff,
-       (o_totalprice % 100) / 1000.0 - 0.05 AS skill FROM orders WHERE o_orderpriority LIKE '1%'""",
+       (o_totalprice % 100) / 1000.0 - 0.05 AS skill FROM orders""",
 )
 _NEWEST_OK = "SELECT scope, arg_max(version, (data_cutoff, version)) FILTER (skill > 0) AS active FROM registry GROUP BY scope"
 

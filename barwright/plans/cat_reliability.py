@@ -73,7 +73,7 @@ def _(m):
 
 define(
     "pendings", "bars",
-    f"SELECT exchange, symbol, date AS data_cutoff, date + 7 AS target_date, CASE WHEN day(date) = 1 THEN 0 ELSE close END AS reference_close FROM bars WHERE date >= DATE '2001-07-01'",
+    f"SELECT exchange, symbol, date AS data_cutoff, date + 7 AS target_date, CASE WHEN day(date) = 1 THEN 0 ELSE close END AS reference_close FROM bars",
 )
 
 
@@ -90,7 +90,7 @@ FROM (SELECT p.*, b.close, p.target_date <= DATE '2001-10-31' AS due, k.symbol I
 )
 def _(m):
     day = F.col("date")
-    p = m.bars.filter(day >= F.lit("2001-07-01").cast("date")).select(
+    p = m.bars.select(
         *KEY, day.alias("data_cutoff"), F.date_add(day, 7).alias("target_date"), F.when(F.dayofmonth(day) == 1, 0.0).otherwise(F.col("close")).alias("reference_close"),
         F.lit("PENDING").alias("settlement_status"),
     )

@@ -370,12 +370,12 @@ def _(m):
 
 
 # a user's watchlist: the securities of the line items of their orders
-define("watchlist", "", "SELECT DISTINCT o_custkey % 50 AS user_id, CASE WHEN l_suppkey % 2 = 0 THEN 'DSE' ELSE 'CSE' END AS exchange, 'S' || l_suppkey AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' AND l_linenumber = 1")
+define("watchlist", "", "SELECT DISTINCT o_custkey AS user_id, CASE WHEN l_suppkey % 2 = 0 THEN 'DSE' ELSE 'CSE' END AS exchange, 'S' || l_suppkey AS symbol FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 
 def watchlist(m):
-    o = m.table("orders").filter(F.col("o_orderstatus") == "P").select("o_orderkey", (F.col("o_custkey") % 50).alias("user_id"))
-    li = m.table("lineitem").filter(F.col("l_linenumber") == 1).select("l_orderkey", "l_suppkey")
+    o = m.table("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
+    li = m.table("lineitem").select("l_orderkey", "l_suppkey")
     k = F.col("l_suppkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey)
     return j.select(
