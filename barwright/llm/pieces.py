@@ -24,16 +24,18 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from barwright.llm.shared import worker_store
+from barwright.llm.shared import text_slices, worker_store
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = "piece_bpe_32k.model"
 NBEST = 4
-KEPT_UNITS = 500_000
+KEPT_UNITS = 250_000
 NONE = float("-inf")
 LETTER = r"[^\W\d_²³¹]"
 # ways to cut a text into units, finest first; a vocabulary takes the first that none of its pieces runs across
@@ -257,17 +259,19 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Last pipeline stage: each document with the ids of its best segmentation, their number and score, and
     whether they decode to its text."""
     path = public_tokenizers.path(MODEL)
-    clash = [c for c in docs.columns if c not in ("pieces", "n_pieces", "score", "restored")]
+    added = StructType.fromDDL("pieces array<int>, n_pieces long, score double, restored boolean")
+    kept = [c for c in docs.columns if c not in added.names]
 
-    @F.pandas_udf("pieces array<int>, n_pieces long, score double, restored boolean")
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            rows = []
-            for text in batch:
-                text = text or ""
-                ids, score = vocab.encode(text)
-                rows.append((ids.astype(np.int32), len(ids), float(score), vocab.decode(ids) == text.replace(MARK, " ")))
-            yield pd.DataFrame(rows, columns=["pieces", "n_pieces", "score", "restored"])
-
-    return docs.withColumn("_best", best("text")).select(*clash, "_best.pieces", "_best.n_pieces", "_best.score", "_best.restored")
+            for part, texts in text_slices(batch, "text"):
+                found = [vocab.encode(t) for t in texts]
+                sizes = np.array([len(ids) for ids, _ in found])
+                flat = np.concatenate([ids for ids, _ in found]).astype(np.int32)
+                pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+                whole = [vocab.decode(ids) == t.replace(MARK, " ") for (ids, _), t in zip(found, texts)]
+                more = [pieces, pa.array(sizes.astype(np.int64)), pa.array([float(s) for _, s in found]), pa.array(whole)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), *more], names=[*kept, *added.names])
+
+    return docs.select(*kept).mapInArrow(best, StructType([*docs.select(*kept).schema.fields, *added.fields]))

@@ -6,7 +6,10 @@ import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +47,19 @@ def text_chunks(texts: pd.Series, chars: int = 1_000_000) -> Iterator[list[str]]
         yield part
 
 
+def text_slices(batch: pa.RecordBatch, column: str, chars: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Pieces of an Arrow batch of about `chars` bytes of text each, with their texts (null: empty); the rest of the
+    batch is not turned into Python objects meanwhile."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        before = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + chars, side="right")))
+        yield batch.slice(at, end - at), [t or "" for t in texts.slice(at, end - at).to_pylist()]
+        at = end
+
+
 def worker_store(name: str) -> dict:
     """A dict that lives as long as the Python worker, for models and caches that tasks share."""
     return vars(sys).setdefault("_barwright_store", {}).setdefault(name, {})

@@ -18,12 +18,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from barwright.llm.shared import stored
+from barwright.llm.shared import stored, text_slices
 
 RADIUS = 3
 BANDS = (13, 13, 13, 13, 12)
@@ -52,6 +53,14 @@ def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
 
 
+def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (doc_id, text) to (doc_id, fp)."""
+    for batch in batches:
+        for part, texts in text_slices(batch, "text"):
+            found = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["doc_id", "fp"])
+
+
 class BKTree:
     """Children are keyed by their distance to the parent; a search follows only edges within the radius."""
 
@@ -184,7 +193,7 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64 bit), component_id for every row of docs (doc_id, text)."""
-    prints = stored(docs.select("doc_id", simhash("text").alias("fp")), "simhash")
+    prints = stored(docs.select("doc_id", "text").mapInArrow(prints_of, "doc_id long, fp long"), "simhash")
     return prints.join(groups(prints), "fp").select("doc_id", "fp", "component_id")
 
 
