@@ -45,7 +45,7 @@ SECTION_IDS = 1 << 18
 FILE_CHARS = 64_000_000
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_UNITS, KEPT_WORDS = 900_000, 700_000
+KEPT_UNITS, KEPT_WORDS = 500_000, 400_000
 BLOCK_HEAD = 6
 
 
