@@ -22,8 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from barwright.llm import jaccard
 from barwright.llm.shared import stored, text_slices
 
 RADIUS = 3
@@ -47,12 +47,6 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf(LongType())
-def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
-
-
 def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow: (doc_id, text) to (doc_id, fp)."""
     for batch in batches:
@@ -182,10 +176,11 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for every fingerprint of `prints` (doc_id, fp): the smallest doc_id reachable by links."""
+def groups(prints: DataFrame, radius: int = RADIUS, links: DataFrame | None = None) -> DataFrame:
+    """(fp, component_id) for every fingerprint of `prints` (doc_id, fp): the smallest doc_id reachable by links,
+    which are those within the radius unless given."""
     reps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    labels = components(near_links(reps.select("fp"), radius))
+    labels = components(near_links(reps.select("fp"), radius) if links is None else links)
     found = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("root"))
     least = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     return stored(found.join(least, "root").select("fp", "component_id"), "groups")
@@ -203,17 +198,20 @@ def op6_simhash_near_dedup(spark, folder: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id stays.
+    """Pipeline stage: of each component the document with the smallest doc_id stays. Documents are linked where
+    their sets of five-word shingles have a Jaccard similarity of 0.8 or more (`jaccard`); `fp` names such a set.
 
     Rows that repeat a doc_id inside a component are cut to one. Rows without doc_id stay one by fingerprint where
     their component has no doc_id."""
     names = docs.columns
-    near = stored(near_duplicates(docs), "near")
+    prints = stored(docs.select("doc_id", "text").mapInArrow(jaccard.sketches, "doc_id long, fp long, bands array<long>"), "near-sketches")
+    found = groups(prints, links=jaccard.links(docs, prints))
+    near = stored(prints.join(found, "fp").select("doc_id", "fp", "component_id"), "near")
     keep = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")))
     single = kept.filter("_rows = 1").select(*names)
-    # a doc_id that several rows carry: one row of each of its fingerprints' components
-    again = kept.filter("_rows > 1").withColumn("fp", simhash("text"))
+    # a doc_id that several rows carry: one row of each of its sets' components
+    again = kept.filter("_rows > 1").withColumn("fp", jaccard.text_key("text"))
     match = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("_fp"), F.col("component_id").alias("_of")).distinct()
     many = again.join(match, (F.col("fp") == F.col("_fp")) & F.col("doc_id").eqNullSafe(F.col("_of")))
     one = F.when(F.col("doc_id").isNull(), F.col("fp"))
