@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest directory with a licence file.
 
-Everything is DataFrame and SQL functions. A unit is a line that holds an anchor word (a header), or the whole text
-of a document with such a line (a possible licence file). Units and templates become term vectors; a term's
+Everything is DataFrame and SQL functions. A unit is a line or a block of comment lines that holds an anchor word (a
+header), or the whole text of a document with such a line (a possible licence file). An SPDX line is its identifiers,
+each one term, so that it matches its own licence or none. Units and templates become term vectors; a term's
 document frequency is counted over all units and templates. A document's own licence is the template of the best
 unit at or above `LEAST`. A document whose whole text reaches `LEAST_FILE` is a licence file and speaks for its
 directory; documents without a licence of their own take that of the nearest directory above them that has one.
@@ -13,6 +14,8 @@ equal rows. Other columns are left alone.
 
 from __future__ import annotations
 
+from importlib.resources import files as package_files
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from barwright.llm.shared import stored
 LEAST = 0.6
 LEAST_FILE = 0.6
 ANCHORS = r"(?i)licen[sc]e|copyright|warrant|permission|spdx|redistribut|public domain|\bcc[ -]by\b|\bgpl\b"
+BLOCK = r"(?m)(?:^[ \t]*(?:#|//|/?\*|;|--|%)[^\n]*[A-Za-z][^\n]*\n?){2,60}"  # comment lines up to an empty one
+SPDX = r"(?i)spdx-licen[sc]e-identifier:[ \t]*([^\n]*)"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
 # fixed values: short notices of public licences, several for one licence where it is announced in several ways
@@ -46,6 +51,27 @@ TEMPLATES = [
 ]
 
 
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+for _name, _kind, _version in [(f"{k}GPL-{v}", n, v) for k, n, vs in (("", "General", "123"), ("L", "Lesser General", ("2.1", "3")), ("L", "Library General", "2"), ("A", "Affero General", "3")) for v in vs]:
+    _name = _name if "." in _name else f"{_name}.0"
+    for _what, _sign in (("program", ":"), ("library", ";")):
+        TEMPLATES.append((_name, f"This {_what} is free software{_sign} " + _GNU.format(_kind, "," if _sign == ":" else ";", _version)))
+    TEMPLATES.append((_name, f"This work is licensed under the GNU {_kind} Public License, version {_version}."))
+
+# whole texts of licences, one for each file of the folder, for documents that are licence files
+TEMPLATES += sorted((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in (package_files("barwright.llm") / "licence_texts").iterdir() if f.name.endswith(".txt"))
+
+# SPDX identifiers, with the endings that do not change the licence
+IDENTIFIERS = "AFL-3.0 AGPL-3.0 Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.0 LGPL-2.1 LGPL-3.0 MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL OFL-1.1 Python-2.0 Unlicense WTFPL Zlib 0BSD".split()
+
+
+def spdx_term(identifier: str) -> str:
+    return "spdx" + identifier.lower().translate(str.maketrans("-.+", "xdp"))
+
+
+TEMPLATES += [(i, spdx_term(i + end)) for i in IDENTIFIERS for end in (("", "-only", "-or-later", "+") if "GPL" in i else ("",))]
+
+
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
@@ -56,10 +82,14 @@ def directory(path: Column) -> Column:
 
 
 def units(files: DataFrame) -> DataFrame:
-    """file (id), unit (0: the whole text, from 1 the lines with an anchor) and the unit's text."""
+    """file (id), unit (0: the whole text, from 1 the lines and comment blocks with an anchor) and the unit's text."""
     hits = F.filter(F.split("text", "\n"), lambda line: line.rlike(ANCHORS))
+    blocks = F.filter(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)), lambda block: block.rlike(ANCHORS))
+    named = lambda line: F.regexp_extract_all(F.lower(F.regexp_extract(line, SPDX, 1)), F.lit(r"[a-z0-9][a-z0-9.+-]*"), F.lit(0))
+    spdx = lambda line: F.array_join(F.transform(F.filter(named(line), lambda i: ~i.isin("and", "or", "with")), lambda i: F.concat(F.lit("spdx"), F.translate(i, "-.+", "xdp"))), " ")
+    lines = F.transform(hits, lambda line: F.when(line.rlike(SPDX), spdx(line)).otherwise(line))
     marked = files.filter(F.col("text").rlike(ANCHORS))
-    return marked.select("file", F.posexplode(F.concat(F.array("text"), hits)).alias("unit", "words"))
+    return marked.select("file", F.posexplode(F.concat(F.array("text"), lines, blocks)).alias("unit", "words"))
 
 
 def vectors(units_: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +141,7 @@ def scan(files: DataFrame) -> DataFrame:
     above = stored(inherited(files.select(directory(F.col("path")).alias("dir")).distinct(), spoken), "licence-dirs")
     out = placed.join(above.select("dir", "up", F.col("licence").alias("from_above")), "dir", "left")
     basis = F.when(F.col("file_licence").isNotNull(), "file").when(F.col("licence").isNotNull(), "header").when(F.col("from_above").isNotNull(), "inherited").otherwise("none")
-    return out.select("file", "path", F.coalesce("licence", "from_above").alias("licence"), F.coalesce("score", F.lit(0.0)).alias("score"), basis.alias("basis"), F.when(basis == "inherited", F.col("up")).alias("inherited_from"))
+    return out.select("file", "path", F.coalesce("file_licence", "licence", "from_above").alias("licence"), F.coalesce("file_score", "score", F.lit(0.0)).alias("score"), basis.alias("basis"), F.when(basis == "inherited", F.col("up")).alias("inherited_from"))
 
 
 def op9_license_scan(spark, folder: str) -> DataFrame:
