@@ -267,10 +267,10 @@ def _trained(m, n_folds):
 
 @query("ml_08_candidate_kinds", _EVAL)
 def _(m):
-    panel, folds = _trained(m, 1)
+    panel, folds = _trained(m, 5)
     out = None
     for kind in models.KINDS:
-        e = models.evaluate(panel, folds, kind, 730, trees=5)
+        e = models.evaluate(panel, folds, kind, 730)
         out = e if out is None else out.unionByName(e)
     return out
 
@@ -278,9 +278,13 @@ def _(m):
 @query("ml_09_zero_inflated_return", "exchange s, n i, mae f, direction_hit_rate f")
 def _(m):
     panel = cut_lineage(panel3(m))
-    parts = pn.split(panel, pn.folds(panel, 1, 3))
-    fitted = models.fit_zero_inflated(parts.filter(F.col("part") == "train"), fixed.NEXT_CLOSE_FEATURES, trees=5)
-    out = models.predict_zero_inflated(fitted, parts.filter(F.col("part") == "test"), fixed.NEXT_CLOSE_FEATURES)
+    parts = pn.split(panel, pn.folds(panel, 5, 3))
+    out = None
+    for r in parts.groupBy("fold").agg(F.count_if(F.col("part") == "train").alias("a"), F.count_if(F.col("part") == "test").alias("b")).filter("a > 0 AND b > 0").orderBy("fold").collect():
+        rows = parts.filter(F.col("fold") == r["fold"])
+        fitted = models.fit_zero_inflated(rows.filter(F.col("part") == "train"), fixed.NEXT_CLOSE_FEATURES)
+        e = models.predict_zero_inflated(fitted, rows.filter(F.col("part") == "test"), fixed.NEXT_CLOSE_FEATURES)
+        out = e if out is None else out.unionByName(e)
     return pn.regression_metrics(out, ["exchange"], "fwd_ret_1", "predicted_return")
 
 
@@ -292,11 +296,12 @@ def _(m):
 
 @query("ml_16_candidate_selection", "kind s, rolling_days i, skill_vs_naive f, folds i, is_best b, status s")
 def _(m):
-    panel, folds = _trained(m, 2)
+    panel, folds = _trained(m, 5)
     out = None
-    for days in (365, 730, 1095):
-        e = models.evaluate(panel, folds, "logistic", days)
-        out = e if out is None else out.unionByName(e)
+    for kind in models.KINDS:
+        for days in (365, 730, 1095):
+            e = models.evaluate(panel, folds, kind, days)
+            out = e if out is None else out.unionByName(e)
     return models.gate(models.select_candidate(out))
 
 
