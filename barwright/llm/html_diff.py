@@ -5,7 +5,8 @@ segments, the two pages' text lines are aligned by their longest common subseque
 
 A parser turns a page into lines (one for each block of text) and notes where each stands. Lines of menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, as their tags, roles and class
-names say, never become text. Lines inside an `article` element stay even where both pages have them: pages of a
+names say, never become text. A class or id is read by whole tokens, inside code not at all, and a form or a name of the
+layout does not drop an element that holds an article or main part. Lines inside an `article` element stay even where both pages have them: pages of a
 host repeat whole passages of article text, and deleting those would lose it. Differencing thus decides on lines
 that no article element holds, in pages that have none, and is reported (`n_shared`) for all.
 
@@ -45,21 +46,58 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTR = re.compile(r"([a-z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-
-
-def _junk(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
+# whole class or id tokens: a junk name alone, or with words that only say where or how the part stands
+PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+PLACES = frozenset("site main top bottom left right primary secondary global sticky fixed inner outer box block bar area section container wrapper list item items links link post entry slot unit image inline button buttons icons".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HOLDER = re.compile(r"<(?:article|main)\b|<[^>]*\brole\s*=\s*[\"']?main\b", re.I)
+
+
+def _named(value: str, names: frozenset) -> bool:
+    """Whether a class or id has a token that is one of `names`, alone or only with other such words and places."""
+    for token in value.split():
+        parts = [p.lower() for p in PARTS.findall(token)]
+        if any(p in names for p in parts) and all(p in JUNK_NAMES or p in PLACES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _junk(tag: str, attrs: str) -> str:
+    """Why an element is no text: "sure", "name" (a class, id or form, which may wrap a whole page) or empty."""
+    if tag in DROPPED and tag != "form":
+        return "sure"
+    why = "name" if tag == "form" else ""
     if not attrs or tag in ("html", "body"):
-        return False
+        return why
     found = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return "sure"
     if found.get("role", "").lower() in JUNK_ROLES:
-        return True
-    names = {p.lower() for k in ("class", "id") for p in PARTS.findall(found.get(k, ""))}
-    return bool(names & (ARTICLE_JUNK if tag in WORDS else JUNK_NAMES))
+        return "sure"
+    # ids of headings and inline elements are anchors named after what they head
+    keys = ("class",) if tag in HEADINGS or tag not in BLOCKS else ("class", "id")
+    values = [found.get(k, "") for k in keys]
+    if any(_named(v, ARTICLE_JUNK) for v in values):
+        return "sure"
+    return "name" if tag not in WORDS and any(_named(v, JUNK_NAMES) for v in values) else why
+
+
+def _holds(page: str, at: int, tag: str) -> bool:
+    """Whether the element of `tag` whose content starts at `at` holds an article or main part that is text."""
+    if not HOLDER.search(page, at):
+        return False
+    depth = 1
+    for m in TOKEN.finditer(page, at):
+        name = (m["tag"] or "").lower()
+        if not name:
+            continue
+        if name == tag:
+            depth += -1 if m["end"] else 1
+            if not depth:
+                return False
+        if not m["end"] and HOLDER.match(m[0]) and _junk(name, m["attrs"]) != "sure":
+            return True
+    return False
 
 
 def lines_of(page: str) -> tuple[list[str], str]:
@@ -125,7 +163,10 @@ def lines_of(page: str) -> tuple[list[str], str]:
         if m["attrs"].endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, zone, dropped))
-        dropped = dropped or _junk(tag, m["attrs"])
+        if not dropped:
+            why = _junk(tag, m["attrs"])
+            in_code = why and any(t in ("pre", "code") for t, _, _ in stack[:-1]) and tag not in DROPPED
+            dropped = why == "sure" and not in_code or why == "name" and not in_code and not _holds(page, at, tag)
         mark = WORDS.get(tag, MAIN if "main" in m["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) else zone)
         zone = max(zone, mark)
     text(len(page))
