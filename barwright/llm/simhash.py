@@ -207,7 +207,8 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     prints = stored(docs.select("doc_id", "text").mapInArrow(jaccard.sketches, "doc_id long, fp long, bands array<long>"), "near-sketches")
     found = groups(prints, links=jaccard.links(docs, prints))
     near = stored(prints.join(found, "fp").select("doc_id", "fp", "component_id"), "near")
-    keep = near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads")
+    keep = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), leads).filter("_leads").drop("_leads")
     kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")))
     single = kept.filter("_rows = 1").select(*names)
     # a doc_id that several rows carry: one row of each of its sets' components
