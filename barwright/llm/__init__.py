@@ -13,6 +13,9 @@ _QUERIES = {
     "simhash": "op6_simhash_near_dedup",
     "secret_scan": "op7_secret_scan",
     "mixing": "op4_mix_sources",
+    "packing": "op11_best_fit_packing",
+    "repeats": "op12_periodic_runs",
+    "turns": "op13_conversation_repair",
 }
 
 QUERIES = {}
