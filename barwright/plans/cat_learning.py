@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barwright import fixed
 from barwright.functions.rolling import KEY
 from barwright.operators import features as feat
-from barwright.operators import models, screen
+from barwright.operators import candidates, models, screen
 from barwright.operators import panel as pn
 from barwright.plans.oracle import define
 from barwright.plans.registry import query
@@ -260,19 +260,55 @@ def _(m):
 _EVAL = "fold i, kind s, n i, accuracy f, balanced_accuracy f, brier f, balanced_skill f"
 
 
-def _trained(m, n_folds):
+FORWARD = (fixed.FORWARD_FEATURES, "label", 2)
+DIRECTION = (fixed.NEXT_CLOSE_FEATURES, "direction_label", 3)
+
+
+def _forward(m, windows, kinds=candidates.KINDS):
+    """Test predictions of forward-return candidates on five folds, with their training table."""
     panel = cut_lineage(pn.forward_panel(m.bars, m.stocks))
-    return panel, pn.folds(panel, n_folds, 14)
+    table = candidates.training_table(panel, pn.folds(panel, 5, 14), windows, *FORWARD)
+    return candidates.binary_metrics(candidates.predictions(table, *FORWARD, kinds, candidates.FORWARD_BOOSTING), table)
+
+
+def _direction(m):
+    """Three-class candidates: kinds by windows on three folds."""
+    panel = cut_lineage(panel3(m))
+    table = candidates.training_table(panel, pn.folds(panel, 3, 3), candidates.WINDOWS, *DIRECTION)
+    return candidates.direction_metrics(candidates.predictions(table, *DIRECTION), table)
 
 
 @query("ml_08_candidate_kinds", _EVAL)
 def _(m):
-    panel, folds = _trained(m, 5)
-    out = None
-    for kind in models.KINDS:
-        e = models.evaluate(panel, folds, kind, 730)
-        out = e if out is None else out.unionByName(e)
-    return out
+    return _forward(m, (730,))
+
+
+_DIRECTION = "n i, accuracy f, balanced_accuracy f, macro_f1 f, macro_precision f, coverage f, high_confidence_precision f"
+
+
+@query("ml_08_direction_candidates", f"kind s, rolling_days i, fold i, {_DIRECTION}, balanced_skill f")
+def _(m):
+    return _direction(m)
+
+
+@query("ml_16_direction_selection", f"kind s, rolling_days i, folds i, {_DIRECTION}, skill_vs_naive f, recent_fold_skill f, is_best b, status s")
+def _(m):
+    return candidates.select_direction(_direction(m))
+
+
+def _next_close(m):
+    panel = cut_lineage(panel3(m))
+    return candidates.evaluate_next_close(panel, pn.folds(panel, 5, 3))
+
+
+@query("ml_09_next_close_folds", "fold i, predictor s, n i, mae f, mape f, direction_hit_rate f")
+def _(m):
+    return _next_close(m)[0]
+
+
+@query("ml_09_next_close_skill", "predictor s, n i, mae f, mape f, direction_hit_rate f, skill_vs_it f")
+def _(m):
+    return _next_close(m)[1]
 
 
 @query("ml_09_zero_inflated_return", "exchange s, n i, mae f, direction_hit_rate f")
@@ -290,19 +326,12 @@ def _(m):
 
 @query("ml_15_walk_forward_evaluation", _EVAL)
 def _(m):
-    panel, folds = _trained(m, 5)
-    return models.evaluate(panel, folds, "logistic")
+    return _forward(m, (None,), ("logistic",))
 
 
 @query("ml_16_candidate_selection", "kind s, rolling_days i, skill_vs_naive f, folds i, is_best b, status s")
 def _(m):
-    panel, folds = _trained(m, 5)
-    out = None
-    for kind in models.KINDS:
-        for days in (365, 730, 1095):
-            e = models.evaluate(panel, folds, kind, days)
-            out = e if out is None else out.unionByName(e)
-    return models.gate(models.select_candidate(out))
+    return models.gate(models.select_candidate(_forward(m, candidates.WINDOWS)))
 
 
 @query(
