@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import text_chunks, worker_store
+from barwright.llm.shared import own_columns, text_chunks, worker_store
 
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
@@ -140,6 +140,7 @@ def op8_language_id(spark, folder: str) -> DataFrame:
 LEAST_SCORE = 0.5
 
 
+@own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: documents that have no recognisable language are rejected."""
     names = docs.columns

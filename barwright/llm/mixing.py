@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import global_rank, stored
+from barwright.llm.shared import global_rank, own_columns, stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -148,6 +148,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN before
 """
 
 
+@own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: each document comes out as many times as the mix takes it, with its columns."""
     names = docs.columns

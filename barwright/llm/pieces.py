@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from barwright.llm.shared import text_slices, worker_store
+from barwright.llm.shared import own_columns, text_slices, worker_store
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -255,6 +255,7 @@ def op3_sentencepiece(spark, folder: str, path: str | None = None) -> DataFrame:
     return found.select("doc_id", "e.n_pieces", "e.score", "e.nbest_scores", "e.nbest_crc32", "e.restored")
 
 
+@own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Last pipeline stage: each document with the ids of its best segmentation, their number and score, and
     whether they decode to its text."""

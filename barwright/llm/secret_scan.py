@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.shared import own_columns
+
 # fixed values: the rules (kind, pattern, group whose length counts, least length), in the order of kinds
 RULES = [
     ("assign", r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -223,6 +225,7 @@ def op7_secret_scan(spark, folder: str) -> DataFrame:
     )
 
 
+@own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: every document stays, its secrets are replaced by a mark and n_chars follows."""
     names = docs.columns

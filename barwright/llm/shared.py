@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import sys
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,30 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def own_columns(stage: Callable) -> Callable:
+    """A pipeline stage (spark, docs, folder) that sees the columns of `documents` only; whatever else the rows hold
+    travels in one struct of an unused name and comes back under its own names. Columns that the stage adds keep
+    their names, a column of the input with such a name comes back as `given_<name>`."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+        rest = [c for c in docs.columns if c not in DOCUMENT]
+        if not rest:
+            return stage(spark, docs, folder)
+        hidden = "_rest"
+        while hidden in docs.columns:
+            hidden += "_"
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in DOCUMENT], F.struct(*[F.col(f"`{c}`") for c in rest]).alias(hidden)), folder)
+        added = [c for c in out.columns if c not in docs.columns and c != hidden or c in rest]
+        back = {c: F.col(f"{hidden}.`{c}`").alias(f"given_{c}" if c in added else c) for c in rest}
+        return out.select(*[back.get(c, F.col(c)) for c in docs.columns], *added)
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import jaccard
-from barwright.llm.shared import stored, text_slices
+from barwright.llm.shared import own_columns, stored, text_slices
 
 RADIUS = 3
 BANDS = (13, 13, 13, 13, 12)
@@ -186,10 +186,17 @@ def groups(prints: DataFrame, radius: int = RADIUS, links: DataFrame | None = No
     return stored(found.join(least, "root").select("fp", "component_id"), "groups")
 
 
+def with_groups(prints: DataFrame, found: DataFrame, ways: int = 8) -> DataFrame:
+    """prints with their component; the rows of one fingerprint are spread over `ways` tasks."""
+    rows = prints.withColumn("_way", F.pmod(F.xxhash64("doc_id"), F.lit(ways)))
+    spread = found.withColumn("_way", F.explode(F.sequence(F.lit(0), F.lit(ways - 1)).cast("array<long>")))
+    return rows.join(spread, ["fp", "_way"]).select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed 64 bit), component_id for every row of docs (doc_id, text)."""
     prints = stored(docs.select("doc_id", "text").mapInArrow(prints_of, "doc_id long, fp long"), "simhash")
-    return prints.join(groups(prints), "fp").select("doc_id", "fp", "component_id")
+    return with_groups(prints, groups(prints))
 
 
 def op6_simhash_near_dedup(spark, folder: str) -> DataFrame:
@@ -197,6 +204,7 @@ def op6_simhash_near_dedup(spark, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest doc_id stays. Documents are linked where
     their sets of five-word shingles have a Jaccard similarity of 0.8 or more (`jaccard`); `fp` names such a set.
@@ -206,7 +214,7 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     names = docs.columns
     prints = stored(docs.select("doc_id", "text").mapInArrow(jaccard.sketches, "doc_id long, fp long, bands array<long>"), "near-sketches")
     found = groups(prints, links=jaccard.links(docs, prints))
-    near = stored(prints.join(found, "fp").select("doc_id", "fp", "component_id"), "near")
+    near = stored(with_groups(prints, found), "near")
     leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads")
     keep = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), leads).filter("_leads").drop("_leads")
     kept = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")))

@@ -21,19 +21,18 @@ ignored. A text of any length is cut into sections of bounded size.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.shared import partitions, stored, text_chunks, worker_store
+from barwright.llm.shared import partitions, stored, text_chunks
+from barwright.llm.units import units
 from barwright.session import work_folder
 
 MAGIC = b"PFR1"
@@ -45,7 +44,6 @@ SECTION_IDS = 1 << 18
 FILE_CHARS = 64_000_000
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_UNITS, KEPT_WORDS = 500_000, 400_000
 BLOCK_HEAD = 6
 
 
@@ -122,66 +120,6 @@ def unpack(starts: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     return (gap + low[:, None]).astype(np.uint32).ravel()[:count]
 
 
-class Encoder:
-    """The library's ids of whole texts. Texts of common characters are cut where its own pre-tokenizer always cuts
-    (before a single space), and the ids of the cut-out units are kept, so each unit is encoded by the library once."""
-
-    def __init__(self, path: str):
-        import os
-
-        import regex
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.other = re.compile("[^\n\x20-\x7e\xa1-ɏ]").search
-        self.pairs = ["  ", " \n", "\n ", *added]  # two white spaces side by side are cut by other rules
-        self.words = regex.compile(public_tokenizers.PATTERN).findall
-        self.units: dict[str, bytes] = {}
-        self.kept_words: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [array("I", e.ids).tobytes() for e in encode(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers in the machine's byte order."""
-        common = [not any(p in t for p in self.pairs) and not self.other(t) for t in texts]
-        whole = iter(self._plain([t for t, c in zip(texts, common) if not c]))
-        # a text's first unit has no space before it; units are kept with theirs
-        cut = [t.split(" ") for t, c in zip(texts, common) if c]
-        heads = [self.words(c.pop(0)) for c in cut]
-        kept = self.units.get
-        found = [list(map(kept, c)) for c in cut]
-        gaps = [[i for i, x in enumerate(f) if x is None] if None in f else () for f in found]
-        new = list({c[i] for c, g in zip(cut, gaps) for i in g})
-        split = [self.words(" " + u) for u in new]
-        unknown = list({w for s in (*split, *heads) for w in s if w not in self.kept_words})
-        self.kept_words.update(zip(unknown, self._plain(unknown)))
-        word = self.kept_words.__getitem__
-        self.units.update(zip(new, [b"".join(map(word, s)) for s in split]))
-        out = []
-        for c, f, g, h in zip(cut, found, gaps, heads):
-            for i in g:
-                f[i] = self.units[c[i]]
-            out.append(b"".join([*map(word, h), *f]))
-        # what came first is what comes often: the later part goes
-        if len(self.units) > KEPT_UNITS:
-            self.units = dict(islice(self.units.items(), KEPT_UNITS // 2))
-        if len(self.kept_words) > KEPT_WORDS:
-            self.kept_words = dict(islice(self.kept_words.items(), KEPT_WORDS // 2))
-        found_of = iter(out)
-        return [next(found_of) if c else next(whole) for c in common]
-
-
-def encoder(path: str) -> Encoder:
-    store = worker_store("tokens")
-    if path not in store:
-        store[path] = Encoder(path)
-    return store[path]
-
-
 def section(file: int, number: int, docs: list[tuple[int, int, int]], ids: np.ndarray) -> bytes:
     starts, blocks = pack(ids)
     rows = np.array(docs, DOC).tobytes()
@@ -196,19 +134,20 @@ def sections(path: str, end_id: int = END_ID, most: int = SECTION_IDS):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        file, number, enc = TaskContext.get().partitionId(), 0, encoder(path)
+        file, number, enc = TaskContext.get().partitionId(), 0, units(path, spaced=True)
         docs: list[tuple[int, int, int]] = []
         held: list[np.ndarray] = []
         room = most
-        end = array("I", [end_id]).tobytes()
+        end = np.uint32(end_id)
         for batch in batches:
             ids_of = iter(batch["doc_id"])
-            for chunk in text_chunks(batch["text"], 500_000):
-                ready = []
-                for data in enc.encode(chunk):
+            for chunk in text_chunks(batch["text"], 4_000_000):
+                ready, at = [], 0
+                flat, counts = enc.encode(pa.array(chunk, pa.string()))
+                for n in counts.tolist():
                     doc_id = next(ids_of)
                     none = doc_id is None or doc_id is pd.NA
-                    ids, flag = np.frombuffer(data + end, np.uint32), int(none)
+                    ids, flag, at = np.append(flat[at : at + n], end), int(none), at + n
                     while len(ids):
                         part = ids[:room]
                         docs.append((0 if none else int(doc_id), flag, len(part)))
