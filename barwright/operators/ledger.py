@@ -2,8 +2,8 @@
 
 A position's rows are walked in ledger order (date, time of entry, id), whatever their number, in exact integers:
 quantities in units of 0.0001, money in units of 1e-10, the cost a sale removes rounded half up to such a unit.
-Whether a sale is covered depends on every row before it, so a position is walked by one task; it streams through
-in sorted order with a state of a few numbers, and the sort may spill.
+A position streams through one task in sorted order with a state of a few numbers; positions of more than
+`ledger_ranges.RANGE` rows are spread over tasks by ranges of rows instead (`ledger_ranges`), with equal results.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from barwright import fixed
 from barwright.functions.rolling import KEY
+from barwright.operators import ledger_ranges
 
 POSITION = ["portfolio_id", *KEY]
 ORDER = ["txn_date", "created_at", "txn_id"]
@@ -75,13 +76,26 @@ class _Position:
         )
 
 
-def _ordered_rows(ledger: DataFrame) -> DataFrame:
-    """Rows of a position together and in ledger order, amounts in whole units."""
+def _rows(ledger: DataFrame) -> DataFrame:
+    """Ledger rows with amounts in whole units."""
     units = lambda c: F.coalesce((F.col(c) * QUANTITY_UNITS).cast("long"), F.lit(0).cast("long"))
-    rows = ledger.select(*POSITION, *ORDER, "side", units("quantity").alias("_q"), units("price").alias("_p"), units("fees").alias("_f"))
+    return ledger.select(*POSITION, *ORDER, "side", units("quantity").alias("_q"), units("price").alias("_p"), units("fees").alias("_f"))
+
+
+def _ordered(rows: DataFrame) -> DataFrame:
+    """Rows of a position together and in ledger order."""
     return rows.repartition(*POSITION).sortWithinPartitions(*POSITION, *ORDER).select(*WALKED)
 
 
+def _split(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows to walk, and stored ranges of the positions with more than `size` rows (None where there are none)."""
+    whole = (F.count(F.lit(1)) > size) & (F.min("_q") >= 0)
+    many = rows.groupBy(*POSITION).agg(whole.alias("_many")).filter("_many").drop("_many")
+    if many.isEmpty():
+        return rows, None
+    return rows.join(many, POSITION, "left_anti"), ledger_ranges.ranged(rows.join(many, POSITION, "left_semi"), ORDER, size)
+
+
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
     """Per batch (key, position, id, quantity before, accepted) in order; state spans batches."""
     key = position = None
@@ -114,20 +128,31 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame([open_one])
 
 
-def holdings(ledger: DataFrame, as_of: Column | None = None) -> DataFrame:
+def holdings(ledger: DataFrame, as_of: Column | None = None, range_rows: int = ledger_ranges.RANGE) -> DataFrame:
     """End state of every position as of a date, today by default (closed positions included)."""
     until = F.current_date() if as_of is None else as_of
-    return _ordered_rows(ledger.filter(F.col("txn_date") <= until)).mapInPandas(_fold, HELD_SCHEMA)
-
-
-def replay_rows(ledger: DataFrame) -> DataFrame:
+    few, many = _split(_rows(ledger.filter(F.col("txn_date") <= until)), range_rows)
+    walked = _ordered(few).mapInPandas(_fold, HELD_SCHEMA)
+    if many is None:
+        return walked
+    ends = ledger_ranges.end_states(many, ledger_ranges.starting_quantities(many))
+    of = {"quantity": "held", "purchase_cost": "cost", "fees_in_basis": "fees", "realized_pl": "realized", "total_fees_paid": "paid", "lifetime_buy_quantity": "bought"}
+    money = [F.col(c).cast(MONEY).alias(name) for name, c in of.items()]
+    counts = [F.col(c).cast("long").alias(n) for n, c in (("transactions_considered", "rows"), ("skipped_sells", "skipped"), ("last_skipped_txn", "last_skipped"))]
+    return walked.unionByName(ends.select(*POSITION, *money, *counts))
+
+
+def replay_rows(ledger: DataFrame, range_rows: int = ledger_ranges.RANGE) -> DataFrame:
     """Accepted flag and quantity held before each transaction."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for seen in _walk(batches):
             yield pd.DataFrame([(*k, txn_id, before, ok) for k, _, txn_id, before, ok in seen], columns=[*POSITION, "txn_id", "before", "accepted"])
 
-    found = _ordered_rows(ledger).mapInPandas(rows, "portfolio_id long, exchange string, symbol string, txn_id long, before long, accepted boolean")
+    few, many = _split(_rows(ledger), range_rows)
+    found = _ordered(few).mapInPandas(rows, "portfolio_id long, exchange string, symbol string, txn_id long, before long, accepted boolean")
+    if many is not None:
+        found = found.unionByName(ledger_ranges.replayed(many, ledger_ranges.starting_quantities(many)))
     held = (F.col("before").cast("decimal(20,0)") * F.lit(Decimal("0.0001"))).cast(MONEY)
     return found.select(*POSITION, "txn_id", held.alias("held_before"), "accepted")
 

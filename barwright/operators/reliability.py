@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -164,25 +165,34 @@ def economic(rows: DataFrame, groups: list[str], multipliers: tuple[float, ...]
     )
 
 
+PRIME = 2**31 - 1  # draws are whole numbers below it
+#: a draw of at least the k-th value counts the row k + 1 times: the Poisson distribution of mean 1
+POISSON_STEPS = [int(x * PRIME) for x in np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])]
+
+
+def round_factors(rounds: int) -> np.ndarray:
+    """Three numbers of seven hex digits for each round, from its checksum."""
+    digests = [hashlib.md5(f"round {b}".encode()).hexdigest() for b in range(rounds)]
+    return np.array([[int(d[k : k + 7], 16) for k in (0, 7, 14)] for d in digests], np.int64).reshape(-1, 3).T
+
+
 def bootstrap_interval(rows: DataFrame, groups: list[str], value: str, key: list[str], rounds: int = 1000, alpha: float = 0.05) -> DataFrame:
     """Percentile interval of the mean under Poisson resampling.
 
-    Each row draws a count for each round from a hash of its own key, so the result does not depend on
-    partitioning. A task adds its rows up to two numbers for each group and round; only those are shuffled.
+    Each row draws a count for each round from the checksum of its own key and that of the round, in whole numbers, so
+    the result does not depend on partitioning and any engine can repeat it. A task adds its rows up to two numbers
+    for each group and round; only those are shuffled.
     """
-    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    one, two, three = round_factors(rounds)
     names = [f"_g{i}" for i in range(len(groups))]
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt = np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for at in range(0, len(batch), 500):
                 part = batch.iloc[at : at + 500]
-                h = part["_h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ salt
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                weight = np.searchsorted(steps, (h >> np.uint64(11)).astype(float) / 2.0**53, side="right")
+                draw = (part["_h1"].to_numpy(np.int64)[:, None] * one + part["_h2"].to_numpy(np.int64)[:, None] * two + three) % PRIME
+                weight = np.searchsorted(POISSON_STEPS, draw, side="right")
                 for group, rows_ in part.reset_index(drop=True).groupby(names, dropna=False).indices.items():
                     group = group if isinstance(group, tuple) else (group,)
                     w = weight[rows_]
@@ -192,7 +202,8 @@ def bootstrap_interval(rows: DataFrame, groups: list[str], value: str, key: list
             labels = {n: np.full(rounds, g if isinstance(g, str) else None, object) for n, g in zip(names, group)}
             yield pd.DataFrame({**labels, "b": np.arange(rounds), "v": v, "w": w})
 
-    picked = rows.filter(F.col(value).isNotNull()).select(*[F.col(g).cast("string").alias(n) for g, n in zip(groups, names)], F.col(value).cast("double").alias("_v"), F.xxhash64(*key).alias("_h"))
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    picked = rows.filter(F.col(value).isNotNull()).select(*[F.col(g).cast("string").alias(n) for g, n in zip(groups, names)], F.col(value).cast("double").alias("_v"), *[F.conv(F.substring(digest, at, 7), 16, 10).cast("long").alias(n) for at, n in ((1, "_h1"), (8, "_h2"))])
     sums = picked.mapInPandas(reduce, ", ".join(f"{n} string" for n in names) + ", b int, v double, w double")
     means = sums.groupBy(*names, "b").agg(F.try_divide(F.sum("v"), F.sum("w")).alias("m"))
     q = F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))

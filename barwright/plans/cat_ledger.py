@@ -207,16 +207,27 @@ FROM led_walk QUALIFY row_number() OVER (PARTITION BY portfolio_id, exchange, sy
 )
 
 
-@query(
-    "pf_01_average_cost_replay",
+_HELD_COLUMNS = (
     f"{P}, quantity f, purchase_cost f, fees_in_basis f, realized_pl f, total_fees_paid f, lifetime_buy_quantity f, transactions_considered i, skipped_sells i, last_skipped_txn i, "
-    "cost_units s, fee_units s, realized_units s",
-    "SELECT *, qty AS quantity, cost AS purchase_cost, bfees AS fees_in_basis, realized AS realized_pl, paid AS total_fees_paid, bought AS lifetime_buy_quantity, rn AS transactions_considered, skipped AS skipped_sells, last_skipped AS last_skipped_txn FROM held",
-    "held",
+    "cost_units s, fee_units s, realized_units s"
 )
-def _(m):
+_HELD_SQL = "SELECT *, qty AS quantity, cost AS purchase_cost, bfees AS fees_in_basis, realized AS realized_pl, paid AS total_fees_paid, bought AS lifetime_buy_quantity, rn AS transactions_considered, skipped AS skipped_sells, last_skipped AS last_skipped_txn FROM held"
+
+
+def _in_units(held):
     units = lambda c: (F.col(c) * 10_000_000_000).cast("decimal(38,0)").cast("string")  # noqa: E731  exact to the last digit
-    return ledger.holdings(m.ledger).withColumns({"cost_units": units("purchase_cost"), "fee_units": units("fees_in_basis"), "realized_units": units("realized_pl")})
+    return held.withColumns({"cost_units": units("purchase_cost"), "fee_units": units("fees_in_basis"), "realized_units": units("realized_pl")})
+
+
+@query("pf_01_average_cost_replay", _HELD_COLUMNS, _HELD_SQL, "held")
+def _(m):
+    return _in_units(ledger.holdings(m.ledger))
+
+
+@query("pf_01_replay_by_ranges", _HELD_COLUMNS, _HELD_SQL, "held")
+def _(m):
+    """Every position of more than forty rows the way very long ones go: by ranges of rows."""
+    return _in_units(ledger.holdings(m.ledger, range_rows=40))
 
 
 # quotes as of the end of the data, one minute after each security's last update

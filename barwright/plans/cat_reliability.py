@@ -168,7 +168,21 @@ def _(m):
     return rel.economic(predictions(m), ["exchange"])
 
 
-@query("rl_07_bootstrap_interval", "exchange s, low f, high f, rounds i")
+_SEVEN = "CAST('0x' || substr(md5({0}), {1}, 7) AS BIGINT)"
+_WEIGHT = " + ".join(f"(u >= {t})::INT" for t in rel.POISSON_STEPS)
+
+
+@query(
+    "rl_07_bootstrap_interval", "exchange s, low f, high f, rounds i",
+    f"""
+SELECT exchange, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high, count(*) AS rounds FROM (
+  SELECT exchange, b, sum(v * w) / sum(w) AS mean FROM (SELECT exchange, b, v, {_WEIGHT} AS w FROM (
+    SELECT exchange, b, v, (h1 * f1 + h2 * f2 + f3) % {rel.PRIME} AS u
+    FROM (SELECT exchange, CASE WHEN predicted_class = outcome_class THEN 1 ELSE 0 END AS v, {_SEVEN.format("exchange || '|' || symbol || '|' || CAST(data_cutoff AS VARCHAR)", 1)} AS h1,
+      {_SEVEN.format("exchange || '|' || symbol || '|' || CAST(data_cutoff AS VARCHAR)", 8)} AS h2 FROM rl),
+    (SELECT range AS b, {_SEVEN.format("'round ' || range", 1)} AS f1, {_SEVEN.format("'round ' || range", 8)} AS f2, {_SEVEN.format("'round ' || range", 15)} AS f3 FROM range(1000)))) GROUP BY exchange, b) GROUP BY exchange""",
+    "rl",
+)
 def _(m):
     rows = predictions(m).withColumn("correct", F.when(F.col("predicted_class") == F.col("outcome_class"), 1.0).otherwise(0.0))
     return rel.bootstrap_interval(rows, ["exchange"], "correct", [*KEY, "data_cutoff"])
