@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,29 +83,37 @@ def _junk(tag: str, attrs: str) -> str:
     return "name" if tag not in WORDS and any(_named(v, JUNK_NAMES) for v in values) else why
 
 
-def _holds(page: str, at: int, tag: str) -> bool:
-    """Whether the element of `tag` whose content starts at `at` holds an article or main part that is text."""
-    if not HOLDER.search(page, at):
-        return False
-    depth = 1
-    for m in TOKEN.finditer(page, at):
-        name = (m["tag"] or "").lower()
-        if not name:
-            continue
-        if name == tag:
-            depth += -1 if m["end"] else 1
-            if not depth:
-                return False
-        if not m["end"] and HOLDER.match(m[0]) and _junk(name, m["attrs"]) != "sure":
-            return True
-    return False
+class _Holders:
+    """Which elements of a page hold an article or main part that is text, found in one pass over its tags."""
+
+    def __init__(self, page: str):
+        self.starts: list[int] = []  # where such parts start
+        self.ends: dict[int, int] = {}  # where the element whose content starts at a place ends
+        if not HOLDER.search(page):
+            return
+        open_ones: dict[str, list[int]] = {}
+        for m in TOKEN.finditer(page):
+            name = (m["tag"] or "").lower()
+            if not name:
+                continue
+            if not m["end"]:
+                open_ones.setdefault(name, []).append(m.end())
+                if HOLDER.match(m[0]) and _junk(name, m["attrs"]) != "sure":
+                    self.starts.append(m.start())
+            elif open_ones.get(name):
+                self.ends[open_ones[name].pop()] = m.start()
+
+    def inside(self, at: int) -> bool:
+        """Whether the element whose content starts at `at` holds one; an element without an end reaches to the last."""
+        k = bisect_left(self.starts, at)
+        return k < len(self.starts) and self.starts[k] < self.ends.get(at, self.starts[k] + 1)
 
 
 def lines_of(page: str) -> tuple[list[str], str]:
     """Text lines of a page and, as one digit each, where they stand: in an article, a main part or elsewhere."""
     lines, zones, held = [], [], []
     stack: list[tuple[str, str, bool]] = []  # tag, zone, dropped
-    zone, dropped, at = PLAIN, False, 0
+    zone, dropped, at, holders = PLAIN, False, 0, None
 
     def flush() -> None:
         if held:
@@ -166,7 +175,9 @@ def lines_of(page: str) -> tuple[list[str], str]:
         if not dropped:
             why = _junk(tag, m["attrs"])
             in_code = why and any(t in ("pre", "code") for t, _, _ in stack[:-1]) and tag not in DROPPED
-            dropped = why == "sure" and not in_code or why == "name" and not in_code and not _holds(page, at, tag)
+            if why == "name" and not in_code and holders is None:
+                holders = _Holders(page)
+            dropped = why == "sure" and not in_code or why == "name" and not in_code and not holders.inside(at)
         mark = WORDS.get(tag, MAIN if "main" in m["attrs"] and re.search(r"role\s*=\s*[\"']?main\b", m["attrs"]) else zone)
         zone = max(zone, mark)
     text(len(page))
