@@ -43,6 +43,31 @@ LEAST_RATIO = 0.5  # mean log-likelihood ratio of a character, in nats; used whe
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
+PART = 128
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _with_carry(items: Column, measure, total) -> Column:
+    """Parts of `PART` items, each with what the measures of all parts before it come to: array of (part, carry).
+
+    Appending inside a part only, work grows with the items times `PART`, not with their square."""
+
+    def cut(all_items: Column) -> Column:
+        number = F.ceil(F.size(all_items) / F.lit(float(PART))).cast("int")
+        starts = F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda b: F.slice(all_items, b * PART + 1, PART))
+
+    def carried(parts: Column) -> Column:
+        sums = F.transform(parts, measure)
+        return _let(sums, lambda m: F.transform(parts, lambda part, b: F.struct(part.alias("part"), total(F.slice(m, F.lit(1), b)).alias("carry"))))
+
+    return _let(_let(items, cut), carried)
+
+
 def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int, keep: Column | None = None) -> Column:
     """All matches as spans in code points: the pieces between matches and the matches themselves add up to offsets."""
     gaps = F.transform(F.split(text, pattern, -1), F.length)
@@ -50,7 +75,6 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
     lengths = F.transform(value, F.length) if group else whole
     zipped = F.arrays_zip(F.slice(gaps, 1, F.greatest(F.size(whole), F.lit(1))).alias("gap"), whole.alias("whole"), lengths.alias("counted"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
     def step(acc: Column, m: Column) -> Column:
         begin = (acc["at"] + m["gap"]).cast("int")
@@ -58,7 +82,13 @@ def _spans(text: Column, kind: str, rank: int, pattern: str, group: int, least:
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
         return F.struct(end.alias("at"), F.when(m["counted"] >= least, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(zipped, start, step, lambda acc: acc["found"])
+    length = lambda part: F.aggregate(part, F.lit(0), lambda acc, m: (acc + m["gap"] + m["whole"]).cast("int"))
+
+    def spans_of(z: Column) -> Column:
+        start = F.struct(z["carry"].cast("int").alias("at"), F.array().cast(SPAN).alias("found"))
+        return F.aggregate(z["part"], start, step, lambda acc: acc["found"])
+
+    found = F.flatten(F.transform(_with_carry(zipped, length, lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)), spans_of))
     return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), found).otherwise(F.array().cast(SPAN))
 
 
@@ -204,13 +234,22 @@ def written(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with every span replaced by `mark`; overlapping spans are replaced as one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["done"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["done"]).otherwise(fresh).alias("done"))
+        # positions inside the part's own stretch of text, which begins at `from`
+        fresh = F.concat(acc["done"], F.substr(acc["text"], acc["at"] - acc["from"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit(mark))
+        done = F.when(s["start"] < acc["at"], acc["done"]).otherwise(fresh)
+        return F.struct(acc["from"].alias("from"), acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"), done.alias("done"))
+
+    last = lambda part: F.array_max(F.transform(part, lambda s: s["end"]))
+
+    def piece(z: Column) -> Column:
+        stretch = F.substr(text, z["carry"] + 1, F.greatest(last(z["part"]) - z["carry"], F.lit(0)))
+        start = F.struct(z["carry"].alias("from"), stretch.alias("text"), z["carry"].alias("at"), F.lit("").alias("done"))
+        return F.aggregate(z["part"], start, step, lambda acc: acc["done"])
 
-    body = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substr(text, acc["at"] + 1)))
+    parts = _with_carry(spans, last, lambda a: F.coalesce(F.array_max(a), F.lit(0)))
+    body = F.concat(F.array_join(F.transform(parts, piece), ""), F.substr(text, last(spans) + 1))
     return F.when(F.size(spans) > 0, body).otherwise(text)
 
 
