@@ -7,6 +7,7 @@ from barwright.functions.expr import schema_hash
 from barwright.functions.rolling import KEY, ahead, change, history
 from barwright.operators import reliability as rel
 from barwright.operators import scoring
+from barwright.operators.features import feature_frame
 from barwright.operators.indicators import snapshot
 from barwright.plans.cat_forecast import forecasts
 from barwright.plans.oracle import W, define
@@ -413,6 +414,43 @@ def _(m):
     return m.stocks.select("exchange").distinct().select("exchange", F.array_join(c["missing"], ",").alias("missing"), F.array_join(c["added"], ",").alias("added"), c["changed"].alias("changed"))
 
 
+# which features a security's first and newest rows hold: the schema a model trained then, or now, would have
+_FEATURES = sorted(set(fixed.NEXT_CLOSE_FEATURES) | set(fixed.FORWARD_FEATURES))
+define(
+    "schemas", "feat",
+    "SELECT exchange, symbol, arg_min(names, date) AS trained, arg_max(names, date) AS current FROM (SELECT exchange, symbol, date, list_filter(["
+    + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN '{c}' END" for c in _FEATURES)
+    + "], lambda x: x IS NOT NULL) AS names FROM feat) GROUP BY exchange, symbol",
+)
+
+
+def _schemas(m):
+    names = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in _FEATURES]))
+    rows = feature_frame(m.bars, m.stocks).select(*KEY, "date", names.alias("names"))
+    return rows.groupBy(*KEY).agg(F.min_by("names", "date").alias("trained"), F.max_by("names", "date").alias("current"))
+
+
+@query(
+    "set_02_available_features_change", "exchange s, symbol s, missing s, added s, changed b",
+    """
+SELECT *, missing <> '' OR added <> '' AS changed FROM (SELECT exchange, symbol, array_to_string(list_sort(list_filter(trained, lambda x: NOT list_contains(current, x))), ',') AS missing,
+  array_to_string(list_sort(list_filter(current, lambda x: NOT list_contains(trained, x))), ',') AS added FROM schemas)""",
+    "schemas",
+)
+def _(m):
+    c = rel.schema_change(F.col("trained"), F.col("current"))
+    return _schemas(m).select(*KEY, F.array_join(c["missing"], ",").alias("missing"), F.array_join(c["added"], ",").alias("added"), c["changed"].alias("changed"))
+
+
+@query(
+    "fn_06_available_features_hash", "exchange s, symbol s, trained_hash s, current_hash s",
+    "SELECT exchange, symbol, substring(sha256(array_to_string(list_sort(trained), ',')), 1, 16) AS trained_hash, substring(sha256(array_to_string(list_sort(current), ',')), 1, 16) AS current_hash FROM schemas",
+    "schemas",
+)
+def _(m):
+    return _schemas(m).select(*KEY, schema_hash(F.col("trained")).alias("trained_hash"), schema_hash(F.col("current")).alias("current_hash"))
+
+
 @query(
     "fn_01_strings", "company_name s, found b, masked s, cleaned s",
     "SELECT company_name, company_name ILIKE '%#0000000%' AS found, company_name[1:3] || repeat('*', CAST(length(company_name) - 6 AS BIGINT)) || company_name[-3:] AS masked, upper(trim(regexp_replace('  ' || company_name || '   x ', '\\s+', ' ', 'g'))) AS cleaned FROM stocks",
