@@ -42,6 +42,36 @@ def capture(served: DataFrame, features: list[str], persistence: DataFrame, exis
     return append_new(existing, df, UNIQUE)
 
 
+def daily_versions(states: DataFrame, groups: list[str], date: str, order: list[str], through: Column, day: str = "data_cutoff") -> DataFrame:
+    """Each group's newest state (by date, then `order`) for every day up to `through`: an equality join stands in for
+    the as-of join, and the table is bounded by groups times the calendar."""
+    newest = states.groupBy(*groups, date).agg(F.max(F.struct(*order, *[c for c in states.columns if c not in (*groups, date, *order)])).alias("_s")).select(*groups, date, "_s.*")
+    following = F.lead(date).over(Window.partitionBy(*[F.col(c) for c in groups] or [F.lit(0)]).orderBy(date))
+    until = F.coalesce(F.date_sub(following, 1), through)
+    return newest.withColumn("_until", until).filter(F.col("_until") >= F.col(date)).withColumn(day, F.explode(F.sequence(F.col(date), F.col("_until")))).drop("_until", date)
+
+
+def capture_forward(analyses: DataFrame, versions: DataFrame, majority: DataFrame, sessions: DataFrame, features: list[str], existing: DataFrame) -> DataFrame:
+    """Forward-return predictions on record: of every analysis with a model probability, under the version active then.
+
+    analyses: KEY, data_cutoff, reference_close, score, ml_probability; versions: exchange, version, data_cutoff (of
+    active models); majority: fold, train_end, naive_class; sessions: data_cutoff, target_date ten sessions on.
+    Analyses of exchanges without a version, or without a close, are left out; a second run adds nothing.
+    """
+    last = analyses.select(F.max("data_cutoff")).scalar()
+    active = daily_versions(versions.withColumnRenamed("data_cutoff", "trained_through"), ["exchange"], "trained_through", ["version"], last)
+    naive = daily_versions(majority, [], "train_end", ["fold"], last).drop("fold")
+    p = F.col("ml_probability")
+    rows = analyses.filter(p.isNotNull() & F.col("reference_close").isNotNull()).join(active, ["exchange", "data_cutoff"])
+    rows = rows.join(naive, "data_cutoff", "left").join(sessions, "data_cutoff", "left").withColumns(
+        {
+            "family": F.lit("forward_return"), "horizon": F.lit(10), "predicted_class": p > 0.5, "probability": p, "rule_baseline_class": F.col("score") > 0,
+            "confidence": F.abs(p - 0.5) * 2.0, "schema_hash": schema_hash(F.array(*map(F.lit, features))), "settlement_status": F.lit("PENDING"),
+        }
+    )
+    return append_new(existing, rows.withColumn("confidence_label", confidence_label(F.col("confidence"))), UNIQUE)
+
+
 def persistence_returns(bars: DataFrame, as_of: Column) -> DataFrame:
     """Last one-session return as of a day, from the two newest bars."""
     from barwright.functions.rolling import history

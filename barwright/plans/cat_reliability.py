@@ -72,6 +72,41 @@ def _(m):
     return _captured(m)
 
 
+_HASH_FORWARD = "substring(sha256('" + ",".join(sorted(fixed.FORWARD_FEATURES)) + "'), 1, 16)"
+
+
+@query(
+    "rl_01_forward_return_capture",
+    "exchange s, symbol s, version i, data_cutoff d, target_date d, reference_close f, probability f, predicted_class b, rule_baseline_class b, naive_class b, confidence f, confidence_label s, schema_hash s",
+    f"""
+SELECT *, CASE WHEN confidence >= 0.8 THEN 'Very high' WHEN confidence >= 0.6 THEN 'High' WHEN confidence >= 0.4 THEN 'Moderate' WHEN confidence >= 0.2 THEN 'Low' ELSE 'Very low' END AS confidence_label, {_HASH_FORWARD} AS schema_hash
+FROM (SELECT s.*, c.target_date, n.naive_class, v.version, s.probability > 0.5 AS predicted_class, s.rule_score > 0 AS rule_baseline_class, abs(s.probability - 0.5) * 2 AS confidence
+  FROM (SELECT exchange, symbol, as_of AS data_cutoff, close AS reference_close, 1 / (1 + exp(-40 * return_5d)) AS probability, score AS rule_score FROM analysis WHERE return_5d IS NOT NULL AND NOT symbol LIKE '%7') s
+  ASOF JOIN (SELECT scope, data_cutoff, max(version) AS version FROM registry WHERE skill > 0 GROUP BY ALL) v ON v.scope = s.exchange AND v.data_cutoff <= s.data_cutoff
+  ASOF LEFT JOIN (SELECT train_end, avg(label) > 0.5 AS naive_class FROM light JOIN folds ON date <= train_end GROUP BY train_end) n ON n.train_end <= s.data_cutoff
+  LEFT JOIN (SELECT c.date, t.date AS target_date FROM cal c JOIN cal t ON t.is_session AND t.session_no = c.session_no + 10) c ON c.date = s.data_cutoff)""",
+    "analysis registry light folds cal",
+)
+def _(m):
+    """Every security's newest analysis; securities whose code ends in 7 are on record already."""
+    from barwright.operators import calendar as cal
+    from barwright.operators import panel as pn
+    from barwright.plans.cat_learning import light, registry
+    from barwright.plans.cat_ledger import market_calendar
+    from barwright.plans.cat_signals import snapshot_probability
+
+    closes = m.bars.groupBy(*KEY).agg(F.max_by("close", "date").alias("reference_close"))
+    analyses = scoring.analysis(m.bars, m.stocks).select(*KEY, F.col("as_of").alias("data_cutoff"), "score").join(closes, KEY).join(snapshot_probability(m), KEY)
+    versions = registry(m).filter(F.col("skill") > 0).select(F.col("scope").alias("exchange"), "version", "data_cutoff")
+    rows = light(m)
+    parts = pn.split(rows, pn.folds(rows, 5, 14)).filter("part = 'train'")
+    majority = parts.groupBy("fold", "train_end").agg((F.avg("label") > 0.5).alias("naive_class"))
+    sessions = cal.nth_session(market_calendar(m), 10).withColumnRenamed("date", "data_cutoff")
+    none = m.spark.createDataFrame([], "family string, version long, exchange string, symbol string, data_cutoff date, horizon int")
+    first = rel.capture_forward(analyses, versions, majority, sessions, fixed.FORWARD_FEATURES, none)
+    return rel.capture_forward(analyses, versions, majority, sessions, fixed.FORWARD_FEATURES, first.filter(F.col("symbol").endswith("7")))
+
+
 define(
     "pendings", "bars",
     f"SELECT exchange, symbol, date AS data_cutoff, date + 7 AS target_date, CASE WHEN day(date) = 1 THEN 0 ELSE close END AS reference_close FROM bars",
