@@ -370,6 +370,18 @@ def assess(settled: DataFrame, groups: list[str]) -> DataFrame:
     return df.withColumn("recommendations", F.array_join(rec, ","))
 
 
+def assess_scopes(settled: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Assessment of both families at once, by family, exchange, horizon, schema and window.
+
+    settled: family, horizon and the settled rows of any number of families; schemas: exchange, since, schema_hash. Each
+    prediction belongs to the schema that was valid on the day it was made; days before the first have none.
+    """
+    last = settled.select(F.max("data_cutoff")).scalar()
+    daily = daily_versions(schemas, ["exchange"], "since", ["schema_hash"], last)
+    rows = settled.join(daily, ["exchange", "data_cutoff"], "left").withColumn("schema_hash", F.coalesce("schema_hash", F.lit("unknown")))
+    return assess(rows, ["family", "exchange", "horizon", "schema_hash"])
+
+
 def exchange_divergence(assessed: DataFrame) -> DataFrame:
     """Windows whose two exchanges differ by more than 0.15 in skill."""
     pick = lambda e: F.max(F.when(F.col("exchange") == e, F.col("skill_vs_naive")))

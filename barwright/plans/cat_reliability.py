@@ -308,6 +308,52 @@ def _(m):
     return rel.assess(predictions(m), ["exchange"])
 
 
+# both families: the next close from one session's return, ten sessions ahead from five; the schema of an exchange is that
+# of its newest model with positive skill: even versions hold the forward features, odd ones the next-close features
+define(
+    "rls", "rl bars registry",
+    f"""
+SELECT s.*, coalesce(v.schema_hash, 'unknown') AS schema_hash FROM (
+  SELECT 'next_close' AS family, 1 AS horizon, exchange, symbol, data_cutoff, p, a, r5 > 0 AS rule_class FROM rl
+  UNION ALL SELECT 'forward_return', 10, exchange, symbol, date, p5, a10, p1 > 0 FROM (
+    SELECT exchange, symbol, date, close / lag(close, 5) OVER {W} - 1 AS p5, lead(close, 10) OVER {W} / close - 1 AS a10, close / lag(close) OVER {W} - 1 AS p1 FROM bars) WHERE p5 IS NOT NULL AND a10 IS NOT NULL) s
+ASOF LEFT JOIN (SELECT scope, data_cutoff, CASE WHEN max(version) % 2 = 0 THEN {_HASH_FORWARD} ELSE {_HASH_NC} END AS schema_hash FROM registry WHERE skill > 0 GROUP BY ALL) v
+  ON v.scope = s.exchange AND v.data_cutoff <= s.data_cutoff""",
+)
+define(
+    "rlsw", "rls",
+    """
+SELECT *, p > 0 AS predicted_class, 1 / (1 + exp(-40 * p)) AS probability, a > 0 AS outcome_class, true AS naive_class
+FROM (SELECT *, row_number() OVER (PARTITION BY family, exchange, horizon, schema_hash ORDER BY data_cutoff DESC, exchange, symbol) AS place FROM rls), (SELECT unnest([30, 90, 180, 365]) AS window_size) WHERE place <= window_size""",
+)
+_SCOPE = ["family", "exchange", "horizon", "schema_hash", "window_size"]
+
+
+@query(
+    "rl_13_assessment_scopes",
+    "family s, exchange s, horizon i, schema_hash s, window_size i, n i, accuracy f, balanced_accuracy f, roc_auc f, log_loss f, calibration_error f, skill_vs_naive f, psi f, ks f, reference_hit_rate f, current_hit_rate f, period_start d, period_end d",
+    f"""
+SELECT * FROM ({_metrics_sql('rlsw', _SCOPE)}) JOIN (SELECT * EXCLUDE (n) FROM ({_drift_sql('rlsw', _SCOPE)})) USING ({', '.join(_SCOPE)})
+JOIN (SELECT {', '.join(_SCOPE)}, min(data_cutoff) AS period_start, max(data_cutoff) AS period_end FROM rlsw GROUP BY ALL) USING ({', '.join(_SCOPE)})""",
+    "rlsw",
+)
+def _(m):
+    from barwright.plans.cat_learning import registry
+
+    w, c = history(), F.col("close")
+    shared = [*KEY, "data_cutoff", "predicted_return", "outcome_return", "rule_class"]
+    near = predictions(m).select(F.lit("next_close").alias("family"), F.lit(1).alias("horizon"), *shared)
+    far = m.bars.select(
+        F.lit("forward_return").alias("family"), F.lit(10).alias("horizon"), *KEY, F.col("date").alias("data_cutoff"), change(c, w, 5).alias("predicted_return"),
+        ahead(c, w, 10).alias("outcome_return"), (change(c, w) > 0).alias("rule_class"),
+    ).filter(F.col("predicted_return").isNotNull() & F.col("outcome_return").isNotNull())
+    p = F.col("predicted_return")
+    rows = near.unionByName(far).withColumns({"predicted_class": p > 0, "probability": F.lit(1.0) / (F.lit(1.0) + F.exp(p * -40.0)), "outcome_class": F.col("outcome_return") > 0, "naive_class": F.lit(True)})
+    hashed = F.when(F.col("version") % 2 == 0, schema_hash(F.array(*map(F.lit, fixed.FORWARD_FEATURES)))).otherwise(schema_hash(F.array(*map(F.lit, fixed.NEXT_CLOSE_FEATURES))))
+    newest = registry(m).filter(F.col("skill") > 0).groupBy(F.col("scope").alias("exchange"), F.col("data_cutoff").alias("since")).agg(F.max("version").alias("version"))
+    return rel.assess_scopes(rows, newest.select("exchange", "since", hashed.alias("schema_hash")))
+
+
 def _assess_sql():
     some = lambda *cases: "[r FOR r IN [" + ", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in cases) + "] IF r IS NOT NULL]"
     reasons = some(
