@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from barwright import fixed
 from barwright.functions.expr import schema_hash
 from barwright.functions.rolling import KEY, ahead, change, history
+from barwright.operators import listing
 from barwright.operators import reliability as rel
 from barwright.operators import scoring
 from barwright.operators.features import feature_frame
@@ -329,6 +330,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY family, exchange, horizon, schem
 _SCOPE = ["family", "exchange", "horizon", "schema_hash", "window_size"]
 
 
+def _families(m):
+    """Settled predictions of both families."""
+    w, c = history(), F.col("close")
+    shared = [*KEY, "data_cutoff", "predicted_return", "outcome_return", "rule_class"]
+    near = predictions(m).select(F.lit("next_close").alias("family"), F.lit(1).alias("horizon"), *shared)
+    far = m.bars.select(
+        F.lit("forward_return").alias("family"), F.lit(10).alias("horizon"), *KEY, F.col("date").alias("data_cutoff"), change(c, w, 5).alias("predicted_return"),
+        ahead(c, w, 10).alias("outcome_return"), (change(c, w) > 0).alias("rule_class"),
+    ).filter(F.col("predicted_return").isNotNull() & F.col("outcome_return").isNotNull())
+    p = F.col("predicted_return")
+    return near.unionByName(far).withColumns({"predicted_class": p > 0, "probability": F.lit(1.0) / (F.lit(1.0) + F.exp(p * -40.0)), "outcome_class": F.col("outcome_return") > 0, "naive_class": F.lit(True)})
+
+
 @query(
     "rl_13_assessment_scopes",
     "family s, exchange s, horizon i, schema_hash s, window_size i, n i, accuracy f, balanced_accuracy f, roc_auc f, log_loss f, calibration_error f, skill_vs_naive f, psi f, ks f, reference_hit_rate f, current_hit_rate f, period_start d, period_end d",
@@ -340,20 +354,50 @@ JOIN (SELECT {', '.join(_SCOPE)}, min(data_cutoff) AS period_start, max(data_cut
 def _(m):
     from barwright.plans.cat_learning import registry
 
-    w, c = history(), F.col("close")
-    shared = [*KEY, "data_cutoff", "predicted_return", "outcome_return", "rule_class"]
-    near = predictions(m).select(F.lit("next_close").alias("family"), F.lit(1).alias("horizon"), *shared)
-    far = m.bars.select(
-        F.lit("forward_return").alias("family"), F.lit(10).alias("horizon"), *KEY, F.col("date").alias("data_cutoff"), change(c, w, 5).alias("predicted_return"),
-        ahead(c, w, 10).alias("outcome_return"), (change(c, w) > 0).alias("rule_class"),
-    ).filter(F.col("predicted_return").isNotNull() & F.col("outcome_return").isNotNull())
-    p = F.col("predicted_return")
-    rows = near.unionByName(far).withColumns({"predicted_class": p > 0, "probability": F.lit(1.0) / (F.lit(1.0) + F.exp(p * -40.0)), "outcome_class": F.col("outcome_return") > 0, "naive_class": F.lit(True)})
+    rows = _families(m)
     hashed = F.when(F.col("version") % 2 == 0, schema_hash(F.array(*map(F.lit, fixed.FORWARD_FEATURES)))).otherwise(schema_hash(F.array(*map(F.lit, fixed.NEXT_CLOSE_FEATURES))))
     newest = registry(m).filter(F.col("skill") > 0).groupBy(F.col("scope").alias("exchange"), F.col("data_cutoff").alias("since")).agg(F.max("version").alias("version"))
     return rel.assess_scopes(rows, newest.select("exchange", "since", hashed.alias("schema_hash")))
 
 
+# assessments on record: one at each month's and each quarter's last settled day
+define(
+    "assessments", "rls",
+    """
+SELECT family, exchange, horizon, span, max(data_cutoff) AS assessed_on, count(*) AS n, avg(CASE WHEN (p > 0) = (a > 0) THEN 1.0 ELSE 0.0 END) AS accuracy
+FROM (SELECT *, unnest(['month', 'quarter']) AS span FROM rls) GROUP BY family, exchange, horizon, span, date_trunc(span, data_cutoff)""",
+)
+
+
+def _assessments(m):
+    span = F.explode(F.array(F.lit("month"), F.lit("quarter"))).alias("span")
+    rows = _families(m).select("family", "exchange", "horizon", "data_cutoff", (F.col("predicted_class") == F.col("outcome_class")).alias("hit"), span)
+    start = F.when(F.col("span") == "month", F.trunc("data_cutoff", "month")).otherwise(F.trunc("data_cutoff", "quarter"))
+    return rows.groupBy("family", "exchange", "horizon", "span", start.alias("start")).agg(
+        F.max("data_cutoff").alias("assessed_on"), F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)).alias("accuracy")
+    )
+
+
+_ASSESSMENT = "family s, exchange s, horizon i, span s, assessed_on d, n i, accuracy f"
+
+
+@query(
+    "prj_09_latest_by_scope", _ASSESSMENT,
+    "SELECT * FROM assessments QUALIFY row_number() OVER (PARTITION BY family, exchange, horizon, span ORDER BY assessed_on DESC) = 1", "assessments",
+)
+def _(m):
+    return listing.latest_by(_assessments(m), ["family", "exchange", "horizon", "span"], "assessed_on", "n")
+
+
+@query(
+    "prj_09_history_of_scope", _ASSESSMENT,
+    "SELECT * FROM assessments WHERE family = 'forward_return' AND exchange = 'CSE' AND span = 'month' ORDER BY assessed_on DESC LIMIT 20", "assessments",
+)
+def _(m):
+    rows = _assessments(m).filter("family = 'forward_return' AND exchange = 'CSE' AND span = 'month'")
+    return listing.page(rows, [F.desc("assessed_on")], 20)
+
+
 def _assess_sql():
     some = lambda *cases: "[r FOR r IN [" + ", ".join(f"CASE WHEN {test} THEN {text} END" for test, text in cases) + "] IF r IS NOT NULL]"
     reasons = some(
