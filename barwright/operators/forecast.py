@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,42 +185,87 @@ def live_gates(served: DataFrame, candidate: DataFrame, least: int = 50) -> Data
     return served.select(((F.col("n") >= least) & (F.col("skill_vs_naive") <= 0)).alias("downgrade_model"), naive.alias("serve_naive"))
 
 
+class OrderStatistics:
+    """Counts of seen values in a binary indexed tree over the ranks of all values; adding and picking take log n."""
+
+    def __init__(self, values: np.ndarray, seen: int):
+        order = np.argsort(values, kind="stable")
+        self.sorted = values[order]
+        self.rank = np.empty(len(values), np.int64)
+        self.rank[order] = np.arange(1, len(values) + 1)
+        marks = np.zeros(len(values) + 1, np.int64)
+        marks[self.rank[:seen]] = 1
+        sums, at = np.cumsum(marks), np.arange(len(values) + 1)
+        self.tree = (sums - sums[at - (at & -at)]).tolist()
+        self.top = 1 << max(len(values).bit_length() - 1, 0)
+        self.size = seen
+
+    def add(self, i: int) -> None:
+        at = int(self.rank[i])
+        while at < len(self.tree):
+            self.tree[at] += 1
+            at += at & -at
+        self.size += 1
+
+    def pick(self, k: int) -> float:
+        """The k-th smallest seen value, k from 0."""
+        at, step, left = 0, self.top, k + 1
+        while step:
+            if at + step < len(self.tree) and self.tree[at + step] < left:
+                at += step
+                left -= self.tree[at]
+            step >>= 1
+        return float(self.sorted[at])
+
+    def percentile(self, p: float) -> float:
+        """Linear interpolation between neighbours in order."""
+        place = (self.size - 1) * p
+        low = int(place)
+        a, b = self.pick(low), self.pick(min(low + 1, self.size - 1))
+        return a + (b - a) * (place - low)
+
+
+REPLAYED = "exchange string, symbol string, as_of date, target_date date, last_close double, actual_close double, raw double, spread double, samples int, used_bias double, predicted_return double, predicted_close double"
+
+
+def _replayed(exchange: str, symbol: str, dates: np.ndarray, closes: np.ndarray, first_day) -> list[tuple]:
+    """Forecast and settlement of one security, day by day; both state and percentiles go forward by one value a day."""
+    fwd = closes[1:] / closes[:-1] - 1.0
+    starts = [i for i in range(fixed.MIN_HISTORY - 1, len(closes) - 1) if dates[i + 1] >= first_day]
+    if not starts:
+        return []
+    known = OrderStatistics(fwd, starts[0])
+    alpha, cap, bias, rows = fixed.BIAS_ALPHA_STOCK, fixed.BIAS_CAP, 0.0, []
+    for settles, i in enumerate(starts):
+        while known.size < i:  # returns that ended at day i or before
+            known.add(known.size)
+        raw, spread = known.percentile(0.5), max(known.percentile(0.75) - known.percentile(0.25), 0.005)
+        used = bias if settles >= fixed.BIAS_MIN_SETTLES else 0.0
+        said = min(max(raw - used, -0.12), 0.12)
+        rows.append((exchange, symbol, dates[i], dates[i + 1], float(closes[i]), float(closes[i + 1]), raw, spread, i, used, said, float(closes[i]) * (said + 1.0)))
+        error = said - (closes[i + 1] / closes[i] - 1.0)
+        bias = float(min(max(bias * (1.0 - alpha) + error * alpha, -cap), cap))
+    return rows
+
+
 def replay(bars: DataFrame, lookback: int, end: Column) -> DataFrame:
     """Walk-forward forecasts of the last days with per-security bias, no fitted model.
 
-    Each security's closes are one calendar-bounded array; only starts inside
-    the look-back are evaluated.
+    Each security's closes are one calendar-bounded array. Expanding percentiles come from a tree of counts that takes one
+    return a day, so a replay of the whole history takes n log n. Bars without a positive close are left out first.
     """
-    arrays = analogue.close_arrays(bars).filter(F.size("closes") >= fixed.MIN_HISTORY + 5)
-    n = F.size("closes")
-    fwd = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.get("closes", i + 1) / F.get("closes", i) - 1.0)
-    df = arrays.withColumn("fwd", fwd)
-    starts = F.filter(F.sequence(F.lit(fixed.MIN_HISTORY - 1), n - 2), lambda i: F.get("dates", i + 1) >= F.date_sub(end, lookback))
-    steps = df.select(*KEY, "dates", "closes", "fwd", F.explode(starts).alias("i"))
-    # history known at i: returns that ended at i or before
-    known = steps.withColumn("s", F.sort_array(F.slice("fwd", 1, F.col("i"))))
-    med = analogue.sorted_percentile(F.col("s"), 0.5)
-    spread = F.greatest(analogue.sorted_percentile(F.col("s"), 0.75) - analogue.sorted_percentile(F.col("s"), 0.25), F.lit(0.005))
-    rows = known.select(
-        *KEY, F.get("dates", F.col("i")).alias("as_of"), F.get("dates", F.col("i") + 1).alias("target_date"),
-        F.get("closes", F.col("i")).alias("last_close"), F.get("closes", F.col("i") + 1).alias("actual_close"), med.alias("raw"), spread.alias("spread"), F.size("s").alias("samples"),
-    )
-    state = F.struct(F.lit(0.0).alias("bias"), F.lit(0).alias("settles"), F.array().cast("array<double>").alias("used"))
-    a, cap = fixed.BIAS_ALPHA_STOCK, fixed.BIAS_CAP
-
-    def step(s, r):
-        used = F.when(s["settles"] >= fixed.BIAS_MIN_SETTLES, s["bias"]).otherwise(0.0)
-        err = clip(r["raw"] - used, -0.12, 0.12) - (r["actual_close"] / r["last_close"] - 1.0)
-        bias = F.least(F.greatest(s["bias"] * (1.0 - a) + err * a, F.lit(-cap)), F.lit(cap))
-        return F.struct(bias.alias("bias"), (s["settles"] + 1).alias("settles"), F.array_append(s["used"], used).alias("used"))
-
-    g = rows.groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("target_date", "as_of", "last_close", "actual_close", "raw", "spread", "samples"))).alias("r")
-    )
-    g = g.withColumn("s", F.aggregate("r", state, step))
-    flat = g.select(*KEY, F.explode(F.arrays_zip("r", F.col("s.used").alias("used"))).alias("z")).select(*KEY, "z.r.*", F.col("z.used").alias("used_bias"))
-    pred = clip(F.col("raw") - F.col("used_bias"), -0.12, 0.12)
-    return flat.withColumns({"predicted_return": pred, "predicted_close": F.col("last_close") * (pred + 1.0)})
+    arrays = analogue.close_arrays(bars.filter(F.col("close") > 0)).filter(F.size("closes") >= fixed.MIN_HISTORY + 5)
+    names = [c.split()[0] for c in REPLAYED.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                rows = _replayed(r.exchange, r.symbol, r.dates, np.asarray(r.closes, np.float64), r.first_day)
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    given = arrays.select(*KEY, "dates", "closes", F.date_sub(end, lookback).alias("first_day"))
+    return given.mapInPandas(walk, REPLAYED)
 
 
 def pending_and_settled(forecasts: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Forecast queries (survey 2.11, FC rows)."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from barwright.functions.rolling import KEY, change, history
-from barwright.operators import analogue, forecast, screen
+from barwright.operators import analogue, calendar, forecast, screen, shadow
 from barwright.plans.oracle import W, define
 from barwright.plans.registry import query
+from barwright.session import work_folder
 
 define(
     "oneday", "bars",
@@ -248,15 +251,19 @@ define(
 )
 
 
-@query(
-    "fc_11_shadow_report", "candidate s, n i, mae f, naive_mae f, skill f, direction f, trend s",
-    """
+def _shadow_report_sql(source):
+    return f"""
 SELECT candidate, n, mae, naive_mae, skill, direction, CASE WHEN n < 40 THEN NULL WHEN abs(d) < 0.03 THEN 'stable' WHEN d > 0 THEN 'improving' ELSE 'declining' END AS trend FROM (
 SELECT candidate, count(*) AS n, round_even(avg(e), 4) AS mae, round_even(avg(b), 4) AS naive_mae, round_even(1 - avg(e) / avg(b), 4) AS skill,
   round_even(avg(CASE WHEN actual_close <> last_close THEN CASE WHEN sign(actual_close - last_close) = sign(predicted_close - last_close) THEN 1.0 ELSE 0.0 END END), 4) AS direction,
   (1 - avg(e) FILTER (recent) / avg(b) FILTER (recent)) - (1 - avg(e) FILTER (NOT recent) / avg(b) FILTER (NOT recent)) AS d
 FROM (SELECT *, abs(predicted_close - actual_close) AS e, abs(last_close - actual_close) AS b,
-  row_number() OVER (PARTITION BY candidate ORDER BY target_date DESC, exchange, symbol) <= floor(count(*) OVER (PARTITION BY candidate) / 2) AS recent FROM shadow) GROUP BY candidate)""",
+  row_number() OVER (PARTITION BY candidate ORDER BY target_date DESC, exchange, symbol) <= floor(count(*) OVER (PARTITION BY candidate) / 2) AS recent FROM {source}) GROUP BY candidate)"""
+
+
+@query(
+    "fc_11_shadow_report", "candidate s, n i, mae f, naive_mae f, skill f, direction f, trend s",
+    _shadow_report_sql("shadow"),
     "shadow",
 )
 def _(m):
@@ -265,6 +272,50 @@ def _(m):
     return forecast.shadow_report(s.withColumn("candidate", F.lit("shadow_analogue")).unionByName(other))
 
 
+# shadow cycles on five sessions in a row: each settles what is due and forecasts the next session
+SHADOW_DAYS = [dt.date(2001, 9, 30), *[dt.date(2001, 10, d) for d in (1, 2, 3, 4)]]
+_SHADOW_ENDS = [*SHADOW_DAYS[1:], dt.date(2001, 10, 7)]
+define(
+    "shadow_log", "bars stocks",
+    f"""
+SELECT 'shadow_analogue' AS candidate, g.exchange, g.symbol, g.as_of, g.target_date, g.last_close, round_even(c * (1 + corr), 4) AS predicted_close, round_even(corr, 6) AS predicted_return,
+  b.close AS actual_close, CASE WHEN b.close IS NOT NULL THEN g.target_date END AS settled_on
+FROM (SELECT *, round_even(c, 4) AS last_close, greatest(-0.12, least(0.12, CASE WHEN n >= 40 AND k >= 10 THEN med ELSE 0 END)) AS corr FROM (
+  SELECT exchange, symbol, target AS target_date, max(date) AS as_of, arg_max(close, date) AS c, count(*) AS n, count(f) AS k, quantile_cont(f, 0.5) AS med FROM (
+    SELECT exchange, symbol, date, close, target, lead(close) OVER (PARTITION BY target, exchange, symbol ORDER BY date) / close - 1 AS f
+    FROM bars JOIN (SELECT unnest([{", ".join(f"DATE '{d}'" for d in SHADOW_DAYS)}]) AS day, unnest([{", ".join(f"DATE '{d}'" for d in _SHADOW_ENDS)}]) AS target) ON date <= day)
+  GROUP BY exchange, symbol, target) WHERE n >= 40 AND c > 0) g
+SEMI JOIN (SELECT exchange, symbol FROM stocks WHERE is_active) s ON s.exchange = g.exchange AND s.symbol = g.symbol
+LEFT JOIN bars b ON b.exchange = g.exchange AND b.symbol = g.symbol AND b.date = g.target_date AND g.target_date <= DATE '{SHADOW_DAYS[-1]}'""",
+)
+
+
+def _shadow_cycles(m):
+    path = work_folder(m.spark, "shadow")
+    shadow.create(m.spark, path)
+    cal = calendar.calendar(calendar.span_of(m.bars.select("date")), m.holidays)
+    active = m.stocks.filter("is_active")
+    for day in SHADOW_DAYS:
+        shadow.run_cycle(m.spark, path, m.bars, active, cal, day, {shadow.ANALOGUE: shadow.analogue()})
+    return path
+
+
+@query(
+    "fc_11_shadow_cycles", "candidate s, exchange s, symbol s, as_of d, target_date d, last_close f, predicted_close f, predicted_return f, actual_close f, settled_on d",
+    "SELECT * FROM shadow_log", "shadow_log",
+)
+def _(m):
+    return shadow.current(m.spark, _shadow_cycles(m))
+
+
+@query(
+    "fc_11_shadow_cycle_report", "candidate s, n i, mae f, naive_mae f, skill f, direction f, trend s",
+    _shadow_report_sql("(SELECT * FROM shadow_log WHERE actual_close IS NOT NULL)"), "shadow_log",
+)
+def _(m):
+    return shadow.report(m.spark, _shadow_cycles(m))
+
+
 @query(
     "prj_10_pending_and_settled_forecast", "exchange s, symbol s, pending_target d, pending_close f, settled_target d, settled_predicted f, settled_actual f",
     """
