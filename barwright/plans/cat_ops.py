@@ -8,7 +8,8 @@ from barwright.operators import ops
 from barwright.plans.oracle import define
 from barwright.plans.registry import query
 from barwright.session import work_folder
-from barwright.streaming import alerts, dedupe, health, quotes
+from barwright.plans.cat_sources import stored_live
+from barwright.streaming import alerts, dedupe, health, quotes, store
 
 NOW = "2024-01-30 23:59:00"
 
@@ -284,6 +285,38 @@ def _(m):
     return out.groupBy("task_name").agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select("task_name", "r.*")
 
 
+def _flight_events(runs):
+    return runs.select("task_name", "run_id", "status", "started_at", F.coalesce("finished_at", "started_at").alias("at"))
+
+
+@query(
+    "ops_04_stuck_runs_stream", "task_name s, run_id i, started_at t, stuck_at t",
+    """
+SELECT task_name, run_id, started_at, started_at + INTERVAL 20 MINUTE AS stuck_at FROM task_runs, (SELECT max(coalesce(finished_at, started_at)) AS newest FROM task_runs)
+WHERE status = 'started' AND epoch_ms(started_at) + 1200000 < epoch_ms(newest) - 300000""",
+    "task_runs",
+)
+def _(m):
+    return _streamed_alerts(m, health.stuck_runs(_flight_events(_quote_stream(m).task_runs)))
+
+
+@query(
+    "str_01_stream_into_stored_bars", f"{', '.join(f'{c} s' for c in KEY)}, date d, open f, high f, low f, close f, volume i, source s",
+    """
+SELECT 'DSE' AS exchange, n.symbol, n.date, coalesce(nullif(o.open, 0), n.open) AS open, CASE WHEN o.date IS NULL THEN n.high ELSE greatest(o.high, n.high, n.close) END AS high,
+  CASE WHEN o.date IS NULL THEN n.low ELSE least(o.low, n.low, n.close) END AS low, n.close, n.volume, 'dse_live' AS source
+FROM daybars n LEFT JOIN stored_live o ON o.symbol = n.symbol AND o.date = n.date""",
+    "daybars stored_live",
+)
+def _(m):
+    folder = work_folder(m.spark, "stream")
+    sessions = cal.calendar(cal.span_of(m.quotes.select(F.to_date("ts")), slack=1), m.holidays).filter("is_session").select("date")
+    live = lambda df: df.join(sessions, "date", "left_semi").select(F.lit("DSE").alias("exchange"), "*", F.lit(0.0).alias("value"), F.lit("dse_live").alias("source"))
+    store.create(stored_live(m), folder)
+    store.drain(quotes.daily_bars(_quote_stream(m).quotes), folder, f"{folder}/checkpoint", live)
+    return store.read(m.spark, folder)
+
+
 def alert_observations(m, quoted=None):
     """Twelve rules per symbol class, met with the quote events."""
     r = m.quotes.select("symbol").distinct().select(

@@ -438,6 +438,18 @@ SELECT 'DSE' AS exchange, symbol, date, CASE WHEN day(date) % 2 = 0 THEN 0.0 ELS
 )
 
 
+def live_bars(m):
+    return day_bars(m).select(F.lit("DSE").alias("exchange"), "symbol", "date", "open", "high", "low", "close", "volume", F.lit(0.0).alias("value"), F.lit("dse_live").alias("source"))
+
+
+def stored_live(m):
+    day = F.dayofmonth("date")
+    return live_bars(m).filter(day % 3 == 0).select(
+        *KEY, "date", F.when(day % 2 == 0, 0.0).otherwise(F.col("open") * 0.9).alias("open"), (F.col("high") * 0.8).alias("high"), (F.col("low") * 1.2).alias("low"),
+        (F.col("close") * 0.95).alias("close"), (F.col("volume") + 1).alias("volume"), "value", F.lit("dse_history").alias("source"),
+    )
+
+
 @query(
     "src_16_live_upsert", f"{K}, open f, high f, low f, close f, volume i, source s",
     """
@@ -447,13 +459,7 @@ FROM daybars n LEFT JOIN stored_live o ON o.symbol = n.symbol AND o.date = n.dat
     "daybars stored_live",
 )
 def _(m):
-    live = day_bars(m).select(F.lit("DSE").alias("exchange"), "symbol", "date", "open", "high", "low", "close", "volume", F.lit(0.0).alias("value"), F.lit("dse_live").alias("source"))
-    day = F.dayofmonth("date")
-    old = live.filter(day % 3 == 0).select(
-        *KEY, "date", F.when(day % 2 == 0, 0.0).otherwise(F.col("open") * 0.9).alias("open"), (F.col("high") * 0.8).alias("high"), (F.col("low") * 1.2).alias("low"),
-        (F.col("close") * 0.95).alias("close"), (F.col("volume") + 1).alias("volume"), "value", F.lit("dse_history").alias("source"),
-    )
-    return upsert.upsert_live(old, live)
+    return upsert.upsert_live(stored_live(m), live_bars(m))
 
 
 @query(

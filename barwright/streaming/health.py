@@ -1,4 +1,4 @@
-"""Task-health state machine over a stream of finished runs."""
+"""Task health over a stream of finished runs, and runs found stuck by event time."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barwright import fixed
+
 OUTPUT = "task_name string, consecutive_failures int, health string, alert_state string, last_run timestamp, runs long"
 STATE = "consecutive_failures int, health string, alert_state string, last_run timestamp, runs long"
 LIMIT = 3
@@ -42,7 +45,63 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def task_health(runs: DataFrame) -> DataFrame:
     """runs: task_name, run_id, status, started_at (timestamp); started rows are ignored."""
-    from pyspark.sql import functions as F
-
     done = runs.filter(F.col("status") != "started").select("task_name", "run_id", "status", "started_at")
     return done.groupBy("task_name").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+FLIGHT_STATE = "started_us long, done boolean"
+FLIGHT_OUTPUT = "task_name string, run_id long, started_us long"
+
+
+def _in_flight(limit_ms: int):
+    """State of one run: when it started and whether it has finished. The timer stands at start plus limit.
+
+    A finish that comes before its start is kept as a mark until the same timer, so state holds only runs whose limit the
+    watermark has not passed yet.
+    """
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in FLIGHT_OUTPUT.split(", ")]
+        started, done = state.get if state.exists else (None, False)
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield pd.DataFrame([(*key, started)], columns=names)
+            return
+        for rows in batches:
+            first = int(rows["started_us"].min())
+            started = first if started is None else min(started, first)
+            done = done or bool((rows["status"] != "started").any())
+        due = started // 1000 + limit_ms
+        if due > state.getCurrentWatermarkMs():
+            state.update((started, done))
+            state.setTimeoutTimestamp(due)
+            return
+        if state.exists:
+            state.remove()
+        if not done:
+            yield pd.DataFrame([(*key, started)], columns=names)
+
+    return update
+
+
+def stuck_runs(events: DataFrame, limit: str = f"{fixed.STUCK_JOB_MINUTES} minutes", delay: str = "5 minutes") -> DataFrame:
+    """Runs that are in flight when the watermark passes their start plus the limit; each appears once, without a further event.
+
+    events: task_name, run_id, status, started_at, at (moment of the event: the start for a started row, else the finish).
+    Keyed by run, so a task with most of the events is spread over all tasks of the job. Rows without a start, an id or a
+    moment are left out.
+    """
+    limit_ms = int(pd.Timedelta(limit).total_seconds() * 1000)
+    rows = (
+        events.dropna(subset=["task_name", "run_id", "started_at", "at"])
+        .withColumn("at", F.col("at").cast("timestamp"))
+        .withWatermark("at", delay)
+        .select("task_name", F.col("run_id").cast("long"), "status", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"), "at")
+    )
+    found = rows.groupBy("task_name", "run_id").applyInPandasWithState(
+        _in_flight(limit_ms), FLIGHT_OUTPUT, FLIGHT_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+    return found.select(
+        "task_name", "run_id", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros(F.col("started_us") + limit_ms * 1000).alias("stuck_at")
+    )
