@@ -9,7 +9,7 @@ from barwright.operators import quality as dq
 from barwright.operators.indicators import indicators, latest
 from barwright.plans.cat_ledger import market_calendar
 from barwright.plans.cat_signals import screened
-from barwright.plans.oracle import W, define
+from barwright.plans.oracle import W, define, define_indicators
 from barwright.plans.registry import query
 
 K = "exchange s, symbol s, date d"
@@ -17,22 +17,43 @@ RULES = study.Rules(least_volume=10, volume_share_pct=100.0)
 STRICT = study.Rules("strict_research_v1", 120_000.0, 40, 12.0, 6.0, 10, 100.0, 1.25, 0.35)
 INITIAL = 1_000_000.0
 
-define(
-    "b50", "ind",
-    "SELECT exchange, date, avg(CASE WHEN close > sma_50 THEN 1.0 ELSE 0.0 END) AS breadth_50 FROM ind WHERE sma_50 IS NOT NULL GROUP BY ALL",
-)
-define(
-    "sig", "indp b50",
-    """
+def _define_signals(suffix=""):
+    """Breadth and entry signals over one set of indicators with their previous values."""
+    define(
+        f"b50{suffix}", f"ind{suffix}",
+        f"SELECT exchange, date, avg(CASE WHEN close > sma_50 THEN 1.0 ELSE 0.0 END) AS breadth_50 FROM ind{suffix} WHERE sma_50 IS NOT NULL GROUP BY ALL",
+    )
+    define(
+        f"sig{suffix}", f"indp{suffix} b50{suffix}",
+        f"""
 SELECT i.*, b.breadth_50, rn > 1 AND (coalesce(rsi_14 < 35, false) OR coalesce(prev_macd <= prev_macd_signal AND macd > macd_signal, false)) AS sig_base,
   rn > 1 AND coalesce(rsi_14 < 35 AND prev_macd <= prev_macd_signal AND macd > macd_signal AND volume_sma_20 > 0 AND volume >= volume_sma_20 * 1.25, false)
     AND coalesce(breadth_50, 0) >= 0.35 AS sig_strict
-FROM indp i LEFT JOIN b50 b ON b.exchange = i.exchange AND b.date = i.date""",
+FROM indp{suffix} i LEFT JOIN b50{suffix} b ON b.exchange = i.exchange AND b.date = i.date""",
+    )
+
+
+_define_signals()
+# bars with splits: every third security trades at one and a half times its price from July to December
+define(
+    "bars_split", "bars",
+    """
+SELECT * REPLACE (open * f AS open, high * f AS high, low * f AS low, close * f AS close)
+FROM (SELECT *, CASE WHEN CAST(symbol[2:] AS BIGINT) % 3 = 1 AND month(date) > 6 THEN 1.5 ELSE 1.0 END AS f FROM bars)""",
 )
+define_indicators("bars_split", "_split")
+define("indp_split", "ind_split", f"SELECT *, lag(macd) OVER {W} AS prev_macd, lag(macd_signal) OVER {W} AS prev_macd_signal FROM ind_split")
+_define_signals("_split")
 
 
-def _base(m):
-    ind = patterns.with_previous(indicators(m.bars))
+def split_bars(m):
+    moved = (F.substring("symbol", 2, 20).cast("long") % 3 == 1) & (F.month("date") > 6)
+    factor = F.when(moved, 1.5).otherwise(1.0)
+    return m.bars.withColumns({c: F.col(c) * factor for c in ("open", "high", "low", "close")})
+
+
+def _base(m, bars=None):
+    ind = patterns.with_previous(indicators(m.bars if bars is None else bars))
     return ind, ctx.breadth_above_sma50(ind)
 
 
@@ -46,7 +67,7 @@ def _(m):
     return study.signals(*_base(m), STRICT).filter("signal")
 
 
-def _trades_sql(flag, notional, hold, target, stop, strict):
+def _trades_sql(flag, notional, hold, target, stop, strict, source="sig"):
     frame = f"OVER (PARTITION BY exchange, symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND {5 + hold} FOLLOWING)"
     stop_test = (lambda x: f"({x}.low <= entry * {1 - stop / 100})") if stop else (lambda x: "false")
     target_test = lambda x: f"({x}.close >= entry * {1 + target / 100})"
@@ -74,11 +95,12 @@ SELECT *, fill.open * 1.002 AS entry, least(floor({notional} / (fill.open * 1.00
 SELECT *, list_filter(path[1:5], lambda x: x.volume > 0)[1] AS fill FROM (
 SELECT *, list({{'rn': rn, 'date': date, 'open': open, 'high': high, 'low': low, 'close': close, 'volume': volume, 'ret': return_1d, 'nxt': nxt}}) {frame} AS path FROM (
 SELECT *, lead({{'date': date, 'open': open, 'ret': return_1d, 'rn': rn}}) OVER {W} AS nxt, last_value(close) OVER (PARTITION BY exchange, symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lastclose,
-  max(date) OVER (PARTITION BY exchange, symbol) AS lastdate FROM sig)) WHERE {flag})))))))) """
+  max(date) OVER (PARTITION BY exchange, symbol) AS lastdate FROM {source})) WHERE {flag})))))))) """
 
 
 define("trades", "sig", _trades_sql("sig_base", 50000.0, 20, 5.0, None, False))
 define("strict_trades", "sig", _trades_sql("sig_strict", 120000.0, 40, 12.0, 6.0, True))
+define("split_trades", "sig_split", _trades_sql("sig_base", 50000.0, 20, 5.0, None, False, "sig_split"))
 TRADE = (
     "exchange s, symbol s, signal_date d, fill_state s, entry_date d, exit_date d, reason s, entry_price f, exit_price f, shares i, gross_pnl f, net_pnl f, costs f, "
     "return_pct f, hold_calendar_days i, sessions_held i, corp_action b"
@@ -86,8 +108,8 @@ TRADE = (
 _T = "SELECT * REPLACE (exitp AS exit_price, n_shares AS shares) FROM {}"
 
 
-def _trades(m, rules=RULES):
-    return study.trades(study.signals(*_base(m), rules), rules)
+def _trades(m, rules=RULES, bars=None):
+    return study.trades(study.signals(*_base(m, bars), rules), rules)
 
 
 @query(
@@ -122,6 +144,21 @@ def _(m):
     return t.groupBy("exchange").agg(F.count_if("corp_action").alias("excluded"), F.count_if(~F.col("corp_action")).alias("headline"))
 
 
+@query("bt_05_trades_over_splits", TRADE, _T.format("split_trades"), "split_trades")
+def _(m):
+    return _trades(m, bars=split_bars(m))
+
+
+@query(
+    "bt_05_exclusion_over_splits", "exchange s, corp_action b, trades i, winners i, average_return_pct f",
+    "SELECT exchange, corp_action, count(*) AS trades, count(*) FILTER (net_pnl > 0) AS winners, avg(return_pct) AS average_return_pct FROM split_trades WHERE filled GROUP BY exchange, corp_action",
+    "split_trades",
+)
+def _(m):
+    t = _trades(m, bars=split_bars(m)).filter(F.col("fill_state") == "filled")
+    return t.groupBy("exchange", "corp_action").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("net_pnl") > 0).alias("winners"), F.avg("return_pct").alias("average_return_pct"))
+
+
 define(
     "hops", "trades",
     """
