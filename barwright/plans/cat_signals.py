@@ -1,5 +1,7 @@
 """Patterns, score, analogue, screener and listing queries (survey 2.2, 2.4, 2.7, 2.8)."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from barwright import fixed
@@ -7,9 +9,10 @@ from barwright.functions.rolling import KEY, history
 from barwright.operators import analogue, listing, patterns, scoring, screen
 from barwright.operators import quality as dq
 from barwright.operators.indicators import indicators, latest, refresh, snapshot
-from barwright.plans.oracle import W, define
+from barwright.plans.oracle import TABLES, W, define
 from barwright.plans.registry import query
 from barwright.session import cut_lineage
+from barwright.sources.adapters import Market
 
 K = "exchange s, symbol s, date d"
 
@@ -338,6 +341,40 @@ def _(m):
     return screen.safe_buys(screened(m))
 
 
+def swinging(m, share: float, days: float, fold: int | None = None):
+    """The market with prices that swing by a share over days, out of step by security; with `fold`, suppliers share that many securities."""
+
+    class Swinging(Market):
+        def table(self, name):
+            df = super().table(name)
+            return df.withColumn("l_suppkey", F.col("l_suppkey") % fold + 1) if name == "lineitem" and fold else df
+
+        @cached_property
+        def bars(self):
+            phase = F.date_diff("date", F.lit("1995-01-01").cast("date")) / days + F.substring("symbol", 2, 20).cast("long")
+            return self.bars_all.filter(~F.col("is_synthetic")).withColumns({c: F.col(c) * (F.sin(phase) * share + 1.0) for c in ("open", "high", "low", "close")})
+
+    return Swinging(m.spark, m.folder)
+
+
+def swinging_sql(share: float, days: float, fold: int | None = None) -> dict[str, tuple[str, str]]:
+    needs, text = TABLES["bars_all"]
+    return {
+        "bars_all": (needs, text.replace("l_suppkey AS k", f"l_suppkey % {fold} + 1 AS k") if fold else text),
+        "bars": ("bars_all", f"""
+SELECT * REPLACE (open * f AS open, high * f AS high, low * f AS low, close * f AS close)
+FROM (SELECT *, 1.0 + {share} * sin((date - DATE '1995-01-01') / CAST({days} AS DOUBLE) + CAST(symbol[2:] AS BIGINT)) AS f FROM bars_all WHERE NOT is_synthetic)"""),
+    }
+
+
+@query(
+    "top_02_safe_buys_in_swings", f"{TOP}, action s, is_safe_buy b", "SELECT * FROM newest WHERE is_safe_buy AND action = 'BUY' ORDER BY score DESC, exchange, symbol LIMIT 10", "newest",
+    swinging_sql(0.1, 60.0),
+)
+def _(m):
+    return screen.safe_buys(screened(swinging(m, 0.1, 60.0)))
+
+
 @query("top_03_sell_candidates", TOP, "SELECT * FROM newest WHERE action = 'SELL' ORDER BY score, exchange, symbol LIMIT 10", "newest")
 def _(m):
     return screen.sell_candidates(screened(m))

@@ -8,7 +8,7 @@ from barwright.operators import ledger, paper, patterns, scoring, study
 from barwright.operators import quality as dq
 from barwright.operators.indicators import indicators, latest
 from barwright.plans.cat_ledger import market_calendar
-from barwright.plans.cat_signals import screened
+from barwright.plans.cat_signals import screened, swinging, swinging_sql
 from barwright.plans.oracle import W, define, define_indicators
 from barwright.plans.registry import query
 
@@ -477,3 +477,20 @@ def _(m):
     return paper.ranked_entries(
         screened(m), dq.stock_quality(m.stocks, m.bars), recent, None, 10, "three_day_book_rules", min_probability=0.0, min_confidence=0.0, require_safe=False
     )
+
+
+# few securities that trade on most days, with prices in swings: some are regular enough to be bought
+@query(
+    "top_05_ranked_entries_in_swings", "exchange s, symbol s, probability f, confidence f, score f, is_safe_buy b",
+    """
+SELECT n.* FROM newest n JOIN quality q ON q.exchange = n.exchange AND q.symbol = n.symbol AND NOT q.limited
+ANTI JOIN (SELECT exchange AS he, symbol AS hs FROM ledger WHERE txn_date >= DATE '2001-08-01') ON he = n.exchange AND hs = n.symbol
+WHERE action = 'BUY' AND confidence >= 0.5 AND probability >= 0.3 ORDER BY score DESC, confidence DESC, n.exchange, n.symbol LIMIT 10""",
+    "newest quality ledger", swinging_sql(0.2, 90.0, 12),
+)
+def _(m):
+    recent = m.ledger.filter(F.col("txn_date") >= F.lit("2001-08-01").cast("date"))
+    market = swinging(m, 0.2, 90.0, 12)
+    return paper.ranked_entries(
+        screened(market), dq.stock_quality(market.stocks, market.bars), recent, None, 10, "strict_research_v1", min_probability=0.3, min_confidence=0.5, require_safe=False
+    )

@@ -12,19 +12,21 @@ def define(name: str, needs: str, sql: str) -> None:
     TABLES[name] = (needs, sql)
 
 
-def compose(names: str, body: str, picked: str) -> str:
+def compose(names: str, body: str, picked: str, given: dict[str, tuple[str, str]] | None = None) -> str:
+    """`given` replaces shared tables, and so all that is derived from them, in this text only."""
+    tables = {**TABLES, **(given or {})}
     order: list[str] = []
 
     def visit(n: str) -> None:
         if n in order:
             return
-        for dep in TABLES[n][0].split():
+        for dep in tables[n][0].split():
             visit(dep)
         order.append(n)
 
     for n in names.split():
         visit(n)
-    parts = [f"{n} AS ({TABLES[n][1]})" for n in order]
+    parts = [f"{n} AS ({tables[n][1]})" for n in order]
     parts.append(f"result_rows AS ({body})")
     return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT {picked} FROM result_rows"
 

@@ -58,7 +58,7 @@ class Query:
 CATALOG: dict[str, Query] = {}
 
 
-def query(name: str, columns: str, sql: str | None = None, ctes: str = ""):
+def query(name: str, columns: str, sql: str | None = None, ctes: str = "", given: dict[str, tuple[str, str]] | None = None):
     """Decorator: register a Spark query; `columns` reads like "symbol s, close f"."""
     spec = [tuple(part.split()) for part in columns.split(",")]
 
@@ -68,7 +68,7 @@ def query(name: str, columns: str, sql: str | None = None, ctes: str = ""):
         text = None
         if sql is not None:
             picked = ", ".join(f"{SQL_CAST[t].format(c)} AS {c}" for c, t in spec)
-            text = oracle.compose(ctes, sql, picked)
+            text = oracle.compose(ctes, sql, picked, given)
         CATALOG[name] = Query(name, spec, fn, text)
         return fn
 
