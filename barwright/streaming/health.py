@@ -49,48 +49,44 @@ def task_health(runs: DataFrame) -> DataFrame:
     return done.groupBy("task_name").applyInPandasWithState(_update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-FLIGHT_STATE = "started_us long, done boolean"
+FLIGHT_STATE = "run_id array<long>, started_us array<long>, done array<boolean>"
 FLIGHT_OUTPUT = "task_name string, run_id long, started_us long"
+SLOTS = 128
 
 
 def _in_flight(limit_ms: int):
-    """State of one run: when it started and whether it has finished. The timer stands at start plus limit.
+    """State of the runs of one slot: when each started and whether it has finished. The timer stands at the earliest
+    start plus limit.
 
     A finish that comes before its start is kept as a mark until the same timer, so state holds only runs whose limit the
     watermark has not passed yet.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FLIGHT_OUTPUT.split(", ")]
-        started, done = state.get if state.exists else (None, False)
-        if state.hasTimedOut:
+        held = [pd.DataFrame(dict(zip(("run_id", "started_us", "done"), state.get)))] if state.exists else []
+        if not state.hasTimedOut:
+            held += [rows[["run_id", "started_us"]].assign(done=rows["status"] != "started") for rows in batches]
+        runs = pd.concat(held).groupby("run_id", as_index=False).agg({"started_us": "min", "done": "max"})
+        due = runs["started_us"] // 1000 + limit_ms
+        passed = due < state.getCurrentWatermarkMs()
+        stuck, rest = runs[passed & ~runs["done"].astype(bool)], runs[~passed]
+        if len(rest):
+            state.update((rest["run_id"].tolist(), rest["started_us"].tolist(), rest["done"].astype(bool).tolist()))
+            state.setTimeoutTimestamp(int(due[~passed].min()))
+        elif state.exists:
             state.remove()
-            if not done:
-                yield pd.DataFrame([(*key, started)], columns=names)
-            return
-        for rows in batches:
-            first = int(rows["started_us"].min())
-            started = first if started is None else min(started, first)
-            done = done or bool((rows["status"] != "started").any())
-        due = started // 1000 + limit_ms
-        if due > state.getCurrentWatermarkMs():
-            state.update((started, done))
-            state.setTimeoutTimestamp(due)
-            return
-        if state.exists:
-            state.remove()
-        if not done:
-            yield pd.DataFrame([(*key, started)], columns=names)
+        if len(stuck):
+            yield pd.DataFrame({"task_name": key[0], "run_id": stuck["run_id"], "started_us": stuck["started_us"]})
 
     return update
 
 
-def stuck_runs(events: DataFrame, limit: str = f"{fixed.STUCK_JOB_MINUTES} minutes", delay: str = "5 minutes") -> DataFrame:
+def stuck_runs(events: DataFrame, limit: str = f"{fixed.STUCK_JOB_MINUTES} minutes", delay: str = "5 minutes", slots: int = SLOTS) -> DataFrame:
     """Runs that are in flight when the watermark passes their start plus the limit; each appears once, without a further event.
 
     events: task_name, run_id, status, started_at, at (moment of the event: the start for a started row, else the finish).
-    Keyed by run, so a task with most of the events is spread over all tasks of the job. Rows without a start, an id or a
-    moment are left out.
+    A task's runs are dealt into `slots` by a hash of their id, one state each, so a task with most of the events is spread
+    over many tasks of the job and a call of the update serves many runs. Rows without a start, an id or a moment are left out.
     """
     limit_ms = int(pd.Timedelta(limit).total_seconds() * 1000)
     rows = (
@@ -99,7 +95,8 @@ def stuck_runs(events: DataFrame, limit: str = f"{fixed.STUCK_JOB_MINUTES} minut
         .withWatermark("at", delay)
         .select("task_name", F.col("run_id").cast("long"), "status", F.unix_micros(F.col("started_at").cast("timestamp")).alias("started_us"), "at")
     )
-    found = rows.groupBy("task_name", "run_id").applyInPandasWithState(
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("run_id"), F.lit(slots)))
+    found = rows.groupBy("task_name", "slot").applyInPandasWithState(
         _in_flight(limit_ms), FLIGHT_OUTPUT, FLIGHT_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return found.select(
