@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.functions.expr import parse_count, parse_number
 
-CELL_SCHEMA = "page_id long, table_no int, table_class string, row_no int, cells array<string>"
+TABLE_SCHEMA = "page_id long, tables array<struct<table_class:string,cells:array<array<string>>>>"
+PART_CHARS = 1 << 20
 LINK_SCHEMA = "page_id long, link_no int, href string, text string, tail string, in_table boolean"
 
 
@@ -73,48 +74,65 @@ def _read(html: str | None) -> _Reader:
     return reader
 
 
+def page_parts(batch: pa.RecordBatch, least: int = PART_CHARS) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Pages of a batch in parts of about `least` characters, so that what a task holds does not grow with the batch."""
+    ids, pages, at, held, n = batch.column("page_id"), batch.column("html"), 0, [], 0
+    for i in range(batch.num_rows):
+        held.append(pages[i].as_py())
+        n += len(held[-1] or "")
+        if n >= least:
+            yield ids.slice(at, len(held)), held
+            at, held, n = i + 1, [], 0
+    if held:
+        yield ids.slice(at, len(held)), held
+
+
 def table_rows(pages: DataFrame) -> DataFrame:
-    """Every row of every table on every page, as an array of cell texts."""
+    """Every row of every table on every page, as an array of cell texts, and the first rows of all the page's tables."""
+    kind = pa.list_(pa.struct([("table_class", pa.string()), ("cells", pa.list_(pa.list_(pa.string())))]))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (page, t, cls, r, cells)
-                for page, html in zip(pdf["page_id"], pdf["html"])
-                for t, (cls, trs) in enumerate(_read(html).tables)
-                for r, cells in enumerate(trs)
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "table_no", "table_class", "row_no", "cells"])
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in page_parts(batch):
+                found = [[{"table_class": cls, "cells": trs} for cls, trs in _read(html).tables] for html in texts]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found, kind)], names=["page_id", "tables"])
 
-    return pages.select("page_id", "html").mapInPandas(parse, CELL_SCHEMA)
+    read = pages.select("page_id", "html").mapInArrow(parse, TABLE_SCHEMA)
+    first = lambda t, i: F.struct(i.alias("table_no"), t["table_class"].alias("table_class"), F.get(t["cells"], F.lit(0)).alias("cells"))
+    heads = F.filter(F.transform("tables", first), lambda h: h["cells"].isNotNull())
+    tables = read.withColumn("heads", heads).select("page_id", "heads", F.posexplode("tables").alias("table_no", "t"))
+    return tables.select("page_id", "table_no", "t.table_class", "heads", F.posexplode("t.cells").alias("row_no", "cells"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """Every anchor with its text and the text right behind it."""
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_()]
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (page, i, href, " ".join("".join(text).split()), " ".join("".join(tail).split()), inside)
-                for page, html in zip(pdf["page_id"], pdf["html"])
-                for i, (href, text, tail, inside) in enumerate(_read(html).links)
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "link_no", "href", "text", "tail", "in_table"])
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in page_parts(batch):
+                rows = [
+                    (page, i, href, " ".join("".join(text).split()), " ".join("".join(tail).split()), inside)
+                    for page, html in zip(ids.to_pylist(), texts)
+                    for i, (href, text, tail, inside) in enumerate(_read(html).links)
+                ]
+                columns = zip(*rows) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["page_id", "link_no", "href", "text", "tail", "in_table"])
 
-    return pages.select("page_id", "html").mapInPandas(parse, LINK_SCHEMA)
+    return pages.select("page_id", "html").mapInArrow(parse, LINK_SCHEMA)
 
 
 def _chosen_table(rows: DataFrame, marker: str) -> DataFrame:
     """Rows of each page's shares table, or of the first table whose header has the marker."""
-    header = F.upper(F.array_join("cells", " "))
-    heads = rows.filter(F.col("row_no") == 0).select(
-        "page_id", "table_no",
-        F.when(F.contains("table_class", F.lit("shares-table")), 0).when(F.contains(header, F.lit(marker)), 1).alias("pref"),
-        F.col("cells").alias("header"),
-    )
-    best = heads.filter(F.col("pref").isNotNull()).groupBy("page_id").agg(F.min(F.struct("pref", "table_no", "header")).alias("b"))
-    best = best.select("page_id", F.col("b.table_no").alias("table_no"), F.col("b.header").alias("header"))
-    return rows.filter(F.col("row_no") > 0).join(best, ["page_id", "table_no"])
+
+    def wish(h):
+        marked = F.contains(F.upper(F.array_join(h["cells"], " ")), F.lit(marker))
+        pref = F.when(F.contains(h["table_class"], F.lit("shares-table")), 0).when(marked, 1)
+        return F.struct(pref.alias("pref"), h["table_no"].alias("table_no"), h["cells"].alias("header"))
+
+    best = F.array_min(F.filter(F.transform("heads", wish), lambda w: w["pref"].isNotNull()))
+    df = rows.filter(F.col("row_no") > 0).withColumn("_best", best)
+    return df.filter(F.col("table_no") == F.col("_best.table_no")).withColumn("header", F.col("_best.header")).drop("_best", "heads")
 
 
 def _at(i: int):
