@@ -23,11 +23,9 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     if not groups:
         raise ValueError("name at least one group column")
     data = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
-    lows = F.array(*[F.lit(max(p - MARGIN, 0.0)) for p in probs])
-    highs = F.array(*[F.lit(min(p + MARGIN, 1.0)) for p in probs])
+    bounds = [max(p - MARGIN, 0.0) for p in probs] + [min(p + MARGIN, 1.0) for p in probs]
     brackets = data.groupBy(*groups).agg(
-        F.percentile_approx("_v", lows, ACCURACY).alias("_lo"),
-        F.percentile_approx("_v", highs, ACCURACY).alias("_hi"),
+        F.percentile_approx("_v", F.array(*map(F.lit, bounds)), ACCURACY).alias("_at"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
         F.count(F.lit(1)).alias("n"),
@@ -35,8 +33,8 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     ends = []
     for j, p in enumerate(probs):
         whole = F.col("n") < BRACKETED_FROM
-        lo = F.col("_min") if p <= MARGIN else F.when(whole, F.col("_min")).otherwise(F.get("_lo", F.lit(j)))
-        hi = F.col("_max") if p >= 1 - MARGIN else F.when(whole, F.col("_max")).otherwise(F.get("_hi", F.lit(j)))
+        lo = F.col("_min") if p <= MARGIN else F.when(whole, F.col("_min")).otherwise(F.get("_at", F.lit(j)))
+        hi = F.col("_max") if p >= 1 - MARGIN else F.when(whole, F.col("_max")).otherwise(F.get("_at", F.lit(len(probs) + j)))
         pos = (F.col("n") - 1) * F.lit(p)
         first = F.ceil(F.col("n") * F.lit(p) - 1e-9) if discrete else F.floor(pos) + 1
         ends.append(
@@ -46,7 +44,8 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
             )
         )
     wanted = brackets.select(*groups, "n", F.explode(F.array(*ends)).alias("e")).select(*groups, "n", "e.*")
-    j = data.join(wanted, groups)
+    # one row a group and quantile; a shuffle by group would send a whole group to one task
+    j = data.join(F.broadcast(wanted), groups)
     below = j.groupBy(*groups, "j").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"))
     inside = j.filter(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*groups, "j", "_v").agg(F.count(F.lit(1)).alias("c"))
     # the neighbour above the bracket is needed when a rank ends it
