@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm import jaccard
+from barwright.llm.jaccard import sketches  # by name: tasks get functions, not whole modules
 from barwright.llm.shared import own_columns, stored, text_slices
 
 RADIUS = 3
@@ -204,16 +205,35 @@ def op6_simhash_near_dedup(spark, folder: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def proposals(near: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, value): which set names `fp` of near (fp, simhash) share a group of SimHash fingerprints within the radius."""
+    pairs = near.select("fp", "simhash").distinct()
+    labels = components(near_links(pairs.select(F.col("simhash").alias("fp")).distinct(), radius))
+    found = pairs.join(labels, pairs["simhash"] == labels["node"], "left")
+    return found.select("fp", F.coalesce("label", "simhash").alias("value"))
+
+
+def near_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: (doc_id, text) to (doc_id, fp, bands, simhash): a text's shingle set and its SimHash."""
+    for batch in batches:
+        prints = pa.chunked_array([p.column("fp") for p in prints_of(iter([batch]))], pa.int64()).combine_chunks()
+        at = 0
+        for part in sketches(iter([batch])):
+            yield pa.RecordBatch.from_arrays([*part.columns, prints.slice(at, part.num_rows)], names=[*part.schema.names, "simhash"])
+            at += part.num_rows
+
+
 @own_columns
 def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest doc_id stays. Documents are linked where
-    their sets of five-word shingles have a Jaccard similarity of 0.8 or more (`jaccard`); `fp` names such a set.
+    their sets of five-word shingles have a Jaccard similarity of 0.8 or more; `fp` names such a set. Groups of SimHash
+    fingerprints within the radius (`near_links`) and MinHash bands (`jaccard`) propose them, the full sets decide.
 
     Rows that repeat a doc_id inside a component are cut to one. Rows without doc_id stay one by fingerprint where
     their component has no doc_id."""
     names = docs.columns
-    prints = stored(docs.select("doc_id", "text").mapInArrow(jaccard.sketches, "doc_id long, fp long, bands array<long>"), "near-sketches")
-    found = groups(prints, links=jaccard.links(docs, prints))
+    prints = stored(docs.select("doc_id", "text").mapInArrow(near_sketches, "doc_id long, fp long, bands array<long>, simhash long"), "near-sketches")
+    found = groups(prints, links=jaccard.links(docs, prints, more=proposals(prints)))
     near = stored(with_groups(prints, found), "near")
     leads = F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_leads")
     keep = near.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), leads).filter("_leads").drop("_leads")
