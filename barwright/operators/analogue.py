@@ -10,8 +10,8 @@ from barwright.functions.expr import clip, confidence_label, tick_price
 from barwright.functions.rolling import KEY, history
 
 
-def with_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40) -> DataFrame:
-    """Summary of the next 40 closes on rows that are past setups, null elsewhere."""
+def with_paths(with_prev: DataFrame, horizon: int = 40) -> DataFrame:
+    """The next 40 closes on rows that are past setups, null elsewhere."""
     w = history(recurrence.BLOCK, "date").rowsBetween(1, horizon)
     c = F.col
     crossed = (c("prev_macd") <= c("prev_macd_signal")) & (c("macd") > c("macd_signal"))
@@ -23,8 +23,12 @@ def with_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40)
         & (i < c("n_rows") - 40)
         & (c("close") > 0)
     )
-    df = with_prev.withColumn("_path", F.collect_list("close").over(w)).withColumn("_path", F.when(setup, F.col("_path")))
-    df = df.withColumn("_best", F.array_max("_path"))
+    return with_prev.withColumn("_path", F.collect_list("close").over(w)).withColumn("_path", F.when(setup, F.col("_path")))
+
+
+def path_summary(with_path: DataFrame, target: float = 0.05) -> DataFrame:
+    c = F.col
+    df = with_path.withColumn("_best", F.array_max("_path"))
     reached = F.array_position(F.transform("_path", lambda x: x >= c("close") * (1.0 + target)), True)
     return df.withColumns(
         {
@@ -36,9 +40,14 @@ def with_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40)
     ).drop("_path", "_best")
 
 
+def with_episodes(with_prev: DataFrame, target: float = 0.05, horizon: int = 40) -> DataFrame:
+    """Summary of the next 40 closes on rows that are past setups, null elsewhere."""
+    return path_summary(with_paths(with_prev, horizon), target)
+
+
 def setup_episodes(with_prev: DataFrame) -> DataFrame:
     """One row per past setup."""
-    df = with_episodes(with_prev).filter(F.col("peak_days").isNotNull())
+    df = path_summary(with_paths(with_prev).filter(F.col("_path").isNotNull())).filter(F.col("peak_days").isNotNull())
     return df.select(*KEY, "date", "maturity_days", "peak_days", "peak_ret", "trough_ret")
 
 

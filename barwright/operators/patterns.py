@@ -58,7 +58,8 @@ def hits() -> Column:
         _hit(near_low & (~near_high | low_first), "Near Support", "bullish", 0.5),
         _hit(near_high & (~near_low | ~low_first), "Near Resistance", "bearish", 0.5),
     ]
-    return F.array_compact(F.array(*found))
+    # no two hits share a name, so leaving out the nulls as a set keeps all others in order, in compiled code
+    return F.array_except(F.array(*found), F.array(F.lit(None)).cast("array<struct<name:string,direction:string,strength:double>>"))
 
 
 def with_patterns(ind: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def with_patterns(ind: DataFrame) -> DataFrame:
 
 
 def pattern_rows(with_pattern_array: DataFrame) -> DataFrame:
-    return with_pattern_array.select(*KEY, F.col("date").alias("as_of"), F.explode("patterns").alias("p")).select(
-        *KEY, "as_of", "p.name", "p.direction", "p.strength"
-    )
+    # a plain explode would build every bar's array a second time, to drop bars whose array is empty
+    rows = with_pattern_array.select(*KEY, F.col("date").alias("as_of"), F.explode_outer("patterns").alias("p")).filter("p IS NOT NULL")
+    return rows.select(*KEY, "as_of", "p.name", "p.direction", "p.strength")
 
 
 def pattern_points(patterns: Column) -> Column:

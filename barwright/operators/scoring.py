@@ -11,6 +11,14 @@ from barwright.operators import analogue, patterns
 from barwright.operators.indicators import indicators
 
 
+# what a score, its patterns and its reasons read from a security's last bar
+LAST_BAR = [
+    "date", "n_rows", "close", "prev_close", "volume", "volume_sma_20", "sma_20", "sma_50", "sma_200", "prev_sma_50", "prev_sma_200",
+    "macd", "macd_signal", "macd_hist", "prev_macd", "prev_macd_signal", "rsi_14", "bb_lower", "bb_upper", "support", "resistance",
+    "volatility_20", "return_5d", "return_20d",
+]
+
+
 def action_from(score: Column) -> Column:
     return (
         F.when(score >= 25, "BUY").when(score <= -25, "SELL").when(F.abs(score) >= 12, "WATCH").otherwise("HOLD")
@@ -44,9 +52,10 @@ def scored_history(bars: DataFrame, stocks: DataFrame) -> DataFrame:
 
 def analysis(bars: DataFrame, stocks: DataFrame) -> DataFrame:
     """One analysis row per security at its latest bar."""
-    ind = analogue.with_episodes(patterns.with_previous(indicators(bars)))
-    episode = {"maturity_days", "peak_days", "peak_ret", "trough_ret"}
-    row = F.struct(*[c for c in ind.columns if c not in episode and c not in KEY])
+    ind = analogue.with_paths(patterns.with_previous(indicators(bars)))
+    # only setups and last bars say something here, and only some of a last bar's columns
+    ind = analogue.path_summary(ind.filter(F.col("_path").isNotNull() | (F.col("rn") == F.col("n_rows"))))
+    row = F.struct(*LAST_BAR)
     # the last bar and the episode statistics come out of one aggregation over
     # rows that are already partitioned by security
     last = ind.groupBy(*KEY).agg(F.max_by(row, "date").alias("_now"), *analogue.setup_statistics())
