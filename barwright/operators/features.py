@@ -98,13 +98,15 @@ def with_labels(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_frame(bars: DataFrame, stocks: DataFrame) -> DataFrame:
-    """Features and labels of every bar.
+def feature_frame(bars: DataFrame, stocks: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Features and labels of every bar, or of every bar of the members.
 
     Context joins the narrow bars, before the windows widen them, so the wide
-    frame is never moved again after its one exchange by security.
+    frame is never moved again after its one exchange by security. It is that of
+    the whole market, whoever the members are; the windows are each security's own.
     """
-    placed = with_context(bars, ctx.daily_returns(bars, stocks), stocks)
+    own = bars if members is None else bars.join(members.select(*KEY), KEY, "left_semi")
+    placed = with_context(own, ctx.daily_returns(bars, stocks), stocks)
     return relative_strength(with_labels(technical(placed)))
 
 

@@ -28,7 +28,7 @@ def forward_panel(bars: DataFrame, stocks: DataFrame) -> DataFrame:
 
 def next_close_panel(bars: DataFrame, stocks: DataFrame, members: DataFrame) -> DataFrame:
     """Features with the three-class label for a member universe, tradable now and next session."""
-    f = feature_frame(bars, stocks).join(members.select(*KEY), KEY, "left_semi")
+    f = feature_frame(bars, stocks, members)
     ok = _known([*fixed.NEXT_CLOSE_FEATURES, "fwd_ret_1", "direction_label", "next_volume"])
     rows = f.filter((F.col("n_rows") >= 80) & ok & (F.col("volume_acceleration") > 0) & (F.col("next_volume") > 0))
     return rows.select(*KEY, "date", *fixed.NEXT_CLOSE_FEATURES, "fwd_ret_1", "direction_label")
