@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -42,6 +43,18 @@ LETTER = r"[^\W\d_²³¹]"
 UNITS = [re.compile(u) for u in (f"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|{MARK}+|\n", f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", "(?s:.)+")]
 
 
+class Kept(dict):
+    """Solutions by unit; a unit that is looked up for the first time is solved."""
+
+    def __init__(self, solve, known=()):
+        super().__init__(known)
+        self.solve = solve
+
+    def __missing__(self, unit: str) -> tuple[bytes, float, float]:
+        found = self[unit] = self.solve(unit)
+        return found
+
+
 class Vocabulary:
     """Pieces and scores of a model file, with the search over its lattice."""
 
@@ -66,7 +79,7 @@ class Vocabulary:
             node[""] = entry
         self.worst = min((s for s, _ in self.pieces.values()), default=0.0) - UNKNOWN_PENALTY
         self.units = next(u.findall for u in UNITS if all(u.fullmatch(p) for p in self.pieces))
-        self.kept: dict[str, tuple[bytes, float, float]] = {}
+        self.kept = Kept(self.solve)
 
     def lattice(self, unit: str) -> tuple[list[tuple[int, int, float, int | str]], list[float], list]:
         """Edges (start, end, score, id or uncovered character) by start, the best score of each prefix, and the
@@ -131,35 +144,31 @@ class Vocabulary:
         plus edge plus backward score."""
         edges, best, back = self.lattice(unit)
         n = len(unit)
-        behind = [NONE] * n + [0.0]
-        for i, j, s, _ in reversed(edges):
-            if s + behind[j] > behind[i]:
-                behind[i] = s + behind[j]
-        chain, path, at = [], set(), n
+        chain, path, at = [], [None] * (n + 1), n
         while at:
-            edge = back[at]
-            path.add(edge)
+            edge = path[at] = back[at]
             chain.append(edge[3])
             at = edge[0]
-        second = max([best[i] + s + behind[j] for i, j, s, piece in edges if (i, j, s, piece) not in path], default=NONE)
+        behind, second = [NONE] * n + [0.0], NONE
+        for edge in reversed(edges):  # all edges from later places come first, so behind[j] is final
+            i, j, s, _ = edge
+            after = behind[j]
+            if s + after > behind[i]:
+                behind[i] = s + after
+            if best[i] + s + after > second and path[j] is not edge:
+                second = best[i] + s + after
         ids: list[int] = []
         for piece in reversed(chain):
             ids += [piece] if isinstance(piece, int) else self._bytes(piece)
-        return np.array(ids, "<u4").tobytes(), best[n], best[n] - second
+        return struct.pack(f"<{len(ids)}I", *ids), best[n], best[n] - second
 
     def parts(self, text: str) -> tuple[list[str], list[tuple[bytes, float, float]]]:
         """Units of a text and their solutions."""
         units = self.units(MARK + text.replace(" ", MARK)) if text else []
         kept = self.kept
         if len(kept) > KEPT_UNITS:  # what came first is what comes often: the later half goes
-            kept = self.kept = dict(islice(kept.items(), KEPT_UNITS // 2))
-        found = list(map(kept.get, units))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    u = units[i]
-                    found[i] = kept[u] = kept.get(u) or self.solve(u)
-        return units, found
+            kept = self.kept = Kept(self.solve, islice(kept.items(), KEPT_UNITS // 2))
+        return units, list(map(kept.__getitem__, units))
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         _, parts = self.parts(text)
@@ -176,15 +185,19 @@ class Vocabulary:
             if loss[k] < float("inf"):  # the kept best first; among ties the search may pop another one before it
                 others = [o for o in self.search(units[k], n) if o[1] != ids[k]]
                 free.append((int(k), [(parts[k][1], ids[k]), *others[: n - 1]]))
+        # the text's ids with gaps at the free units: segmentations differ there only
+        turn, spans, last = sorted(range(len(free)), key=lambda x: free[x][0]), [], 0
+        for x in turn:
+            spans += [b"".join(ids[last : free[x][0]]), b""]
+            last = free[x][0] + 1
+        spans.append(b"".join(ids[last:]))
         out, seen, made = [], {(0,) * len(free)}, 0
         open_ = [(0.0, 0, (0,) * len(free))]
         while open_ and len(out) < n:
             lost, _, choice = heapq.heappop(open_)
-            made_of = list(ids)
-            for (k, options), pick in zip(free, choice):
-                if pick:
-                    made_of[k] = options[pick][1]
-            out.append((total - lost, np.frombuffer(b"".join(made_of), "<u4")))
+            for at, x in enumerate(turn):
+                spans[2 * at + 1] = free[x][1][choice[x]][1]
+            out.append((total - lost, np.frombuffer(b"".join(spans), "<u4")))
             for x, (_, options) in enumerate(free):
                 if choice[x] + 1 < len(options):
                     step = (*choice[:x], choice[x] + 1, *choice[x + 1 :])
