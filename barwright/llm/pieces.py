@@ -9,12 +9,14 @@ a document come from the n - 1 units whose second best loses least, by the same
 Characters that no single-character piece covers cost the least score minus ten and are written as byte pieces.
 
 Defined results: a null or empty text has no pieces and one segmentation with score 0. Ties keep a fixed order.
-A literal U+2581 decodes as a space, which is what the model writes for it. Repeated rows give equal rows, other
-columns are left alone.
+A literal U+2581 decodes as a space, which is what the model writes for it, so such a text is not `restored`. Ids that come from elsewhere decode as in
+the library: an unknown piece is " ⁇ ", a byte that no character takes is U+FFFD, and only the mark that a piece at the
+start brings is dropped. Repeated rows give equal rows, other columns are left alone.
 """
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import re
 import struct
@@ -43,6 +45,14 @@ LETTER = r"[^\W\d_²³¹]"
 UNITS = [re.compile(u) for u in (f"{MARK}*{LETTER}+|{MARK}*(?:(?!{LETTER})[^{MARK}\n])+|{MARK}+|\n", f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", "(?s:.)+")]
 
 
+def _stray(error: UnicodeDecodeError) -> tuple[str, int]:
+    """One U+FFFD for each byte that no character takes; a lone surrogate, which `encode` writes as three bytes, comes back."""
+    three = error.object[error.start : error.start + 3]
+    if len(three) == 3 and three[0] == 0xED and three[1] >= 0xA0 and three[1] < 0xC0 and 0x80 <= three[2] < 0xC0:
+        return three.decode("utf-8", "surrogatepass"), error.start + 3
+    return "\ufffd", error.start + 1
+
+
 class Kept(dict):
     """Solutions by unit; a unit that is looked up for the first time is solved."""
 
@@ -71,6 +81,10 @@ class Vocabulary:
         self.raw = [b"" if model.is_control(i) else model.id_to_piece(i).replace(MARK, " ").encode("utf-8", "surrogatepass") for i in ids]
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
+        self.raw[self.unknown] = " ⁇ ".encode()
+        self.control = {i for i in ids if model.is_control(i)}
+        self.opening = {i for p, (_, i) in self.pieces.items() if p.startswith(MARK)}
+        codecs.register_error("stray-bytes", _stray)  # here, as a Python worker has the class but not the module
         self.trie: dict = {}
         for piece, entry in self.pieces.items():
             node = self.trie
@@ -208,9 +222,10 @@ class Vocabulary:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        joined = b"".join(map(self.raw.__getitem__, ids.tolist()))
-        text = joined.decode("utf-8", "surrogatepass" if b"\xed" in joined else "replace")
-        return text[1:] if text.startswith(" ") else text
+        ids = ids.tolist()
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "stray-bytes")
+        first = next((i for i in ids if i not in self.control), None)
+        return text[1:] if first in self.opening else text
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -232,7 +247,7 @@ def encoded(path: str, n: int = NBEST):
             for text in batch:
                 text = text or ""
                 best = vocab.nbest(text, n)
-                rows.append((len(best[0][1]), best[0][0], [s for s, _ in best], [zlib.crc32(i.tobytes()) for _, i in best], vocab.decode(best[0][1]) == text.replace(MARK, " ")))
+                rows.append((len(best[0][1]), best[0][0], [s for s, _ in best], [zlib.crc32(i.tobytes()) for _, i in best], vocab.decode(best[0][1]) == text))
             yield pd.DataFrame(rows, columns=["n_pieces", "score", "nbest_scores", "nbest_crc32", "restored"])
 
     return run
@@ -284,7 +299,7 @@ def stage(spark, docs: DataFrame, folder: str) -> DataFrame:
                 sizes = np.array([len(ids) for ids, _ in found])
                 flat = np.concatenate([ids for ids, _ in found]).astype(np.int32)
                 pieces = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-                whole = [vocab.decode(ids) == t.replace(MARK, " ") for (ids, _), t in zip(found, texts)]
+                whole = [vocab.decode(ids) == t for (ids, _), t in zip(found, texts)]
                 more = [pieces, pa.array(sizes.astype(np.int64)), pa.array([float(s) for _, s in found]), pa.array(whole)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns)), *more], names=[*kept, *added.names])
 
