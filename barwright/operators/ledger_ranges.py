@@ -26,6 +26,7 @@ from barwright.session import work_folder
 
 POSITION = ["portfolio_id", *KEY]
 RANGE = 20_000
+OUT_ROWS = 2_000
 AT = [*POSITION, "part", "block"]
 AT_SCHEMA = "portfolio_id long, exchange string, symbol string, part int, block long"
 LONG = Context(prec=80)
@@ -114,16 +115,47 @@ def walked(rows: list[tuple[str, int, int]], before: list[int], taken: list[bool
     return [values[i] for i in of]
 
 
-def _block(pdf: pd.DataFrame) -> tuple[list[str], list[int], list[tuple], list[tuple]]:
-    pdf = pdf.sort_values("nth")
-    sides, q = pdf["side"].tolist(), pdf["_q"].tolist()
-    costs = [(s, a, a * p * VALUE_TO_MONEY) for s, a, p in zip(sides, q, pdf["_p"].tolist())]
-    fees = [(s, a, f * FEE_TO_MONEY) for s, a, f in zip(sides, q, pdf["_f"].tolist())]
-    return sides, q, costs, fees
-
-
-def _of_key(pdf: pd.DataFrame) -> tuple:
-    return tuple(pdf.iloc[0][c] for c in AT)
+def _amounts(sides: list[str], q: list[int], prices: list[int], fees: list[int]) -> tuple[list[tuple], list[tuple]]:
+    """Rows (side, quantity, amount) of the cost and of the fees."""
+    return [(s, a, a * p * VALUE_TO_MONEY) for s, a, p in zip(sides, q, prices)], [(s, a, f * FEE_TO_MONEY) for s, a, f in zip(sides, q, fees)]
+
+
+def _ranges(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[tuple, list[list]]]:
+    """Key and columns of each range of sorted rows; a range may span batches."""
+    key, held = None, []
+    for pdf in batches:
+        keys, table = list(zip(*(pdf[c].tolist() for c in AT))), [pdf[c].tolist() for c in columns]
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            if start == end:
+                continue
+            here = [c[start:end] for c in table]
+            if keys[start] == key:
+                for c, more in zip(held, here):
+                    c += more
+                continue
+            if key is not None:
+                yield key, held
+            key, held = keys[start], here
+    if key is not None:
+        yield key, held
+
+
+def _by_range(rows: DataFrame, columns: list[str], found, schema: str) -> DataFrame:
+    """Rows of `found(key, *columns)` for each range; ranges of a task stream by in order, so that a short one costs little."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for key, table in _ranges(batches, columns):
+            out += found(key, *table)
+            if len(out) >= OUT_ROWS:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.select(*AT, "nth", *columns).repartition(*AT).sortWithinPartitions(*AT, "nth").select(*AT, *columns).mapInPandas(run, schema)
 
 
 def _by_position(df: DataFrame, scan, schema: str) -> DataFrame:
@@ -134,10 +166,9 @@ def _by_position(df: DataFrame, scan, schema: str) -> DataFrame:
 def starting_quantities(rows: DataFrame) -> DataFrame:
     """AT and `held`, the quantity at the start of each range."""
 
-    def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides, q, _, _ = _block(pdf)
+    def first(key: tuple, sides: list[str], q: list[int]) -> list[tuple]:
         low, shift = steps(sides, q)
-        return pd.DataFrame([(*_of_key(pdf), low.tolist(), shift.tolist())], columns=[*AT, "low", "shift"])
+        return [(*key, low.tolist(), shift.tolist())]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, held = None, 0
@@ -150,20 +181,19 @@ def starting_quantities(rows: DataFrame) -> DataFrame:
                 held += int(r.shift[np.searchsorted(r.low, held, side="right") - 1])
             yield pd.DataFrame(out, columns=[*AT, "held"])
 
-    functions = rows.groupBy(*AT).applyInPandas(first, f"{AT_SCHEMA}, low array<long>, shift array<long>")
+    functions = _by_range(rows, ["side", "_q"], first, f"{AT_SCHEMA}, low array<long>, shift array<long>")
     return _stored(_by_position(functions, scan, f"{AT_SCHEMA}, held long"), "ledger-held")
 
 
 def replayed(rows: DataFrame, held: DataFrame) -> DataFrame:
     """POSITION, txn_id, before and accepted of every row, each range from its starting quantity."""
 
-    def run(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("nth")
-        before, taken = covered(pdf["side"].tolist(), pdf["_q"].tolist(), int(start["held"].iloc[0]))
-        return pdf[[*POSITION, "txn_id"]].assign(before=before, accepted=taken)
+    def run(key: tuple, ids: list[int], sides: list[str], q: list[int], start: list[int]) -> list[tuple]:
+        before, taken = covered(sides, q, start[0])
+        return [(*key[:3], *row) for row in zip(ids, before, taken)]
 
     schema = "portfolio_id long, exchange string, symbol string, txn_id long, before long, accepted boolean"
-    return rows.groupBy(*AT).cogroup(held.groupBy(*AT)).applyInPandas(run, schema)
+    return _by_range(rows.join(held, AT), ["txn_id", "side", "_q", "held"], run, schema)
 
 
 _MAPS = ["factor", "cost_sum", "cost_error", "fee_sum", "fee_error"]
@@ -173,10 +203,9 @@ _TOTALS = ["end_held", "gained", "paid", "bought", "cost_in", "fee_in", "n", "sk
 def end_states(rows: DataFrame, held: DataFrame) -> DataFrame:
     """POSITION and, as text, held, cost, fees, realized, paid, bought, rows, skipped, last_skipped."""
 
-    def maps(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        sides, q, costs, fees = _block(pdf)
-        ids = pdf.sort_values("nth")["txn_id"].tolist()
-        before, taken = covered(sides, q, int(start["held"].iloc[0]))
+    def maps(key: tuple, ids: list[int], sides: list[str], q: list[int], prices: list[int], paid: list[int], start: list[int]) -> list[tuple]:
+        costs, fees = _amounts(sides, q, prices, paid)
+        before, taken = covered(sides, q, start[0])
         factor, cost_sum, cost_error = linear(costs, before, taken)
         _, fee_sum, fee_error = linear(fees, before, taken)
         ok = [i for i, t in enumerate(taken) if t]
@@ -187,10 +216,11 @@ def end_states(rows: DataFrame, held: DataFrame) -> DataFrame:
             last, sum(costs[i][2] - fees[i][2] for i in sales), sum(fees[i][2] for i in ok), sum(q[i] for i in buys),
             sum(costs[i][2] for i in buys), sum(fees[i][2] for i in buys), len(q), len(missed), missed[-1] if missed else None,
         )
-        return pd.DataFrame([(*_of_key(pdf), *map(str, (factor, cost_sum, cost_error, fee_sum, fee_error)), *[None if t is None else str(t) for t in totals])], columns=[*AT, *_MAPS, *_TOTALS])
+        return [(*key, *map(str, (factor, cost_sum, cost_error, fee_sum, fee_error)), *[None if t is None else str(t) for t in totals])]
 
     text = lambda names: ", ".join(f"{c} string" for c in names)
-    mapped = _stored(rows.groupBy(*AT).cogroup(held.groupBy(*AT)).applyInPandas(maps, f"{AT_SCHEMA}, {text([*_MAPS, *_TOTALS])}"), "ledger-maps")
+    given = ["side", "_q", "_p", "_f", "held"]
+    mapped = _stored(_by_range(rows.join(held, AT), ["txn_id", *given], maps, f"{AT_SCHEMA}, {text([*_MAPS, *_TOTALS])}"), "ledger-maps")
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = None
@@ -212,14 +242,15 @@ def end_states(rows: DataFrame, held: DataFrame) -> DataFrame:
     windows = _stored(_by_position(mapped, scan, f"{AT_SCHEMA}, {text(['cost_from', 'cost_to', 'fee_from', 'fee_to'])}"), "ledger-windows")
     starts = held.join(windows, AT)
 
-    def walk(key, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        sides, q, costs, fees = _block(pdf)
-        s = start.iloc[0]
-        before, taken = covered(sides, q, int(s["held"]))
-        ends = [walked(r, before, taken, range(max(0, int(s[f"{n}_from"])), int(s[f"{n}_to"]) + 1)) for r, n in ((costs, "cost"), (fees, "fee"))]
-        return pd.DataFrame([(*_of_key(pdf), str(max(0, int(s["cost_from"]))), str(max(0, int(s["fee_from"]))), *[list(map(str, e)) for e in ends])], columns=[*AT, "cost_from", "fee_from", "costs", "fees"])
+    def walk(key: tuple, sides: list[str], q: list[int], prices: list[int], paid: list[int], start: list[int], *bounds: list[str]) -> list[tuple]:
+        before, taken = covered(sides, q, start[0])
+        cost_from, cost_to, fee_from, fee_to = (max(0, int(b[0])) if i % 2 == 0 else int(b[0]) for i, b in enumerate(bounds))
+        costs, fees = _amounts(sides, q, prices, paid)
+        ends = [walked(costs, before, taken, range(cost_from, cost_to + 1)), walked(fees, before, taken, range(fee_from, fee_to + 1))]
+        return [(*key, str(cost_from), str(fee_from), *[list(map(str, e)) for e in ends])]
 
-    exact = rows.groupBy(*AT).cogroup(starts.groupBy(*AT)).applyInPandas(walk, f"{AT_SCHEMA}, cost_from string, fee_from string, costs array<string>, fees array<string>")
+    bounds = ["cost_from", "cost_to", "fee_from", "fee_to"]
+    exact = _by_range(rows.join(starts, AT), [*given, *bounds], walk, f"{AT_SCHEMA}, cost_from string, fee_from string, costs array<string>, fees array<string>")
     picked = exact.join(mapped.select(*AT, *_TOTALS), AT)
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
