@@ -7,6 +7,7 @@ filtering is done on columns afterwards.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -67,9 +68,36 @@ class _Reader(HTMLParser):
             self._tail[2].append(data)
 
 
-def _read(html: str | None) -> _Reader:
+# rows of cells that hold text alone: no attribute, no nested tag, no character reference
+PLAIN_ROWS = re.compile(r"(?:<tr>(?:<td>[^<&]*+</td>|<th>[^<&]*+</th>)*+</tr>)++")
+CELL_ENDS = re.compile(r"</t[dh]><t[dh]>")
+
+
+def _plain_rows(run: str) -> Iterator[list[str]]:
+    spaced = len(run.split(None, 1)) > 1
+    for row in run[4:-5].split("</tr><tr>"):
+        cells = CELL_ENDS.split(row[4:-5]) if row else []
+        yield [" ".join(c.split()) for c in cells] if spaced else cells
+
+
+def _whole(html: str) -> _Reader:
     reader = _Reader()
-    reader.feed(html or "")
+    reader.feed(html)
+    reader.close()
+    return reader
+
+
+def _read(html: str | None) -> _Reader:
+    """Tables and links of a page. Runs of plain rows, most of a quote page, are split at once where the parser stands
+    between the rows of a table; a page where it stands elsewhere (a comment, script, cell or link) is parsed tag by tag."""
+    html, reader, at = html or "", _Reader(), 0
+    for run in PLAIN_ROWS.finditer(html):
+        reader.feed(html[at : run.start()])
+        if reader.rawdata or reader.cdata_elem is not None or not reader._open or any(x is not None for x in (reader._cell, reader._link, reader._tail)):
+            return _whole(html)
+        reader.tables[reader._open[-1]][1].extend(_plain_rows(run.group()))
+        at = run.end()
+    reader.feed(html[at:])
     reader.close()
     return reader
 
